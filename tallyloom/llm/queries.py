@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ngram_join, packing, sharding
+from tallyloom.llm import langid, licenses, ngram_join, packing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n; 0 for a null doc_id."""
+    return F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)), F.lit(n))
+
+
 def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that lie in 12 shards by a hash of doc_id, moved to 16 of nearly equal bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    old = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)), F.lit(12)).cast("int")
-    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old.alias("old"))
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), _remainder(12).cast("int").alias("old"))
     placed = sharding.slots(sharding.reshard(rows, shards=16, olds=12))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -28,11 +32,22 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document; learned from those whose remainder by 4 is not 2."""
+    found = langid.identify(_table(spark, sf_dir, "documents"), usable=_remainder(4) != 2)
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of up to 4096 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), name="word_bpe_49k.json", size=4096, end=1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op3_ngram_jaccard, op5_pack)}
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of license phrases, and blocks that hold 90 % of a license template's words."""
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op3_ngram_jaccard, op4_language, op5_pack, op8_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
