@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import langid, licenses, ngram_join, packing, sharding
+from tallyloom.llm import langid, licenses, ngram_join, packing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +43,17 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), name="word_bpe_49k.json", size=4096, end=1)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the perplexity verdict of each document."""
+    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of license phrases, and blocks that hold 90 % of a license template's words."""
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op3_ngram_jaccard, op4_language, op5_pack, op8_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op3_ngram_jaccard, op4_language, op5_pack, op7_quality, op8_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
