@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import langid, licenses, ngram_join, packing, quality, sharding
+from tallyloom.llm import decontam, langid, licenses, ngram_join, packing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a stretch within 20 % word edits of a benchmark item."""
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=3, percent=90)
@@ -54,6 +59,6 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op3_ngram_jaccard, op4_language, op5_pack, op7_quality, op8_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op2_decontaminate, op3_ngram_jaccard, op4_language, op5_pack, op7_quality, op8_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
