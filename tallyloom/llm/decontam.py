@@ -4,9 +4,10 @@ Texts and items are words without case.  A document leaks an item of n words
 when some stretch of it lies within an edit distance, in words, of
 allowed(n) = n * percent // 100.
 
-1. A window of n words that starts where such a stretch starts holds at least
-   n - allowed(n) words of items of n words.  Only windows that do are looked
-   at; the condition is necessary, so it loses nothing.
+1. A window of n words that starts where such a stretch starts shares at least
+   n - allowed(n) words with the item, each counted as often as the item has it.
+   Only windows that share so many with items of n words are looked at; the
+   condition is necessary, so it loses nothing.
 2. The CGK embedding walks over a window, writing the word under it at each
    step and stepping on by a random bit of (step, word), the same for windows
    and items.  Few edits leave few steps that differ, so `bits` sampled steps
@@ -74,6 +75,7 @@ class Index:
             if (own := ids[w.of(i)]).size:
                 self.by_size.setdefault(len(own), []).append((item, own))
         self.steps = 2 * max(self.by_size, default=1)
+        self.most = {n: np.max([np.bincount(x, minlength=self.pad + 1) for _, x in some], 0) for n, some in self.by_size.items()}
         self.member = {n: np.bincount(np.concatenate([x for _, x in some]), minlength=self.pad + 1) > 0 for n, some in self.by_size.items()}
         rng = np.random.default_rng(seed)
         self.repetitions = 64
@@ -142,7 +144,7 @@ class Index:
             if seen[-1] < least:
                 continue
             stop = np.minimum(np.arange(len(ids)) + n, ends)
-            s = np.flatnonzero(seen[stop] - seen[:-1] >= least)
+            s = self._shared(ids, ends, np.flatnonzero(seen[stop] - seen[:-1] >= least), n, least)
             starts.append(s)
             sizes.append(np.full(len(s), n))
         if not starts:
@@ -164,6 +166,19 @@ class Index:
                             self._verify(w, ids, int(s[x]), item, found)
         return [(row, item, first, words, distance) for (row, item), (distance, first, words) in sorted(found.items())]
 
+    def _shared(self, ids: np.ndarray, ends: np.ndarray, s: np.ndarray, n: int, least: int) -> np.ndarray:
+        """Those starts whose windows hold `least` words of items of n words, each as often as in one item at most."""
+        kept = []
+        for lo in range(0, len(s), LANES):
+            own = s[lo : lo + LANES]
+            place = own[:, None] + np.arange(n)
+            x = np.sort(np.where(place < ends[own][:, None], ids[np.minimum(place, len(ids) - 1)], 0), 1)
+            new = np.ones(x.shape, bool)
+            new[:, 1:] = x[:, 1:] != x[:, :-1]
+            nth = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0), 1)
+            kept.append(own[(nth < self.most[n][x]).sum(1) >= least])
+        return np.concatenate(kept) if kept else s
+
     def _verify(self, w: X.Words, ids: np.ndarray, start: int, item: np.ndarray, found: dict) -> None:
         row, n = int(w.row[start]), len(item)
         names, k = self.item_of[item.tobytes()], allowed(n, self.percent)
