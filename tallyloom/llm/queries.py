@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontam, langid, licenses, ngram_join, packing, quality, sharding
+from tallyloom.llm import decontam, langid, licenses, ngram_join, packing, quality, rollup, sharding
+from tallyloom.llm.store import new_path, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,24 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), name="word_bpe_49k.json", size=4096, end=1)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by source, language and tokenizer version after three batches, the last sent twice.
+
+    All documents are inserted under two tokenizers; later copies of a text are
+    deleted; the first copies' counts are revised by an end token.
+    """
+    names = {"bytes-v1": rollup.bytes_counter, "word_bpe_49k-v1": rollup.vocabulary_counter("word_bpe_49k.json")}
+    docs = written(rollup.counted(_table(spark, sf_dir, "documents"), names), "counts")
+    first = docs.groupBy("copy").agg(F.min("doc_id").alias("first"))
+    marked = written(docs.join(first, "copy").withColumn("stays", F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False))), "marked")
+    table = rollup.Rollup(spark, new_path(spark, "rollup"))
+    stays = marked.where("stays")
+    for batch, rows, before, after in (("1-insert", docs, None, 0), ("2-delete", marked.where("not stays"), 0, None), ("3-revise", stays, 0, 1), ("3-revise", stays, 0, 1)):
+        parts = [rollup.changes(rows, name, None if before is None else F.col(f"n{i}") + before, None if after is None else F.col(f"n{i}") + after) for i, name in enumerate(names)]
+        table.commit(batch, parts[0].unionByName(parts[1]))
+    return table.totals()
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and the perplexity verdict of each document."""
     judged = quality.judge(_table(spark, sf_dir, "documents"))
@@ -59,6 +78,6 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op2_decontaminate, op3_ngram_jaccard, op4_language, op5_pack, op7_quality, op8_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op2_decontaminate, op3_ngram_jaccard, op4_language, op5_pack, op6_token_counts, op7_quality, op8_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}
