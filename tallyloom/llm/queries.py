@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontam, langid, licenses, ngram_join, packing, quality, rollup, sharding
+from tallyloom.llm import decontam, langid, licenses, ngram_join, packing, quality, rollup, sharding, toxicity
 from tallyloom.llm.store import new_path, written
 
 
@@ -78,6 +78,12 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op2_decontaminate, op3_ngram_jaccard, op4_language, op5_pack, op6_token_counts, op7_quality, op8_licenses)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document; learned from labels whose remainder by 5 is not 0."""
+    scored = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), usable=_remainder(5) != 0)
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op2_decontaminate, op3_ngram_jaccard, op4_language, op5_pack, op6_token_counts, op7_quality, op8_licenses, op9_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
