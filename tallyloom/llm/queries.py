@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontam, langid, licenses, ngram_join, packing, quality, rollup, sharding, toxicity
+from tallyloom.llm import decontam, hpylm, langid, licenses, ngram_join, packing, quality, rollup, sharding, toxicity
 from tallyloom.llm.store import new_path, written
 
 
@@ -84,6 +84,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op2_decontaminate, op3_ngram_jaccard, op4_language, op5_pack, op6_token_counts, op7_quality, op8_licenses, op9_toxicity)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of each document; learned from those whose remainder by 10 is not 0."""
+    return hpylm.score(_table(spark, sf_dir, "documents"), held_out=_remainder(10) == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op2_decontaminate, op3_ngram_jaccard, op4_language, op5_pack, op6_token_counts, op7_quality, op8_licenses, op9_toxicity, op10_lm_score)}
 
 ORACLE_SQL: dict[str, str] = {}
