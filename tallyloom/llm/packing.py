@@ -23,42 +23,86 @@ from tallyloom.llm import textops as X
 from tallyloom.llm.store import written
 
 PART_ROWS = 20_000
-#: Distinct words, of up to so many bytes, whose ids a worker remembers.
-REMEMBERED, LONGEST = 400_000, 48
+#: Words that a worker remembers in each of two generations, and the longest such word.
+REMEMBERED, LONGEST = 350_000, 48
 
-_ids: dict[str, bytes] = {}
-_tokenizers: dict[str, object] = {}
+_BLANK = np.arange(256, dtype=np.uint8)
+_BLANK[[0x09, 0x0A]] = 0x20
+_LOWER = _BLANK.copy()
+_LOWER[0x41:0x5B] += 0x20
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 
 
-def _tokenizer(name: str):
-    if name not in _tokenizers:
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        _tokenizers[name] = Tokenizer.from_file(public_tokenizers.path(name))
-        _ids.clear()
-    return _tokenizers[name]
+class Ids:
+    """Token ids of texts by a vocabulary whose words never span white space.
 
+    Texts are split at blanks and before a full stop or comma that ends a word,
+    where the vocabulary's own pattern splits too; each part is encoded once and
+    remembered.  When the young generation is full it becomes the old one, from
+    which words still in use are taken over.
+    """
 
-def ids_of(text: str, name: str) -> bytes:
-    """The text's ids as little-endian 32-bit integers.
+    def __init__(self, name: str):
+        import public_tokenizers
+        from tokenizers import Tokenizer
 
-    The vocabulary's words never span white space, so words between blanks are
-    encoded apart and remembered; the ids are those of the whole text.
-    """
-    t = _tokenizer(name)
-    parts = text.replace("\n", " ").replace("\t", " ").split(" ")
-    if new := [w for w in set(parts) if w not in _ids]:
-        if len(_ids) + len(new) > REMEMBERED:
-            _ids.clear()
-            new = list(set(parts))
-        for w, e in zip(new, t.encode_batch(new, add_special_tokens=False), strict=True):
-            _ids[w] = np.array(e.ids, "<u4").tobytes()
-    out = b"".join([_ids[w] for w in parts])
-    for w in new:
-        if len(w) > LONGEST:
-            del _ids[w]
-    return out
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if w.isalpha() and max(w) < "\u0250"]
+        other = [w for w in words if not (w.isalpha() and max(w) < "\u0250")]
+        out = {}
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(group):
+                out.update((w, ids[a:b].tobytes()) for w, a, b in zip(group, [0, *cut[:-1].tolist()], cut.tolist(), strict=True))
+            else:
+                other += group
+        out.update((w, ids.tobytes()) for w, ids in zip(other, self._encode(other), strict=True))
+        return out
+
+    def of(self, buf: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        """The ids of each text, as little-endian 32-bit integers."""
+        s = (_BLANK if b"<|" in buf.tobytes() else _LOWER)[buf]
+        stop = np.flatnonzero(_LETTER[s[:-2]] & ((s[1:-1] == 0x2E) | (s[1:-1] == 0x2C)) & (s[2:] == 0x20)) + 1 if len(s) > 2 else np.zeros(0, np.int64)
+        offsets = offsets + np.searchsorted(stop, offsets)
+        s = np.insert(s, stop, 0x20).tobytes()
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            parts = s[a:b].decode().split(" ")
+            ids = list(map(self.young.get, parts))
+            if None in ids:
+                ids = self._fill(parts, ids)
+            yield b"".join(ids)
+
+    def _fill(self, parts: list[str], ids: list[bytes | None]) -> list[bytes]:
+        missing = {w for w, x in zip(parts, ids, strict=True) if x is None}
+        found = {w: self.old[w] for w in missing if w in self.old}
+        found |= self._learn([w for w in missing if w not in found])
+        out = [found[w] if x is None else x for w, x in zip(parts, ids, strict=True)]
+        if len(self.young) + len(found) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
+        return out
+
+
+_known: dict[str, Ids] = {}
+
+
+def ids_by(name: str) -> Ids:
+    """The worker's own Ids for a vocabulary."""
+    if name not in _known:
+        _known[name] = Ids(name)
+    return _known[name]
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -71,8 +115,8 @@ def pieces(docs: DataFrame, name: str, limit: int, end: int) -> DataFrame:
         for batch in batches:
             for part in X.pieces(batch):
                 out: list[tuple] = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = memoryview(ids_of(text or "", name) + np.array([end], "<u4").tobytes())
+                for doc, ids in zip(part.column("doc_id").to_pylist(), ids_by(name).of(*X.bytes_of(part.column("text"))), strict=True):
+                    ids = memoryview(ids + np.array([end], "<u4").tobytes())
                     for k, at in enumerate(range(0, len(ids) // 4, limit)):
                         piece = ids[4 * at : 4 * (at + limit)]
                         out.append((doc, k, at, len(piece) // 4, zlib.crc32(piece)))
