@@ -130,8 +130,8 @@ def train(docs: DataFrame, usable: Column, sample_docs: int, sample_chars: int,
     return Parser({lang: symbols(pa.array([" ".join(t for _, t in sorted(rows)[:sample_docs])]))[0][:most] for lang, rows in texts.items()})
 
 
-def identify(docs: DataFrame, usable: Column, sample_docs: int = 40, sample_chars: int = 700, all_symbols: int = 120_000, sharpness: float = 60.0) -> DataFrame:
-    """(doc_id, lang_pred, score, phrases): the language of each row's whole text.
+def identify(docs: DataFrame, usable: Column, sample_docs: int = 40, sample_chars: int = 700, all_symbols: int = 120_000, sharpness: float = 6.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, `keep` columns, lang_pred, score, phrases): the language of each row's whole text.
 
     lang_pred is `und`, score 0, where the text is null or has no letter, and
     everywhere if no row can be learned from.  score is a softmax of the
@@ -141,20 +141,21 @@ def identify(docs: DataFrame, usable: Column, sample_docs: int = 40, sample_char
     """
     known = train(docs, usable, sample_docs, sample_chars, all_symbols)
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    schema = "doc_id long, lang_pred string, score double, phrases map<string,double>"
+    carried = list(dict.fromkeys(["doc_id", *keep]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema) + ", lang_pred string, score double, phrases map<string,double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = shared.value
         for batch in batches:
-            for part in X.pieces(batch):
-                s, offsets = symbols(part.column("text"))
-                letters = np.array(part.column("letters").to_pylist(), bool) & bool(parser.langs)
+            for part in X.pieces(batch, "text_"):
+                s, offsets = symbols(part.column("text_"))
+                letters = np.array(part.column("letters_").to_pylist(), bool) & bool(parser.langs)
                 rate = parser.phrases(s, offsets) * parser.bits[:, None] / np.maximum(1, np.diff(offsets)) if parser.langs else np.zeros((1, part.num_rows))
                 best = rate.argmin(0)
-                odds = np.exp(-sharpness / 10 * (rate - rate.min(0)))
+                odds = np.exp(-sharpness * (rate - rate.min(0)))
                 score = np.where(letters, odds.max(0) / odds.sum(0), 0.0)
                 pred = [parser.langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
                 rates = [list(zip(parser.langs, rate[:, i].tolist(), strict=True)) if ok else [] for i, ok in enumerate(letters)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred), pa.array(score), pa.array(rates, pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "phrases"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(pred), pa.array(score), pa.array(rates, pa.map_(pa.string(), pa.float64()))], [*carried, "lang_pred", "score", "phrases"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")).mapInArrow(run, schema)
+    return docs.select(*carried, F.col("text").alias("text_"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters_")).mapInArrow(run, schema)

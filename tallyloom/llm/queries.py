@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _remainder(n: int) -> Column:
+def remainder(n: int) -> Column:
     """crc32 of doc_id as text, modulo n; 0 for a null doc_id."""
     return F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)), F.lit(n))
 
@@ -23,7 +23,7 @@ def _remainder(n: int) -> Column:
 def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that lie in 12 shards by a hash of doc_id, moved to 16 of nearly equal bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), _remainder(12).cast("int").alias("old"))
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), remainder(12).cast("int").alias("old"))
     placed = sharding.slots(sharding.reshard(rows, shards=16, olds=12))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -40,8 +40,8 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each document; learned from those whose remainder by 4 is not 2."""
-    found = langid.identify(_table(spark, sf_dir, "documents"), usable=_remainder(4) != 2)
-    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+    found = langid.identify(_table(spark, sf_dir, "documents"), usable=remainder(4) != 2)
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +80,13 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document; learned from labels whose remainder by 5 is not 0."""
-    scored = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), usable=_remainder(5) != 0)
-    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), usable=remainder(5) != 0)
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of each document; learned from those whose remainder by 10 is not 0."""
-    return hpylm.score(_table(spark, sf_dir, "documents"), held_out=_remainder(10) == 0)
+    return hpylm.score(_table(spark, sf_dir, "documents"), held_out=remainder(10) == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_reshard, op2_decontaminate, op3_ngram_jaccard, op4_language, op5_pack, op6_token_counts, op7_quality, op8_licenses, op9_toxicity, op10_lm_score)}
