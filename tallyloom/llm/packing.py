@@ -77,18 +77,18 @@ class Ids:
         stop = np.flatnonzero(_LETTER[s[:-2]] & ((s[1:-1] == 0x2E) | (s[1:-1] == 0x2C)) & (s[2:] == 0x20)) + 1 if len(s) > 2 else np.zeros(0, np.int64)
         offsets = offsets + np.searchsorted(stop, offsets)
         s = np.insert(s, stop, 0x20).tobytes()
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            parts = s[a:b].decode().split(" ")
-            ids = list(map(self.young.get, parts))
-            if None in ids:
-                ids = self._fill(parts, ids)
-            yield b"".join(ids)
-
-    def _fill(self, parts: list[str], ids: list[bytes | None]) -> list[bytes]:
-        missing = {w for w, x in zip(parts, ids, strict=True) if x is None}
-        found = {w: self.old[w] for w in missing if w in self.old}
-        found |= self._learn([w for w in missing if w not in found])
-        out = [found[w] if x is None else x for w, x in zip(parts, ids, strict=True)]
+        texts = [s[a:b].decode().split(" ") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        ids = self._ids({w for parts in texts for w in parts})
+        for parts in texts:
+            yield b"".join(map(ids.__getitem__, parts))
+
+    def _ids(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of all these words, remembered or learned at once."""
+        known = words & self.young.keys()
+        out = {w: self.young[w] for w in known}
+        found = {w: self.old[w] for w in (words - known) & self.old.keys()}
+        found |= self._learn(list(words - known - found.keys()))
+        out |= found
         if len(self.young) + len(found) > REMEMBERED:
             self.old, self.young = self.young, {}
         self.young.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
