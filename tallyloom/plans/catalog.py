@@ -1,7 +1,490 @@
-"""Registry of the reconciliation queries and their SQL."""
+"""Registry of the reconciliation queries, each with the SQL that DuckDB can run."""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from tallyloom.functions import scalars as S
+from tallyloom.operators import baselines, controls, journal, ladder, scoring, verdicts
+from tallyloom.plans import testbed as T
+from tallyloom.sources import generator
+from tallyloom.sources.batch import keep_first
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "exposure_queue"
+
+
+def _query(sql: str | None = None, *views: str):
+    """Registers a query by its function's name, with SQL over the views named."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = T.with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+def _none(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "event_id string")
+
+
+# scans and scalars
+
+
+@_query("select detail_id, settlement_id, amount_paise, input_order from first_t", "first_t")
+def dedup_keep_first(spark, d):
+    return keep_first(T.views(spark, d, "raw_t")[0])[0].select("detail_id", "settlement_id", "amount_paise", F.col("input_order").cast("long"))
+
+
+@_query("select settlement_id, n_duplicates from duplicates_t", "duplicates_t")
+def duplicate_counts(spark, d):
+    return keep_first(T.views(spark, d, "raw_t")[0])[1]
+
+
+@_query("select detail_id, case when amount_paise >= 0 then 1 else -1 end * ((abs(amount_paise) * 2 + 10000) // 20000) as half_up, case when amount_paise >= 0 then -1 else 1 end * ((abs(amount_paise) * 2 + 10000) // 20000) as half_up_negative from detail_amounts", "first_t")
+def round_half_up(spark, d):
+    first = T.views(spark, d, "first_t")[0]
+    return first.select("detail_id", S.round_half_up(F.col("amount_paise"), 10_000).alias("half_up"), S.round_half_up(-F.col("amount_paise"), 10_000).alias("half_up_negative"))
+
+
+ORACLE_SQL["round_half_up"] = ORACLE_SQL["round_half_up"].replace("from detail_amounts", "from first_t")
+
+
+@_query("select detail_id, abs(net_effect_paise - gross_effect_paise) <= 0 as fixed, abs(net_effect_paise - gross_effect_paise) <= abs(gross_effect_paise) * 150 // 10000 as percent, abs(net_effect_paise - gross_effect_paise) <= least(abs(gross_effect_paise) * 150 // 10000, 5000) as capped from detail_t", "detail_t")
+def tolerance_admits(spark, d):
+    e, a = F.col("gross_effect_paise"), F.col("net_effect_paise")
+    return T.views(spark, d, "detail_t")[0].select("detail_id", S.admits("FIXED", 0, e, a).alias("fixed"), S.admits("PERCENTAGE", 150, e, a).alias("percent"), S.admits("PERCENTAGE_CAPPED", 150, e, a, 5000).alias("capped"))
+
+
+@_query("select status, status in ('CAPTURED', 'PROCESSED') as settleable, cast(count(*) as bigint) as n_events, cast(sum(case when event_type = 'PAYMENT' then amount_paise else -amount_paise end) as bigint) as signed_paise from ledger_t group by 1, 2", "ledger_t")
+def settleable_partition(spark, d):
+    led = T.views(spark, d, "ledger_t")[0]
+    return led.groupBy("status", S.settleable(F.col("status")).alias("settleable")).agg(F.count("*").alias("n_events"), F.sum(S.signed(F.col("event_type"), F.col("amount_paise"))).alias("signed_paise"))
+
+
+@_query("select detail_id, net_effect_paise <> gross_effect_paise - fee_paise - tax_paise as broken, abs(net_effect_paise - (gross_effect_paise - fee_paise - tax_paise)) as off_paise from detail_t where net_effect_paise <> gross_effect_paise - fee_paise - tax_paise", "detail_t")
+def line_equation_breaks(spark, d):
+    g, f, t, n = (F.col(c) for c in ("gross_effect_paise", "fee_paise", "tax_paise", "net_effect_paise"))
+    return T.views(spark, d, "detail_t")[0].select("detail_id", (~S.line_ok(g, f, t, n)).alias("broken"), F.abs(n - (g - f - t)).alias("off_paise")).where("broken")
+
+
+@_query("select event_id, cast(cast(created_at as date) as varchar) as created_on, date_diff('day', cast(created_at as date), date '1998-12-01') as age_days from ledger_t", "ledger_t")
+def calendar_days(spark, d):
+    led = T.views(spark, d, "ledger_t")[0]
+    return led.select("event_id", F.to_date("created_at").cast("string").alias("created_on"), F.datediff(F.lit("1998-12-01").cast("date"), F.to_date("created_at")).cast("long").alias("age_days"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
+_TOKENS = f"list_distinct(list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9]+'), lambda x: length(x) > 1 and x not in ({_STOP})))"
+
+
+@_query(f"select doc_id, cast(len({_TOKENS.format('text')}) as bigint) as n_tokens, array_to_string(list_sort({_TOKENS.format('text')}), ' ') as tokens from documents")
+def token_sets(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", S.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
+
+
+@_query(f"select a.item_id, b.item_id as other_id, round(cast(len(list_intersect(a.t, b.t)) as double) / len(list_distinct(list_concat(a.t, b.t))), 9) as jaccard from (select item_id, {_TOKENS.format('text')} as t from benchmark) a join (select item_id, {_TOKENS.format('text')} as t from benchmark) b on b.item_id = a.item_id + 1 where len(a.t) + len(b.t) > 0")
+def jaccard_tokens(spark, d):
+    b = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", S.tokens(F.col("text")).alias("t"))
+    other = b.select(F.col("item_id").alias("other_id"), F.col("t").alias("u"), (F.col("item_id") - 1).alias("item_id"))
+    return b.join(other, "item_id").where(F.size("t") + F.size("u") > 0).select("item_id", "other_id", F.round(S.jaccard(F.col("t"), F.col("u")), 9).alias("jaccard"))
+
+
+@_query()
+def lexical_similarity(spark, d):
+    b = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text")
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return b.join(other, "item_id").select("item_id", baselines.lexical_similarity("text", "other").alias("similarity"))
+
+
+@_query("select p_partkey, case when left(c, 1) in ('=', '+', '-', '@', chr(9), chr(13)) then '''' || c else c end as cell from (select p_partkey, case when p_size < 10 then '=' || p_name when p_size < 20 then '-' || p_name else p_name end as c from part)")
+def csv_inert_cells(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    c = F.when(F.col("p_size") < 10, F.concat(F.lit("="), "p_name")).when(F.col("p_size") < 20, F.concat(F.lit("-"), "p_name")).otherwise(F.col("p_name"))
+    return part.select("p_partkey", S.inert(c).alias("cell"))
+
+
+@_query("select case_id, case when confidence is null then 'deterministic' when confidence < 0.5 then 'low' when confidence < 0.8 then 'medium' else 'high' end as band, confidence from scored_t", "scored_t")
+def confidence_bands(spark, d):
+    return T.views(spark, d, "scored_t")[0].select("case_id", S.confidence_band(F.col("confidence")).alias("band"), "confidence")
+
+
+@_query("select case_id, settlement_ids, cast(len(list_filter(string_split(settlement_ids, '|'), lambda x: x <> '')) as bigint) as n from (select case_id, string_agg(settlement_id, '|' order by case_pos) as settlement_ids from bridge_t group by 1)", "bridge_t")
+def pipe_lists(spark, d):
+    c = T.cases(spark, d).select("case_id", S.join_ids(F.col("settlement_ids")).alias("settlement_ids"))
+    return c.select("case_id", "settlement_ids", F.size(S.split_ids(F.col("settlement_ids"))).cast("long").alias("n"))
+
+
+@_query("select detail_id, 'dec_' || substring(sha256('{\"action\":\"match\",\"stage\":\"S1\",\"subject\":[\"' || least(detail_id, event_id) || '\",\"' || greatest(detail_id, event_id) || '\"]}'), 1, 24) as decision_id from detail_t where event_id is not null", "detail_t")
+def decision_ids(spark, d):
+    named = T.views(spark, d, "detail_t")[0].where("event_id is not null")
+    return named.select("detail_id", S.decision_id(F.lit("match"), F.lit("S1"), F.array("detail_id", "event_id")).alias("decision_id"))
+
+
+@_query("select case_id, category, case when category = 'CAT_en' then 'english' when category = 'CAT_de' then 'german' else 'other' end as action from scored_t where category is not null", "scored_t")
+def action_lookup(spark, d):
+    s = T.views(spark, d, "scored_t")[0].where("category is not null")
+    return s.select("case_id", "category", S.lookup(F.col("category"), {"CAT_en": "english", "CAT_de": "german"}, "other").alias("action"))
+
+
+@_query("select conv_id, turn, cast(round_even(cast((cast(length(text) as decimal(18,4)) * 3 + cast(turn as decimal(18,4)) * 3 / 10 + cast(turn as decimal(18,4)) * 15) / 1000000 as decimal(24,10)), 6) as double) as usd from conversations")
+def usage_cost(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    return c.select("conv_id", "turn", S.cost_usd(F.length("text"), F.col("turn"), F.col("turn"), F.lit(3), F.lit(15)).cast("double").alias("usd"))
+
+
+# controls
+
+
+@_query("select * from rollup_t", "rollup_t")
+def settlement_rollup(spark, d):
+    return controls.rollup(T.views(spark, d, "detail_t")[0])
+
+
+_FOUND = """
+select settlement_id, 2 as block, 'ROLLUP_MISMATCH' as category, abs(gross_payment_paise - r_gross) as exposure_paise from s where gross_payment_paise <> r_gross
+union all select settlement_id, 2, 'ROLLUP_MISMATCH', abs(refund_paise - r_refund) from s where refund_paise <> r_refund
+union all select settlement_id, 2, 'ROLLUP_MISMATCH', abs(fee_paise - r_fee) from s where fee_paise <> r_fee
+union all select settlement_id, 2, 'ROLLUP_MISMATCH', abs(tax_paise - r_tax) from s where tax_paise <> r_tax
+union all select settlement_id, 3, 'SUMMARY_EQUATION_VIOLATION', abs(net_amount_paise - (gross_payment_paise - refund_paise - fee_paise - tax_paise)) from s where net_amount_paise <> gross_payment_paise - refund_paise - fee_paise - tax_paise
+union all select settlement_id, 4, 'ROLLUP_MISMATCH', abs(net_amount_paise - r_net) from s where net_amount_paise <> r_net
+union all select settlement_id, 5, case when n = 0 then 'BANK_CREDIT_MISSING' when n > 1 then 'BANK_CREDIT_DUPLICATE' else 'BANK_AMOUNT_MISMATCH' end, case when n = 0 then abs(net_amount_paise) else abs(credited - net_amount_paise) end from s where n <> 1 or credited <> net_amount_paise
+union all select settlement_id, 6, 'DUPLICATE_DETAIL_EXPORT_WARNING', 0 from s where n_duplicates > 0"""
+_S = """, s as (select summary_t.*, coalesce(r_gross, 0) as r_gross, coalesce(r_refund, 0) as r_refund, coalesce(r_fee, 0) as r_fee, coalesce(r_tax, 0) as r_tax, coalesce(r_net, 0) as r_net, coalesce(n, 0) as n, coalesce(credited, 0) as credited, coalesce(n_duplicates, 0) as n_duplicates
+from summary_t left join rollup_t using (settlement_id) left join (select utr, cast(count(*) as bigint) as n, cast(sum(credit_amount_paise) as bigint) as credited from bank_t group by utr) b using (utr) left join duplicates_t using (settlement_id))"""
+_L = """, l as (select d.*, e.event_id as known, e.method, p.fee_rate_bps, (d.gross_effect_paise * p.fee_rate_bps * 2 + 10000) // 20000 as want_fee, ((d.gross_effect_paise * p.fee_rate_bps * 2 + 10000) // 20000 * 1800 * 2 + 10000) // 20000 as want_tax
+from detail_t d left join ledger_t e using (event_id) left join pricing_t p on e.method = p.method)"""
+_LINE_FOUND = """
+select settlement_id, 1 as block, 'LINE_EQUATION_VIOLATION' as category, abs(net_effect_paise - (gross_effect_paise - fee_paise - tax_paise)) as exposure_paise, input_order, 1 as check_pos from l where net_effect_paise <> gross_effect_paise - fee_paise - tax_paise
+union all select settlement_id, 1, 'UNATTRIBUTED_SETTLEMENT_LINE', abs(net_effect_paise), input_order, 2 from l where event_id is null
+union all select settlement_id, 1, 'UNKNOWN_EVENT_REFERENCE', abs(net_effect_paise), input_order, 3 from l where event_id is not null and known is null
+union all select settlement_id, 1, 'UNKNOWN_METHOD', abs(fee_paise + tax_paise), input_order, 4 from l where known is not null and line_type = 'PAYMENT' and fee_rate_bps is null
+union all select settlement_id, 1, 'FEE_TAX_VARIANCE', case when fee_paise <> want_fee then abs(fee_paise - want_fee) else abs(tax_paise - want_tax) end, input_order, 5 from l where known is not null and line_type = 'PAYMENT' and fee_rate_bps is not null and (fee_paise <> want_fee or tax_paise <> want_tax)"""
+
+
+def _cte(sql: str, extra: str, *views: str) -> str:
+    return T.with_views("", *views).rstrip() + extra + "\n" + sql
+
+
+_SUMMARY_VIEWS = ("summary_t", "rollup_t", "bank_t", "duplicates_t")
+_LINE_VIEWS = ("detail_t", "ledger_t", "pricing_t")
+
+
+@_query()
+def summary_findings(spark, d):
+    return controls.summary_findings(T.batch(spark, d)).select("settlement_id", "block", "category", "exposure_paise")
+
+
+ORACLE_SQL["summary_findings"] = _cte(f"select settlement_id, block, category, cast(exposure_paise as bigint) as exposure_paise from ({_FOUND})", _S, *_SUMMARY_VIEWS)
+
+
+@_query()
+def line_findings(spark, d):
+    return controls.line_findings(T.batch(spark, d)).select("settlement_id", "check_pos", "category", "exposure_paise")
+
+
+ORACLE_SQL["line_findings"] = _cte(f"select settlement_id, check_pos, category, cast(exposure_paise as bigint) as exposure_paise from ({_LINE_FOUND})", _L, *_LINE_VIEWS)
+
+
+@_query("select s.settlement_id, coalesce(n, 0) as n_credits, case when coalesce(n, 0) = 0 then 'none' when n = 1 then 'one' else 'many' end as cardinality from summary_t s left join (select utr, cast(count(*) as bigint) as n from bank_t group by utr) b using (utr)", "summary_t", "bank_t")
+def bank_credit_cardinality(spark, d):
+    b = T.batch(spark, d)
+    s = b.summary.join(controls.credits(b.bank), "utr", "left").select("settlement_id", F.coalesce("n_credits", F.lit(0)).alias("n_credits"))
+    return s.withColumn("cardinality", F.when(F.col("n_credits") == 0, "none").when(F.col("n_credits") == 1, "one").otherwise("many"))
+
+
+@_query("select distinct settlement_id from bridge_t where settlement_id not in (select settlement_id from summary_t)", "bridge_t", "summary_t")
+def settlement_missing(spark, d):
+    of = T.views(spark, d, "bridge_t")[0]
+    return controls.settlement_findings(T.batch(spark, d), of).where("category = 'SETTLEMENT_MISSING'").select("settlement_id")
+
+
+_BROKEN = "'ROLLUP_MISMATCH', 'SUMMARY_EQUATION_VIOLATION', 'LINE_EQUATION_VIOLATION', 'SETTLEMENT_MISSING'"
+_TIES = f", found as (select settlement_id, category from ({_FOUND}) union all select settlement_id, category from ({_LINE_FOUND})), ties as (select distinct b.settlement_id, b.settlement_id in (select settlement_id from summary_t) and b.settlement_id not in (select settlement_id from found where category in ({_BROKEN})) as ties from bridge_t b)"
+
+
+@_query()
+def settlement_ties_out(spark, d):
+    return controls.ties_out(T.batch(spark, d), T.views(spark, d, "bridge_t")[0])
+
+
+ORACLE_SQL["settlement_ties_out"] = _cte("select settlement_id, ties from ties", _S + _L + _TIES, *_SUMMARY_VIEWS, *_LINE_VIEWS, "bridge_t")
+
+
+@_query()
+def first_hard_finding(spark, d):
+    of = T.views(spark, d, "bridge_t")[0]
+    f = controls.settlement_findings(T.batch(spark, d), of).where(F.col("category") != controls.WARNING)
+    return f.groupBy("settlement_id").agg(F.min_by("category", F.struct("block", "line_pos", "check_pos")).alias("category"), F.sum("exposure_paise").alias("exposure_paise"), F.count("*").alias("n_findings"))
+
+
+ORACLE_SQL["first_hard_finding"] = _cte(
+    f"""select settlement_id, arg_min(category, block * 1000000 + line_pos * 100 + check_pos) as category, cast(sum(exposure_paise) as bigint) as exposure_paise, cast(count(*) as bigint) as n_findings from (
+select settlement_id, block, category, exposure_paise, 0 as line_pos, row_number() over (partition by settlement_id, block) as check_pos from ({_FOUND}) union all select settlement_id, block, category, exposure_paise, input_order, check_pos from ({_LINE_FOUND}))
+where category <> 'DUPLICATE_DETAIL_EXPORT_WARNING' and settlement_id in (select settlement_id from summary_t) group by settlement_id
+union all select distinct settlement_id, 'SETTLEMENT_MISSING', 0, 1 from bridge_t where settlement_id not in (select settlement_id from summary_t)""",
+    _S + _L,
+    *_SUMMARY_VIEWS,
+    *_LINE_VIEWS,
+    "bridge_t",
+)
+
+
+# ladder
+
+
+@_query("select settlement_id, event_id, detail_id from detail_t join ledger_t using (event_id)", "detail_t", "ledger_t")
+def exact_join_claims(spark, d):
+    return ladder.exact_join(T.batch(spark, d), _none(spark)).claims.select("settlement_id", "event_id", "detail_id")
+
+
+@_query("select event_id, amount_paise from ledger_t where event_type = 'REFUND' and event_id not in (select event_id from detail_t where event_id is not null)", "ledger_t", "detail_t")
+def unconsumed_refunds(spark, d):
+    return baselines.unconsumed_refunds(T.batch(spark, d)).select("event_id", "amount_paise")
+
+
+@_query("select d.detail_id, cast(count(*) as bigint) as n_candidates from detail_t d join ledger_t e on abs(d.gross_effect_paise) = e.amount_paise where d.event_id is null group by 1", "detail_t", "ledger_t")
+def amount_candidates(spark, d):
+    return ladder.amount_candidates(T.batch(spark, d)).groupBy("detail_id").agg(F.count("*").alias("n_candidates"))
+
+
+_GATED = """, parents as (select distinct txn_id from ledger_t where event_type = 'PAYMENT' and status = 'PROCESSED' and event_id in (select event_id from detail_t where event_id is not null)),
+g as (select d.detail_id, d.settlement_id, e.event_id, e.amount_paise, case when e.event_id in (select event_id from detail_t where event_id is not null) then 'gate_1_unconsumed'
+ when date_diff('day', cast(e.created_at as date), cast(d.settled_at as date)) not between 0 and 4 then 'gate_3_window' when e.currency <> d.currency then 'gate_4_currency'
+ when e.txn_id not in (select txn_id from parents) then 'gate_5_lineage' when e.event_type <> 'REFUND' or d.line_type <> 'REFUND' or d.gross_effect_paise >= 0 then 'gate_6_sign'
+ when not coalesce(t.ties, false) then 'gate_7_controls' end as first_failed
+ from detail_t d join ledger_t e on abs(d.gross_effect_paise) = e.amount_paise left join ties t on t.settlement_id = d.settlement_id where d.event_id is null)"""
+_GATE_VIEWS = (*_SUMMARY_VIEWS, *_LINE_VIEWS, "bridge_t")
+
+
+@_query()
+def first_failed_gates(spark, d):
+    g = ladder.gated(T.batch(spark, d), _none(spark))
+    return g.groupBy(F.coalesce("first_failed", F.lit("none")).alias("gate")).agg(F.count("*").alias("n_pairs"))
+
+
+ORACLE_SQL["first_failed_gates"] = _cte("select coalesce(first_failed, 'none') as gate, cast(count(*) as bigint) as n_pairs from g group by 1", _S + _L + _TIES + _GATED, *_GATE_VIEWS)
+
+
+@_query()
+def local_survivors(spark, d):
+    return ladder.gated(T.batch(spark, d), _none(spark)).where("first_failed is null").select("detail_id", "event_id", "amount_paise")
+
+
+ORACLE_SQL["local_survivors"] = _cte("select detail_id, event_id, amount_paise from g where first_failed is null", _S + _L + _TIES + _GATED, *_GATE_VIEWS)
+
+
+@_query()
+def global_feasibility(spark, d):
+    return ladder.feasible(ladder.gated(T.batch(spark, d), _none(spark)).where("first_failed is null")).select("detail_id", "event_id", "feasible")
+
+
+@_query()
+def ladder_counters(spark, d):
+    return ladder.run_ladder(T.batch(spark, d)).counters
+
+
+@_query()
+def ladder_claims(spark, d):
+    return ladder.run_ladder(T.batch(spark, d)).accepted.select("settlement_id", "event_id", "detail_id", "pass_name", "tier", "confidence")
+
+
+@_query()
+def ladder_abstentions(spark, d):
+    return ladder.run_ladder(T.batch(spark, d)).abstentions.select("settlement_id", "detail_id", F.array_join("candidate_event_ids", "|").alias("candidates"))
+
+
+@_query("select l_orderkey, l_suppkey, rn > 1 as refused from (select l_orderkey, l_suppkey, l_linenumber, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) as rn from lineitem)")
+def consumption_first_wins(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    place = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"))
+    claims = lines.select("l_orderkey", "l_suppkey", F.col("l_suppkey").cast("string").alias("event_id"), F.monotonically_increasing_id().cast("string").alias("detail_id"), place.cast("long").alias("emit_order"))
+    return ladder.first_claims(claims, spark.createDataFrame([], "detail_id string")).select("l_orderkey", "l_suppkey", F.col("reason").isNotNull().alias("refused"))
+
+
+@_query("select k, cast(count(*) as bigint) as n_lines, 'amount' as stage from (select d.detail_id, cast(count(*) as bigint) as k from detail_t d join ledger_t e on abs(d.gross_effect_paise) = e.amount_paise where d.event_id is null group by 1) group by 1", "detail_t", "ledger_t")
+def ambiguity_histogram(spark, d):
+    return baselines.multiplicity(ladder.amount_candidates(T.batch(spark, d)), "amount")
+
+
+@_query(
+    """select l.settlement_id, e.event_id, l.detail_id from (select d.*, abs(gross_effect_paise) as amount_paise, row_number() over (partition by abs(gross_effect_paise) order by d.settlement_id, input_order) as k from detail_t d where event_id is null and line_type = 'REFUND') l
+join (select event_id, amount_paise, row_number() over (partition by amount_paise order by event_id) as k from ledger_t where event_type = 'REFUND' and event_id not in (select event_id from detail_t where event_id is not null)) e on l.amount_paise = e.amount_paise and l.k = e.k""",
+    "detail_t",
+    "ledger_t",
+)
+def b2_rank_match(spark, d):
+    b = T.batch(spark, d)
+    order = b.detail.select("settlement_id").distinct().withColumn("visit", F.col("settlement_id"))
+    return baselines.b2_claims(b, order)
+
+
+@_query("select settlement_id, event_id, detail_id from detail_t where event_id is not null", "detail_t")
+def b1_claims(spark, d):
+    return baselines.b1_claims(T.views(spark, d, "detail_t")[0])
+
+
+@_query()
+def b3_greedy(spark, d):
+    return baselines.b3_claims(baselines.b3_pairs(T.batch(spark, d)))
+
+
+@_query()
+def best_second_margin(spark, d):
+    return baselines.separation(baselines.b3_pairs(T.batch(spark, d)))
+
+
+# verdicts, queue and journal
+
+
+def _decided(spark, d) -> tuple[DataFrame, DataFrame]:
+    b, c = T.batch(spark, d), T.cases(spark, d)
+    return verdicts.verdicts(b, c, ladder.run_ladder(b, ladder.JOIN_ONLY)), c
+
+
+_VERDICT = """, of_case as (select b.case_id, b.case_pos, f.* from bridge_t b join (
+ select settlement_id, block, category, exposure_paise, 0 as line_pos, row_number() over (partition by settlement_id, block) as check_pos from (""" + _FOUND + """)
+ union all select settlement_id, block, category, exposure_paise, input_order, check_pos from (""" + _LINE_FOUND + """)) f using (settlement_id) where settlement_id in (select settlement_id from summary_t)
+ union all select case_id, case_pos, settlement_id, 0, 'SETTLEMENT_MISSING', 0, 0, 0 from bridge_t where settlement_id not in (select settlement_id from summary_t)),
+v as (select b.case_id, case when n_hard > 0 then 'EXCEPTION' else 'RECONCILED' end as outcome, case when n_hard > 0 then hard when warned then 'DUPLICATE_DETAIL_EXPORT_WARNING' end as category, cast(1.0 as double) as confidence, cast(case when n_hard > 0 then exposure else 0 end as bigint) as exposure_paise
+ from (select distinct case_id from bridge_t) b left join (select case_id, count(*) filter (category <> 'DUPLICATE_DETAIL_EXPORT_WARNING') as n_hard, bool_or(category = 'DUPLICATE_DETAIL_EXPORT_WARNING') as warned,
+ sum(exposure_paise) filter (category <> 'DUPLICATE_DETAIL_EXPORT_WARNING') as exposure, arg_min(category, cast(case_pos as bigint) * 100000000 + block * 10000000 + line_pos * 100 + check_pos) filter (category <> 'DUPLICATE_DETAIL_EXPORT_WARNING') as hard from of_case group by 1) x using (case_id))"""
+
+
+@_query()
+def case_verdicts(spark, d):
+    return _decided(spark, d)[0].drop("evidence")
+
+
+ORACLE_SQL["case_verdicts"] = _cte("select case_id, outcome, category, confidence, exposure_paise from v", _S + _L + _VERDICT, *_GATE_VIEWS)
+
+
+@_query()
+def exposure_queue(spark, d):
+    q = verdicts.queue(*_decided(spark, d))
+    return verdicts.ranked(q).select("case_id", "outcome", "category", "exposure_paise", F.col("exposure_rupees").cast("double").alias("exposure_rupees"), "settlement_ids")
+
+
+ORACLE_SQL["exposure_queue"] = _cte("select case_id, outcome, category, exposure_paise, cast(cast(exposure_paise as decimal(20,2)) / 100 as double) as exposure_rupees, settlement_ids from v join (select case_id, string_agg(settlement_id, '|' order by case_pos) as settlement_ids from bridge_t group by 1) using (case_id) where outcome = 'EXCEPTION'", _S + _L + _VERDICT, *_GATE_VIEWS)
+
+
+@_query()
+def queue_topk(spark, d):
+    return verdicts.top(verdicts.queue(*_decided(spark, d)), 10).select("case_id", "category", "exposure_paise")
+
+
+ORACLE_SQL["queue_topk"] = _cte("select case_id, category, exposure_paise from v where outcome = 'EXCEPTION' order by exposure_paise desc, case_id limit 10", _S + _L + _VERDICT, *_GATE_VIEWS)
+
+
+@_query()
+def category_exposure_summary(spark, d):
+    return verdicts.by_category(verdicts.queue(*_decided(spark, d)))
+
+
+ORACLE_SQL["category_exposure_summary"] = _cte("select category, cast(count(*) as bigint) as n_cases, cast(sum(exposure_paise) as bigint) as exposure_paise from v where outcome = 'EXCEPTION' group by 1", _S + _L + _VERDICT, *_GATE_VIEWS)
+
+
+@_query("select case_id, case when known > 0 and can = 0 then 'NO_ACTION' else 'EXCEPTION' end as outcome, case when known > 0 and can = 0 then null else 'CAPTURED_UNSETTLED' end as category, cast(case when known > 0 and can = 0 then 0 else exposure end as bigint) as exposure_paise from (select order_id as case_id, count(*) as known, count(*) filter (status in ('CAPTURED', 'PROCESSED')) as can, coalesce(sum(amount_paise) filter (status in ('CAPTURED', 'PROCESSED')), 0) as exposure from ledger_t where event_type = 'PAYMENT' group by 1)", "ledger_t")
+def disposition_unsettled(spark, d):
+    led = T.views(spark, d, "ledger_t")[0]
+    c = led.where("event_type = 'PAYMENT'").groupBy(F.col("order_id").alias("case_id")).agg(F.collect_list("event_id").alias("event_ids")).withColumn("settlement_ids", F.array().cast("array<string>"))
+    return verdicts.unsettled(c, led).select("case_id", "outcome", "category", "exposure_paise")
+
+
+@_query()
+def journal_records(spark, d):
+    b, c = T.batch(spark, d), T.cases(spark, d)
+    run = ladder.run_ladder(b, ladder.JOIN_ONLY)
+    return journal.build(run, verdicts.verdicts(b, c, run)).select("decision_id", "action", "stage", "rule", "confidence")
+
+
+def _sealed(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return journal.seal(e.select((F.col("event_id") + 1).alias("seq"), F.col("event_id").cast("string").alias("decision_id"), F.to_json(F.struct("event_id", "event_type")).alias("body")))
+
+
+@_query("select event_id + 1 as seq, 'record' as broken from events where event_type = 'error'")
+def chain_verify(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select((F.col("event_id") + 1).alias("seq"), "event_type")
+    changed = _sealed(spark, d).join(e, "seq").withColumn("body", F.when(F.col("event_type") == "error", F.concat("body", F.lit(" "))).otherwise(F.col("body")))
+    return journal.breaks(changed).select("seq", "broken")
+
+
+@_query()
+def hash_chain(spark, d):
+    return journal.verify(_sealed(spark, d)).select("seq", "previous_hash", "record_hash")
+
+
+@_query("select kind, label, cast(count(*) as bigint) as n from (select 'stage' as kind, lang as label from documents union all select 'action', source from documents union all select 'band', case when n_chars < 500 then 'low' when n_chars < 800 then 'medium' else 'high' end from documents) group by 1, 2")
+def audit_summary(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return journal.summary(docs.select(F.col("lang").alias("stage"), F.col("source").alias("action"), (F.col("n_chars") / 1000).alias("confidence")))
+
+
+@_query("select e.event_id, case when l.quality is not null and event_type <> 'error' then 'override' else event_type end as effective_action from events e left join labels l on e.event_id = l.doc_id")
+def override_effective(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("event_id").cast("string").alias("decision_id"), F.col("event_type").alias("action"), (F.col("event_type") != "error").alias("overridable"))
+    o = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").cast("string").alias("decision_id"), F.lit("override").alias("action"), F.lit("label").alias("reason"))
+    return journal.effective(e, o).select("event_id", "effective_action")
+
+
+# scores
+
+
+def _scored(spark, d) -> DataFrame:
+    s = T.views(spark, d, "scored_t")[0]
+    same = F.col("outcome") == F.col("expected_outcome")
+    return s.withColumn("correct", same & (F.col("fp") == 0) & (F.col("fn") == 0)).withColumn("correct_lax", same & (F.col("fp") == 0))
+
+
+@_query("select tp, fp, fn, cast(tp as double) / (tp + fp) as \"precision\", cast(tp as double) / (tp + fn) as recall from (select cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn from scored_t)", "scored_t")
+def allocation_prf(spark, d):
+    return scoring.allocation_scores(_scored(spark, d)).drop("f1", "false_match")
+
+
+@_query("select scenario, cast(count(*) as bigint) as n_cases, cast(count(*) filter (outcome = expected_outcome and fp = 0 and fn = 0) as bigint) as n_correct, cast(count(*) filter (outcome = expected_outcome and fp = 0) as bigint) as n_correct_lax from scored_t group by 1", "scored_t")
+def per_scenario_accuracy(spark, d):
+    return scoring.by_scenario(_scored(spark, d))
+
+
+@_query("select label, cast(sum(support) as bigint) as support, cast(sum(predicted) as bigint) as predicted, cast(sum(tp) as bigint) as tp from (select expected_category as label, 1 as support, 0 as predicted, case when category = expected_category then 1 else 0 end as tp from scored_t where expected_category is not null union all select category, 0, 1, 0 from scored_t where category is not null) group by 1", "scored_t")
+def category_one_vs_rest(spark, d):
+    return scoring.one_vs_rest(_scored(spark, d)).select("label", "support", "predicted", "tp")
+
+
+@_query("select expected_category as expected, case when outcome = 'EXCEPTION' then category else outcome end as reported, cast(count(*) as bigint) as n from scored_t where expected_outcome = 'EXCEPTION' group by 1, 2", "scored_t")
+def confusion_matrix(spark, d):
+    return scoring.confusion(_scored(spark, d))
+
+
+@_query("select cast(count(*) filter (outcome = 'ABSTAIN') as bigint) as n_abstained, cast(count(*) filter (outcome = 'ABSTAIN' and expected_outcome = 'ABSTAIN') as bigint) as n_right, cast(count(*) filter (outcome = 'ABSTAIN' and expected_outcome <> 'ABSTAIN') as bigint) as n_missed from scored_t", "scored_t")
+def abstention_accounting(spark, d):
+    return scoring.abstentions(_scored(spark, d))
+
+
+@_query("select cast(count(*) filter (expected_outcome = 'NO_ACTION') as bigint) as support, cast(count(*) filter (expected_outcome = 'NO_ACTION' and outcome = 'EXCEPTION') as bigint) as n_false, cast(0.0 as double) as rate from scored_t", "scored_t")
+def no_action_false_positives(spark, d):
+    return scoring.idle_false_positives(_scored(spark, d))
+
+
+@_query("select threshold, cast(count(*) filter (k) as bigint) as n_kept, cast(count(*) filter (k) as double) / count(*) as coverage, coalesce(cast(count(*) filter (k and outcome = expected_outcome and fp = 0 and fn = 0) as double) / nullif(count(*) filter (k), 0), 0.0) as \"precision\" from (select *, confidence >= threshold and outcome <> 'ABSTAIN' as k from scored_t, (select unnest([cast(0.0 as double), 0.25, 0.5, 0.75, 0.9]) as threshold)) group by 1", "scored_t")
+def precision_coverage_curve(spark, d):
+    return scoring.curve(_scored(spark, d), [0.0, 0.25, 0.5, 0.75, 0.9]).drop("false_match")
+
+
+@_query()
+def generated_scorecard(spark, d):
+    """A generated batch of 1,000 cases reconciled by the default ladder and scored by scenario."""
+    data = generator.generate(spark, 1000, 42, "primary")
+    run = ladder.run_ladder(data.batch)
+    decided, claimed = verdicts.verdicts(data.batch, data.cases, run), verdicts.allocations(data.cases, run)
+    want = verdicts.bridge(data.key_cases).join(data.key_allocations, "settlement_id").select("case_id", "event_id", "settlement_id")
+    return scoring.by_scenario(scoring.judged(data.key_cases, decided, want, claimed))
