@@ -3,21 +3,23 @@
 Two documents link when the Jaccard similarity of their sets of word n-grams
 reaches percent/100.  Sets are arrays of 64-bit n-gram hashes.
 
-1. Equal sets become one node (by count and a hash of the set).
-2. Sizes fall into overlapping bands [lo, hi] such that any two sizes that can
-   link share a band.  Within a band, two sets that link differ in at most
-   D = floor((100 - p) (2 hi) / (100 + p)) n-grams; so of D + 1 classes of
-   n-grams (by hash) one at least has the same members in both.  Nodes that
-   agree on a class of a band may link, all others cannot: nothing is lost, and
-   what many documents share (a passage, a frequent n-gram) draws no pairs, as
-   a whole class has to agree.
-3. Nodes under one key form a star around the least one; the components of
-   the stars are tiles.  A tile over `block` nodes is cut into blocks, and each
-   pair of blocks is a tile of its own, so a task holds 2 * block sets.
-4. In a tile, the bits set in one bitmap only bound the overlap from above;
-   where that bound leaves a link possible and the two are not yet connected,
-   the sorted arrays are intersected.  The links found span what all links
-   span, and their components are the answer.
+1. Equal sets become one node, known by a hash of the set.
+2. Let c be the least overlap that a set of n n-grams needs to link, and l(n) a
+   small share of n.  Of two sets that link, the first n - c + l(n) n-grams in
+   the order of hashes have l of the smaller in common.  So a node stays only if
+   so many of these n-grams occur in other nodes' too.
+3. The n-grams of the nodes that stay are ordered by how many of these nodes
+   hold them, rarest first.  Two sets that link share one of their first
+   n - c + 1.  Nodes that share such an n-gram form a star around the least one,
+   and components of the stars hold all links.  What many documents share (a
+   passage, a frequent n-gram) stands last and draws in only nodes that consist
+   of it.
+4. Each component is cut into tiles of neighbouring size bands, outside of which
+   no two sizes can link, and tiles over `block` nodes into pairs of blocks, so a
+   task holds 2 * block sets.  In a tile, the bits set in one bitmap only bound
+   the overlap from above; where that bound leaves a link possible and the two
+   are not yet connected, the sorted arrays are intersected.  The links found
+   span what all links span, and their components are the answer.
 """
 
 from __future__ import annotations
@@ -29,25 +31,25 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tallyloom.llm import textops as X
 from tallyloom.llm.graph import components
-from tallyloom.llm.store import written
+from tallyloom.llm.store import few, without, written
 
-#: Each size band reaches this far above its start.
-BAND = 1.4
 BLOCK = 1000
+#: Nodes that a task remembers having sent; it then starts afresh.
+SENT = 1_000_000
 
 
-def bands(n: int, percent: int) -> list[tuple[int, int]]:
-    """(lo, hi) of the one or more bands that hold size n."""
-    found, lo = [], 1
-    while lo <= n:
-        hi = max(lo, int(lo * BAND))
-        if n <= hi:
-            found.append((lo, hi))
-        lo = -(-percent * (hi + 1) // 100)
-    return found
+def least_overlap(n: int, percent: int) -> int:
+    """The n-grams that a set of n has in common with any set it links with, at least."""
+    return -(-percent * n // 100)
+
+
+def spare(n: int) -> int:
+    """l(n): n-grams that a first prefix has beyond what one common n-gram needs; grows with n."""
+    return -(-n // 10)
 
 
 def shingles(w: X.Words, i: int, size: int) -> np.ndarray:
@@ -66,31 +68,43 @@ def set_key(s: np.ndarray) -> int:
     return int(np.add.reduce(X.mix(s ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)) if len(s) else 0
 
 
-def class_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """A key for each band and class; bands in which only equal sets link need none."""
-    keys, mixed = [], X.mix(s + np.uint64(0x14057B7EF767814F))
-    for lo, hi in bands(len(s), percent):
-        m = (100 - percent) * 2 * hi // (100 + percent) + 1
-        if m == 1:
-            continue
-        sums = np.zeros(m, np.uint64)
-        np.add.at(sums, (s % np.uint64(m)).astype(np.int64), mixed)
-        keys.append(X.mix(sums ^ X.mix(np.arange(m, dtype=np.uint64) + np.uint64(lo << 32))))
-    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-
-
-def shingle_sets(docs: DataFrame, size: int = 3, percent: int = 90, keys: bool = True) -> DataFrame:
-    """(doc_id, n, node, keys): size and key of each row's set and its class keys; keys=False: the set itself as bytes, `grams`."""
+def _each_set(docs: DataFrame, size: int, row, schema: str, columns: tuple[str, ...] = (), limit: int = X.PIECE_BYTES) -> DataFrame:
+    """row(values of columns, set) as rows of schema, for each row of docs and its set; None: no row."""
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    types = [kinds[x.split(" ")[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
-            for part in X.pieces(batch):
+            for part in X.pieces(batch, limit=limit):
                 w = X.words(part.column("text"), X.NOT_SPACE, lower=True)
-                sets = [shingles(w, i, size) for i in range(part.num_rows)]
-                last = pa.array([class_keys(s, percent) for s in sets], pa.list_(pa.int64())) if keys else pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), last], ["doc_id", "n", "node", "keys" if keys else "grams"])
+                values = zip(*(part.column(c).to_pylist() for c in columns), strict=True) if columns else [()] * part.num_rows
+                out = [x for i, v in enumerate(values) for x in row(v, shingles(w, i, size), sent)]
+                if len(sent) > SENT:
+                    sent.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(types), types, strict=True)], names)
+
+    return docs.select(*columns, "text").mapInArrow(run, schema)
+
+
+def _first_prefix(percent: int):
+    """(node, its first n-grams by hash), once a task."""
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long, " + ("keys array<long>" if keys else "grams binary"))
+    def row(_: tuple, s: np.ndarray, sent: set[int]) -> list[tuple]:
+        node = set_key(s)
+        if not len(s) or node in sent:
+            return []
+        sent.add(node)
+        return [(node, s[: len(s) - least_overlap(len(s), percent) + spare(len(s))].view(np.int64))]
+
+    return row
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """rows (node, token, ...) whose token two nodes or more hold, with `least` and `holders`; one shuffle, spilling where a token has many holders."""
+    w = W.partitionBy("token")
+    return rows.withColumns({"least": F.min("node").over(w), "most": F.max("node").over(w), "holders": F.count("*").over(w)}).where("least <> most").drop("most")
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -139,17 +153,32 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, block:
     lends its id to none.  Rows that repeat a doc_id are compared each by its
     own text.  Other columns are not read.  An empty table gives no rows.
     """
-    rows = written(shingle_sets(docs, size, percent), "sets")
-    node = rows.where("n > 0 and doc_id is not null").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.min("keys").alias("keys"))
-    key = node.select("node", F.explode("keys").alias("key"))
-    star = key.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
-    edges = key.join(star, "key").where("node <> least").select("node", "least").distinct()
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = written(_each_set(docs, size, lambda v, s, _: [(v[0], len(s), set_key(s))], "doc_id long, n long, node long", ("doc_id",)), "sets")
+    node = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    first = _each_set(docs.where("doc_id is not null"), size, _first_prefix(percent), "node long, tokens array<long>").select("node", F.explode("tokens").alias("token"))
+    partner = F.ceil(F.col("n") * percent / 100)
+    enough = F.ceil(partner / 10)
+    stay = _shared(first).groupBy("node").count().join(node, "node").where(F.col("count") >= enough).select("doc_id", F.col("node").alias("expected"))
+    stay = written(stay, "stay")
+    texts = docs.join(F.broadcast(stay) if few(stay) else stay.hint("shuffle_hash"), "doc_id")
+    tokens = _each_set(texts, size, lambda v, s, _: [(v[0], len(s), s.view(np.int64))] if set_key(s) == v[0] else [], "node long, n long, tokens array<long>", ("expected",))
+    tokens = _shared(tokens.select("node", "n", F.explode("tokens").alias("token")))
+    # n-grams of one holder come before all others in the order, so those of two or more begin after them;
+    # ranks are dense, as rows that repeat a doc_id repeat its n-grams
+    nth = tokens.withColumn("nth", F.dense_rank().over(W.partitionBy("node").orderBy("holders", "token")))
+    place = F.col("nth") + F.col("n") - F.max("nth").over(W.partitionBy("node"))
+    prefix = nth.withColumn("place", place).where(F.col("place") <= F.col("n") - partner + 1).select("node", "token")
+    edges = _shared(prefix.select("node", "token")).where("node <> least").select("node", "least").distinct()
     tile = written(components(edges, "node", "least"), "tiles")
-    parts = tile.groupBy("root").count().select("root", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    reps = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    member = reps.join(tile, "node").join(parts, "root").select("doc_id", F.col("node").alias("expected"), "root", "parts")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(member.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "expected", "root", "parts")
-    linked = _tiles(texts, size, percent).groupBy("root", "i", "j").applyInPandas(lambda p: _solve(p, percent), "a long, b long")
+    at = tile.join(node, "node").withColumn("band", F.floor(F.ln("n") / np.log(100 / percent) + 1e-9))
+    both = at.select("root", "doc_id", F.col("node").alias("expected"), F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("tile"))
+    sizes = both.groupBy("root", "tile").count().select("root", "tile", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    tiles = both.join(sizes, ["root", "tile"]).groupBy("doc_id", "expected", "root").agg(F.collect_list(F.struct("tile", "parts")).alias("tiles"))
+    member = written(tiles.select("doc_id", "expected", "root", F.col("tiles.tile").alias("tile"), F.col("tiles.parts").alias("parts")), "members")
+    texts = docs.join(F.broadcast(member) if few(member) else member.hint("shuffle_hash"), "doc_id")
+    placed = _each_set(texts, size, _placed, "root long, tile long, i int, j int, node long, grams binary", ("expected", "root", "tile", "parts"), X.PIECE_BYTES // 4)
+    linked = placed.groupBy("root", "tile", "i", "j").applyInPandas(lambda p: _solve(p, percent), "a long, b long")
     comp = components(linked, "a", "b")
     labelled = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -160,25 +189,13 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, block:
     )
 
 
-def _tiles(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(root, i, j, node, grams): each member's set in every tile of its group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in X.pieces(batch, limit=X.PIECE_BYTES // 4):
-                w = X.words(part.column("text"), X.NOT_SPACE, lower=True)
-                out: dict[str, list] = {k: [] for k in ("root", "i", "j", "node", "grams")}
-                for r, (expected, root, parts) in enumerate(zip(*(part.column(c).to_pylist() for c in ("expected", "root", "parts")), strict=True)):
-                    s = shingles(w, r, size)
-                    if set_key(s) != expected:  # another text under the same doc_id
-                        continue
-                    at = int(X.mix(np.array([expected]).view(np.uint64))[0] % np.uint64(parts))
-                    for k in range(parts):
-                        for c, v in zip(out, (root, min(at, k), max(at, k), expected, s.tobytes()), strict=True):
-                            out[c].append(v)
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("root", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("grams", pa.binary())]))
-
-    return texts.mapInArrow(run, "root long, i int, j int, node long, grams binary")
+def _placed(values: tuple, s: np.ndarray, _: set[int]) -> list[tuple]:
+    """A row for each tile and pair of blocks that the set takes part in; none for another text under the same doc_id."""
+    expected, root, tiles, parts = values
+    if set_key(s) != expected:
+        return []
+    spread = int(X.mix(np.array([expected]).view(np.uint64))[0] >> np.uint64(1))
+    return [(root, t, min(spread % p, k), max(spread % p, k), expected, s.tobytes()) for t, p in zip(tiles, parts, strict=True) for k in range(p)]
 
 
 def _solve(p: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -189,5 +206,4 @@ def _solve(p: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """The rows of docs whose doc_id is the least of its component; of rows that repeat such an id all stay, rows without an id stay too."""
-    keep = jaccard_components(docs, size, percent, block).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_anti")
+    return without(docs, jaccard_components(docs, size, percent, block).where("doc_id <> component_id"), "doc_id")

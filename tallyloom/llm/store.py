@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,8 +24,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and safe when executors go."""
-    path = new_path(df.sparkSession, name)
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and safe when executors go.
+
+    release: asks the driver to collect its garbage, upon which Spark deletes
+    the shuffle files of jobs that nothing refers to any more.
+    """
+    spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if release:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+#: Rows of ids that are broadcast; more are shuffled.
+FEW = 200_000
+
+
+def few(ids: DataFrame, most: int = FEW) -> bool:
+    """Whether so small a table may be broadcast; ids should be written, as it is counted."""
+    return ids.limit(most + 1).count() <= most
+
+
+def without(df: DataFrame, ids: DataFrame, column: str, most: int = FEW) -> DataFrame:
+    """df less the rows whose column is among ids; nulls stay.  Few ids are broadcast, so that df is not shuffled."""
+    ids = written(ids.select(column).distinct(), "ids")
+    return df.join(F.broadcast(ids) if few(ids, most) else ids, column, "left_anti")
