@@ -1 +1 @@
-"""See the module docstrings."""
+"""Streaming variants, beyond what a closed batch needs."""
