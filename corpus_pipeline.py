@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import decontam, langid, ngram_join, packing, quality
 from tallyloom.llm.queries import remainder
-from tallyloom.llm.store import written
+from tallyloom.llm.store import without, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,8 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a stretch within 20 % word edits of a benchmark item."""
-    leaked = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*COLUMNS)
+    return without(docs, decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "doc_id").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

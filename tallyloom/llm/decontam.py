@@ -30,8 +30,8 @@ from tallyloom.llm import textops as X
 
 #: Words of items that one pass holds; more items take more passes.
 ITEM_WORDS = 1_000_000
-PIECE_BYTES = 8 << 20
-LANES = 4096
+PIECE_BYTES = 4 << 20
+LANES = 2048
 
 
 def allowed(n: int, percent: int) -> int:
@@ -226,6 +226,7 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 20, bits: int = 2, t
 def _pass(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
+    @X.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:

@@ -83,7 +83,7 @@ class Parser:
             tables.append(np.where(t >= 0, (t + at) * ALPHABET, -1).astype(np.int32))
             self.roots.append(at * ALPHABET)
             at += len(t)
-        self.table = np.concatenate([t.ravel() for t in tables])
+        self.table = np.concatenate([np.zeros(0, np.int32), *(t.ravel() for t in tables)])
         self.roots = np.array(self.roots, np.int32)[:, None]
         self.bits = np.log2([max(2, len(samples[x])) for x in self.langs])
 
@@ -142,13 +142,15 @@ def identify(docs: DataFrame, usable: Column, sample_docs: int = 40, sample_char
     known = train(docs, usable, sample_docs, sample_chars, all_symbols)
     shared = docs.sparkSession.sparkContext.broadcast(known)
     carried = list(dict.fromkeys(["doc_id", *keep]))
+    text = "text" if "text" in carried else "text_"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema) + ", lang_pred string, score double, phrases map<string,double>"
 
+    @X.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = shared.value
         for batch in batches:
-            for part in X.pieces(batch, "text_"):
-                s, offsets = symbols(part.column("text_"))
+            for part in X.pieces(batch, text):
+                s, offsets = symbols(part.column(text))
                 letters = np.array(part.column("letters_").to_pylist(), bool) & bool(parser.langs)
                 rate = parser.phrases(s, offsets) * parser.bits[:, None] / np.maximum(1, np.diff(offsets)) if parser.langs else np.zeros((1, part.num_rows))
                 best = rate.argmin(0)
@@ -158,4 +160,4 @@ def identify(docs: DataFrame, usable: Column, sample_docs: int = 40, sample_char
                 rates = [list(zip(parser.langs, rate[:, i].tolist(), strict=True)) if ok else [] for i, ok in enumerate(letters)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(pred), pa.array(score), pa.array(rates, pa.map_(pa.string(), pa.float64()))], [*carried, "lang_pred", "score", "phrases"])
 
-    return docs.select(*carried, F.col("text").alias("text_"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters_")).mapInArrow(run, schema)
+    return docs.select(*carried, *([] if text in carried else [F.col("text").alias(text)]), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters_")).mapInArrow(run, schema)

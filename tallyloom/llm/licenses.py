@@ -47,6 +47,7 @@ def _sets(templates: tuple[tuple[str, str], ...]) -> list[np.ndarray]:
 def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """How often each word hash of the sorted vocabulary occurs in all texts; a task sends one row for each."""
 
+    @X.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
@@ -137,6 +138,7 @@ def scan(docs: DataFrame, percent: int = 90, window: int = 64, templates: tuple[
     vocabulary = np.unique(np.concatenate(_sets(templates)))
     matcher = Matcher(templates, phrases, percent, window, vocabulary, frequencies(docs, vocabulary))
 
+    @X.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in SCAN.split(", ")]
         span = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("containment", pa.float64())]))

@@ -74,6 +74,7 @@ def _each_set(docs: DataFrame, size: int, row, schema: str, columns: tuple[str,
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     types = [kinds[x.split(" ")[1]] for x in schema.split(", ")]
 
+    @X.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:

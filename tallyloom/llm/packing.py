@@ -24,7 +24,7 @@ from tallyloom.llm.store import written
 
 PART_ROWS = 20_000
 #: Words that a worker remembers in each of two generations, and the longest such word.
-REMEMBERED, LONGEST = 350_000, 48
+REMEMBERED, LONGEST = 250_000, 48
 
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[[0x09, 0x0A]] = 0x20
@@ -82,6 +82,10 @@ class Ids:
         for parts in texts:
             yield b"".join(map(ids.__getitem__, parts))
 
+    def rest(self) -> None:
+        """Forgets the old generation, so that a worker between tasks holds one."""
+        self.old = {}
+
     def _ids(self, words: set[str]) -> dict[str, bytes]:
         """Ids of all these words, remembered or learned at once."""
         known = words & self.young.keys()
@@ -111,6 +115,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, name: str, limit: int, end: int) -> DataFrame:
     """Each document's ids and the end id, cut only where they exceed limit."""
 
+    @X.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in X.pieces(batch):
@@ -122,6 +127,7 @@ def pieces(docs: DataFrame, name: str, limit: int, end: int) -> DataFrame:
                         out.append((doc, k, at, len(piece) // 4, zlib.crc32(piece)))
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids_by(name).rest()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE)
 

@@ -69,6 +69,7 @@ def counted(docs: DataFrame, counters: dict[str, Callable[[np.ndarray, np.ndarra
     names = [f"n{i}" for i in range(len(counters))]
     schema = "doc_id long, source string, lang string, copy long, " + ", ".join(f"{n} long" for n in names)
 
+    @X.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in X.pieces(batch):

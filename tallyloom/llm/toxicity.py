@@ -250,6 +250,7 @@ def score(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE
     texts, toxic, share = sample(docs, labels, usable, rows)
     shared = docs.sparkSession.sparkContext.broadcast(fit(texts, toxic, share) if texts else fit([""], np.array([0]), share))
 
+    @X.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
