@@ -24,7 +24,7 @@ from tallyloom.llm.store import written
 
 PART_ROWS = 20_000
 #: Words that a worker remembers in each of two generations, and the longest such word.
-REMEMBERED, LONGEST = 250_000, 48
+REMEMBERED, LONGEST = 350_000, 48
 
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[[0x09, 0x0A]] = 0x20
@@ -53,14 +53,15 @@ class Ids:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if w.isalpha() and max(w) < "\u0250"]
-        other = [w for w in words if not (w.isalpha() and max(w) < "\u0250")]
-        out = {}
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        plain, other, out = [], [], {}
+        for w in words:
+            (plain if w.isalpha() and (w.isascii() or max(w) < "\u0250") else other).append(w)
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
         for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
             cut = np.flatnonzero(self.ends[ids]) + 1
@@ -78,7 +79,7 @@ class Ids:
         offsets = offsets + np.searchsorted(stop, offsets)
         s = np.insert(s, stop, 0x20).tobytes()
         texts = [s[a:b].decode().split(" ") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        ids = self._ids({w for parts in texts for w in parts})
+        ids = self._ids(set().union(*texts))
         for parts in texts:
             yield b"".join(map(ids.__getitem__, parts))
 
@@ -87,16 +88,18 @@ class Ids:
         self.old = {}
 
     def _ids(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of all these words, remembered or learned at once."""
-        known = words & self.young.keys()
-        out = {w: self.young[w] for w in known}
-        found = {w: self.old[w] for w in (words - known) & self.old.keys()}
-        found |= self._learn(list(words - known - found.keys()))
-        out |= found
-        if len(self.young) + len(found) > REMEMBERED:
+        """The young generation, once it has all these words, remembered or learned at once."""
+        for w in self.long:
+            self.young.pop(w, None)
+        if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        self.young.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
-        return out
+        missing = words - self.young.keys()
+        kept = missing & self.old.keys()
+        self.young.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
+        found = self._learn(missing - kept)
+        self.young.update(found)
+        self.long = [w for w in found if len(w) > LONGEST]
+        return self.young
 
 
 _known: dict[str, Ids] = {}
