@@ -456,10 +456,10 @@ def test_toxicity_learns_from_labels(spark, odd, none):
 def test_seating_bounds_and_mean():
     c = np.array([0, 1, 2, 5, 64, 1000, 10**6])
     rng = np.random.default_rng(1)
-    t = hpylm.seat(c, np.full(len(c), 50.0), 0.5, lambda _: rng.random(len(c)))
+    t = hpylm.seat(c, np.full(len(c), 50.0), 0.5, lambda _, some: rng.random(len(some)))
     assert (t <= c).all() and (t[c > 0] >= 1).all() and t[0] == 0
     many = np.full(20_000, 3)
-    t = hpylm.seat(many, np.full(len(many), 1.0), 0.5, lambda _: rng.random(len(many)))
+    t = hpylm.seat(many, np.full(len(many), 1.0), 0.5, lambda _, some: rng.random(len(some)))
     second, third = 1 / 1.5, lambda k: 1 / (1 + 2 - 0.5 * k)
     assert abs(t.mean() - (1 + second + second * third(2) + (1 - second) * third(1))) < 0.02
 
