@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,10 @@ def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     df.write.parquet(path)
     if release:
         del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # what the first round lets go of, the second one finds
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
     return spark.read.schema(schema).parquet(path)
 
 
