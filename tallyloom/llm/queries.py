@@ -21,10 +21,15 @@ def remainder(n: int) -> Column:
 
 
 def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that lie in 12 shards by a hash of doc_id, moved to 16 of nearly equal bytes."""
+    """Documents written to 12 shards by a hash of doc_id and rewritten to 16 of nearly equal bytes, as the new files hold them."""
+    docs = _table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
+    olds = sharding.write_shards(docs, remainder(12).cast("int"), new_path(spark, "old-shards"))
+    schema = docs.withColumn("row", F.lit(0).cast("long")).schema
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), remainder(12).cast("int").alias("old"))
-    placed = sharding.slots(sharding.reshard(rows, shards=16, olds=12))
+    size = (F.octet_length(text) + 1).cast("long").alias("size")
+    planned = sharding.reshard(sharding.read_shards(spark, olds, schema).select("row", "doc_id", size, F.col("shard").alias("old")), shards=16, olds=12)
+    news = sharding.rewrite(spark, olds, planned, new_path(spark, "new-shards"), key="row")
+    placed = sharding.slots(sharding.read_shards(spark, news, schema).select("doc_id", size, F.crc32(text).alias("text_crc32"), "shard"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -9,6 +9,9 @@ middle lies.  Cuts fall between rows, so shards then differ by a few rows'
 sizes; further flows over lines that end in the smallest rows even that out.
 
 The driver sees sizes by shard and block only: shards * blocks rows at most.
+
+Rows are known by a key given when they are first written to shards; the shards
+that gain or lose rows are then rewritten, whole rows with all their columns.
 """
 
 from __future__ import annotations
@@ -111,7 +114,7 @@ def reshard(rows: DataFrame, shards: int, olds: int, capacities: list[int] | Non
     any other.  An empty table gives an empty table.  Which of several equal
     rows goes where is free, and fixed once written.
     """
-    rows = written(rows.withColumn("tie", F.xxhash64("doc_id", "size")), "rows")
+    rows = written(rows.withColumn("tie", F.xxhash64(*(c for c in ("row", "doc_id", "size") if c in rows.columns))), "rows")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     targets = capacities or even(total, shards)
     blocks = max(1, min(MOST_BLOCKS, n // (BLOCK_ROWS * olds) + 16))
@@ -146,17 +149,50 @@ def slots(rows: DataFrame, blocks: int = 256) -> DataFrame:
     return rows.join(F.broadcast(base_df), ["shard", "block"]).withColumn("slot", F.col("base") + F.row_number().over(order) - 1).drop("base", "block")
 
 
-def rewrite(spark: SparkSession, manifest: DataFrame, assigned: DataFrame, out: str) -> DataFrame:
+def write_shards(docs: DataFrame, shard: Column, out: str) -> DataFrame:
+    """Writes docs in a Parquet folder for each shard and returns the manifest (shard, path).
+
+    Each row gets a key of its own, `row`, by which it is known from then on.
+    docs must not have columns named row or shard.
+    """
+    spark = docs.sparkSession
+    docs.withColumns({"row": F.monotonically_increasing_id(), "shard": shard}).write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(out)
+    schema = T.StructType([*docs.schema.fields, T.StructField("row", T.LongType()), T.StructField("shard", T.IntegerType())])
+    shards = spark.read.schema(schema).parquet(out).select("shard").distinct()
+    return spark.createDataFrame(sorted((r.shard, f"{out}/shard={r.shard}") for r in shards.toLocalIterator()), "shard int, path string")
+
+
+def read_shards(spark: SparkSession, manifest: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of all shards, with `shard`.  schema: that of the rows in the files."""
+    roots: dict[str, list[str]] = {}
+    for r in manifest.orderBy("shard").toLocalIterator():
+        roots.setdefault(r.path.rsplit("/", 1)[0], []).append(r.path)
+    out = spark.createDataFrame([], whole := T.StructType([*schema.fields, T.StructField("shard", T.IntegerType())]))
+    for root, paths in roots.items():
+        out = out.unionByName(spark.read.schema(whole).option("basePath", root).parquet(*paths))
+    return out
+
+
+def rewrite(spark: SparkSession, manifest: DataFrame, assigned: DataFrame, out: str, key: str = "doc_id") -> DataFrame:
     """Writes the shards that gain or lose rows, in a folder of their own each; the others' folders stay as they are.
 
     manifest: (shard, path) of each old shard's Parquet folder.  assigned:
-    (doc_id, old, shard).  Returns the new manifest.  doc_ids must be unique.
-    A rerun writes the same folders again.
+    (key, old, shard), a row for each row of the shards.  key: the column that
+    tells rows apart, `row` where write_shards wrote them; a key that repeats is
+    refused, as its rows could be lost or doubled.  Returns the new manifest, of
+    the shards that hold rows.  A rerun writes the same folders again.
     """
+    if key != "row" and assigned.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{key} repeats: rows need a key of their own")
     moved = assigned.where("old <> shard")
     touched = {r[0] for r in moved.select("old").union(moved.select("shard")).distinct().toLocalIterator()}
     paths = {r.shard: r.path for r in manifest.toLocalIterator()}
     old = [paths[s] for s in sorted(touched) if s in paths]
     if old:
-        spark.read.parquet(*old).join(assigned.select("doc_id", "shard"), "doc_id").repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.mode("overwrite").partitionBy("shard").parquet(out)
-    return spark.createDataFrame(sorted((paths | {s: f"{out}/shard={s}" for s in touched}).items()), "shard int, path string")
+        rows, goal = spark.read.parquet(*old), assigned.where(F.col("old").isin(*touched)).select(F.col(key).alias("goal_key"), "shard")
+        # only the ids are held by the join, texts stream past; they are shuffled once
+        placed = rows.join(goal.hint("shuffle_hash"), rows[key].eqNullSafe(goal["goal_key"])).drop("goal_key")
+        placed.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(out)
+    held = {r.shard for r in assigned.select("shard").distinct().toLocalIterator()}
+    new = {s: p for s, p in paths.items() if s not in touched} | {s: f"{out}/shard={s}" for s in touched & held}
+    return spark.createDataFrame(sorted(new.items()), "shard int, path string")

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import decontam, graph, hpylm, langid, licenses, ngram_join, packing, quality, rollup, sharding, toxicity
 from tallyloom.llm import textops as X
-from tallyloom.llm.queries import remainder
-from tallyloom.llm.store import new_path
+from tallyloom.llm.queries import op1_reshard, remainder
+from tallyloom.llm.store import new_path, shared_dir
 
 SPACE = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -134,6 +135,30 @@ def test_rewrite_touches_only_affected_shards(spark, tmp_path):
     assert held == {s: {r.doc_id for r in assigned.collect() if r.shard == s} for s in range(3)}
 
 
+def test_shards_are_rewritten_without_losing_null_or_repeated_ids(spark, odd, odd_rows, none, tmp_path):
+    docs = odd.select("doc_id", "text")
+    olds = sharding.write_shards(docs, F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)).cast("int"), str(tmp_path / "v0"))
+    schema = docs.withColumn("row", F.lit(0).cast("long")).schema
+    size = (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size")
+    planned = sharding.reshard(sharding.read_shards(spark, olds, schema).select("row", "doc_id", size, F.col("shard").alias("old")), 4, 3)
+    news = sharding.rewrite(spark, olds, planned, str(tmp_path / "v1"), key="row")
+    held = sharding.read_shards(spark, news, schema).collect()
+    assert Counter((r.doc_id, r.text) for r in held) == Counter((r[0], r[1]) for r in odd_rows)
+    assert Counter((r.row, r.shard) for r in held) == Counter((r.row, r.shard) for r in planned.collect())
+    with pytest.raises(ValueError, match="repeats"):
+        sharding.rewrite(spark, olds, planned, str(tmp_path / "v2"))
+    folder = tmp_path / "in"
+    docs.write.parquet(f"{folder}/documents.parquet")
+    got = op1_reshard(spark, str(folder)).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in odd_rows)
+    newest = max((p for p in Path(shared_dir(spark).removeprefix("file:")).glob("tallyloom/new-shards-*")), key=lambda p: p.stat().st_mtime)
+    moved = spark.read.parquet(str(newest))
+    in_files = Counter((r.doc_id, r.shard, r.text or "") for r in moved.collect())
+    assert in_files and all(shard in {r.shard for r in got if r.doc_id == d} for d, shard, _ in in_files)
+    none.select("doc_id", "text").write.parquet(f"{folder}/none/documents.parquet")
+    assert op1_reshard(spark, f"{folder}/none").count() == 0
+
+
 # 2
 
 
