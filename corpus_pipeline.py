@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of up to 4096 tokens; a row for each piece of a document."""
+    """Sequences of up to 4096 tokens; a row with its ids for each piece of a document."""
     return packing.pack(docs, name="word_bpe_49k.json", size=4096, end=1)
 
 

@@ -112,7 +112,23 @@ def ids_by(name: str) -> Ids:
     return _known[name]
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def folded(ids: bytes) -> bytes:
+    """32-bit ids for the way through shuffles and files: their width, and 2 or 4 bytes each, compressed."""
+    own = np.frombuffer(ids, "<u4")
+    width = 2 if not len(own) or own.max() < 1 << 16 else 4
+    return bytes([width]) + _ZSTD.compress(own.astype(f"<u{width}").tobytes(), asbytes=True)
+
+
+def unfolded(data: bytes, length: int) -> bytes:
+    return np.frombuffer(_ZSTD.decompress(data[1:], length * data[0], asbytes=True), f"<u{data[0]}").astype("<u4").tobytes()
+
+
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Sequences lie in runs of 1 << RUN, each run whole in one file.
+RUN = 8
 
 
 def pieces(docs: DataFrame, name: str, limit: int, end: int) -> DataFrame:
@@ -127,12 +143,12 @@ def pieces(docs: DataFrame, name: str, limit: int, end: int) -> DataFrame:
                     ids = memoryview(ids + np.array([end], "<u4").tobytes())
                     for k, at in enumerate(range(0, len(ids) // 4, limit)):
                         piece = ids[4 * at : 4 * (at + limit)]
-                        out.append((doc, k, at, len(piece) // 4, zlib.crc32(piece)))
-                cols = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                        out.append((doc, k, at, len(piece) // 4, zlib.crc32(piece), folded(piece)))
+                cols = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
         ids_by(name).rest()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE + ", ids binary")
 
 
 def lower_bound(counts: np.ndarray, size: int) -> int:
@@ -174,7 +190,8 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return to, at
 
 
-PACKED = PIECE + ", part long, sequence_id long, offset long, opened boolean"
+SEQUENCES = PIECE + ", sequence_id long, offset long"
+PACKED = PIECE + ", key long, part long, sequence_id long, offset long, opened boolean"
 
 
 def _pack(df: DataFrame, parts: int, size: int, turn: int) -> DataFrame:
@@ -191,19 +208,23 @@ def _pack(df: DataFrame, parts: int, size: int, turn: int) -> DataFrame:
         opened = (least & (fill < size)) | (gap & (fill < size - size // 64))
         return p.assign(sequence_id=((turn << 36) + p.part) * (1 << 20) + to, offset=at, opened=opened[to])
 
-    dealt = df.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)).alias("part"))
+    dealt = df.select("doc_id", "piece", "start", "length", "ids_crc32", "key", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)).alias("part"))
     return written(dealt.groupBy("part").applyInPandas(run, PACKED), "packed")
 
 
-def pack(docs: DataFrame, name: str = "word_bpe_49k.json", size: int = 4096, end: int = 1, part_rows: int = PART_ROWS, turns: int = 4) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): a row for each piece.
+def pack(docs: DataFrame, name: str = "word_bpe_49k.json", size: int = 4096, end: int = 1, part_rows: int = PART_ROWS, turns: int = 4, digests: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids): a row for each piece, as the written sequences hold it.
+
+    ids: little-endian 32-bit integers; those of a sequence are its pieces' by
+    offset.  A sequence's pieces lie in one file, one after another.  digests: all
+    columns but ids, still of the ids in the files.
 
     A null or empty text is its end id alone.  Only documents over size ids are
     cut, into whole sequences and a rest.  Rows with a null or repeated doc_id
     are packed like any other.  An empty table gives no rows; other columns are
     not read.
     """
-    cut = written(pieces(docs, name, size, end), "pieces")
+    cut = written(pieces(docs, name, size, end).withColumn("key", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(size + 1, np.int64)
     for r in cut.groupBy("length").count().toLocalIterator():
         counts[r.length] = r["count"]
@@ -227,4 +248,25 @@ def pack(docs: DataFrame, name: str = "word_bpe_49k.json", size: int = 4096, end
     out = kept[0]
     for df in kept[1:]:
         out = out.unionByName(df)
-    return out.drop("part", "opened")
+    return _sequences(cut, out, digests)
+
+
+def _sequences(cut: DataFrame, placed: DataFrame, digests: bool) -> DataFrame:
+    """The pieces' ids brought to their sequences, written, and what the files hold."""
+    places = placed.select("key", "sequence_id", "offset").hint("shuffle_hash")  # ids stream past the places
+    rows = cut.select("key", "doc_id", "piece", "start", "length", "ids").join(places, "key").drop("key")
+    held = written(rows.repartition(F.shiftright("sequence_id", RUN)).sortWithinPartitions("sequence_id", "offset"), "sequences")
+
+    @X.tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                doc, piece, start, length, data, sequence, offset = part.columns
+                ids = [unfolded(x, n) for x, n in zip(data.to_pylist(), length.to_pylist(), strict=True)]
+                sizes, sums = pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())
+                cols = [doc, piece, start, sizes, sums, sequence, offset, *([] if digests else [pa.array(ids, pa.binary())])]
+                yield pa.RecordBatch.from_arrays(cols, [x.split(" ")[0] for x in kinds.split(", ")])
+
+    kinds = SEQUENCES if digests else SEQUENCES + ", ids binary"
+    return held.select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset").mapInArrow(run, kinds)

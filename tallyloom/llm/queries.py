@@ -50,8 +50,8 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of up to 4096 tokens."""
-    return packing.pack(_table(spark, sf_dir, "documents"), name="word_bpe_49k.json", size=4096, end=1)
+    """All documents packed into sequences of up to 4096 tokens; a digest of each piece as the sequences hold it."""
+    return packing.pack(_table(spark, sf_dir, "documents"), name="word_bpe_49k.json", size=4096, end=1, digests=True)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

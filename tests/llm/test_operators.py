@@ -338,6 +338,20 @@ def test_pack_keeps_every_piece_and_fills_from_zero(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_sequences_hold_the_ids_of_whole_documents(odd, odd_rows):
+    got = packing.pack(odd, size=256, part_rows=20).collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in got)
+    texts = [r[1] for r in odd_rows]
+    want = Counter()
+    for (doc, *_), ids in zip(odd_rows, packing.Ids("word_bpe_49k.json").of(*X.bytes_of(pa.array(texts))), strict=True):
+        ids += np.array([1], "<u4").tobytes()
+        want.update((doc, k, ids[i : i + 1024]) for k, i in enumerate(range(0, len(ids), 1024)))
+    assert Counter((r.doc_id, r.piece, bytes(r.ids)) for r in got) == want
+    for some in ([], [0, 65535], [0, 65536, 2**32 - 1]):
+        ids = np.array(some, "<u4").tobytes()
+        assert packing.unfolded(packing.folded(ids), len(some)) == ids
+
+
 # 6
 
 

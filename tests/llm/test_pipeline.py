@@ -78,6 +78,11 @@ def test_each_stage_on_its_own_input(spark, table):
     assert sums <= 4096
 
 
+def test_result_holds_the_packed_ids(spark, table):
+    docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: len(r.ids) // 4 == r.length > 0 for r in P.packed(spark, docs, table).collect()} == {1: True, 2: True}
+
+
 def test_run_and_registration(spark, table):
     assert {n.split("_")[0] for n in __spark_entry__.queries() if re.match(r"op\d+_", n)} == {f"op{n}" for n in range(1, 11)}
     out = __spark_entry__.queries()["pipeline"](spark, table)
