@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A block is a line, or a window of `window` words, half overlapping, of a longer
-line.  A template T meets a block B when |T & B| >= percent/100 * |T| over
+line or of the whole text, its line breaks ignored, so that a notice wrapped
+over lines is met too.  A template T meets a block B when |T & B| >= percent/100 * |T| over
 distinct words.  Template words are ordered by how often they occur in all
 documents, rarest first; a block that meets T holds at least one of the first
 |T| - need + 1 of these (prefix filter), has need words at least (length
@@ -109,22 +110,21 @@ class Matcher:
         known = self.vocabulary[at] == w.hash
         edges = np.append(line_first, len(w.hash))
         out: dict[int, list] = {}
-        seen: set[tuple[int, int]] = set()
+        seen: set[tuple[int, int, int]] = set()
         half = self.window // 2
         for i in np.flatnonzero(known & self.starts[at]):
-            line = int(np.searchsorted(edges, i, "right")) - 1
-            lo, hi = int(edges[line]), int(edges[line + 1])
-            last = 0 if hi - lo <= self.window else -(-(hi - lo - self.window) // half)
-            for b in range(max(0, (i - lo - self.window) // half + 1), min(last, (i - lo) // half) + 1):
-                a, z = lo + b * half, min(hi, lo + b * half + self.window)
-                for t, r in self.prefix[int(at[i])]:
-                    if z - a < self.need[t] or len(self.words[t]) - r < self.need[t] or (a, t) in seen:
-                        continue
-                    seen.add((a, t))
-                    common = len({*at[a:z][known[a:z]].tolist()} & {*map(int, self.words[t])})
-                    if common >= self.need[t]:
-                        row = int(w.row[i])
-                        out.setdefault(row, []).append((self.labels[t], int(a - w.first[row]), int(z - 1 - w.first[row]), common / len(self.words[t])))
+            line, row = int(np.searchsorted(edges, i, "right")) - 1, int(w.row[i])
+            for lo, hi in {(int(edges[line]), int(edges[line + 1])), (int(w.first[row]), int(w.first[row + 1]))}:
+                last = 0 if hi - lo <= self.window else -(-(hi - lo - self.window) // half)
+                for b in range(max(0, (i - lo - self.window) // half + 1), min(last, (i - lo) // half) + 1):
+                    a, z = lo + b * half, min(hi, lo + b * half + self.window)
+                    for t, r in self.prefix[int(at[i])]:
+                        if z - a < self.need[t] or len(self.words[t]) - r < self.need[t] or (a, z, t) in seen:
+                            continue
+                        seen.add((a, z, t))
+                        common = len({*at[a:z][known[a:z]].tolist()} & {*map(int, self.words[t])})
+                        if common >= self.need[t]:
+                            out.setdefault(row, []).append((self.labels[t], int(a - w.first[row]), int(z - 1 - w.first[row]), common / len(self.words[t])))
         return out
 
 

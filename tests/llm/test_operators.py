@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -431,6 +432,23 @@ def test_licenses_match_all_windows(odd, odd_rows, none):
     assert got[301, 9].labels == "cc-by-nc" and licenses.scan(none).count() == 0
 
 
+def test_wrapped_notices_are_met(spark):
+    rng = random.Random(8)
+    filler = lambda n: "\n".join(sentence(rng, ["alpha", "beta", "gamma"], 7) for _ in range(n))
+    long = [(label, t) for label, t in licenses.TEMPLATES if len(t) > 60]
+    docs = [(i, f"{filler(before)}\n{textwrap.fill(t, 40)}\n{filler(5)}") for i, ((_, t), before) in enumerate(itertools.product(long, range(12)))]
+    docs += [(1000 + i, t.replace(" ", "\n")) for i, (_, t) in enumerate(long)]
+    truth = {i: label for i, ((label, _), _) in enumerate(itertools.product(long, range(12)))} | {1000 + i: label for i, (label, _) in enumerate(long)}
+    docs.append((2000, filler(40)))
+    for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        if r.doc_id == 2000:
+            assert r.labels == "" and r.score == 0 and not r.spans
+            continue
+        assert truth[r.doc_id] in r.labels.split(",") and r.score >= 0.9
+        assert any(s.label == truth[r.doc_id] and s.containment == 1 for s in r.spans)
+        assert len(set(map(tuple, r.spans))) == len(r.spans)
+
+
 # 9
 
 
