@@ -9,9 +9,10 @@ and all probabilities sum to one.  The end of a text is a word, and stands befor
 its first one.
 
 Customers of the context restaurants are the training tokens, those of a parent
-the tables of its children.  Seating is sampled by Gibbs, a whole dish at a time
-given the rest: each further customer opens a table with the chance that the
-restaurant gives a new one.  Context restaurants are seated in buckets by
+the tables of its children.  A whole dish is seated at a time: each further
+customer opens a table with the chance that the restaurant gives a new one.  The
+spelling model is sampled so by Gibbs, given the rest; the word levels are drawn
+forward only and never seated again given the rest.  Context restaurants are seated in buckets by
 context, the few contexts with over 1/5000 of all tokens in buckets by pair;
 there the parent's probability of a word is taken from its frequency in the
 bucket.  The word restaurant seats the tables of the last sample.  Predictive
