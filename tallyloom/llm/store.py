@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where that is unset, a local session (tests) gets a temporary one and any other is refused."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -28,20 +30,24 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and safe when executors go.
 
-    release: asks the driver to collect its garbage, upon which Spark deletes
-    the shuffle files of jobs that nothing refers to any more.
+    release: then lets go of finished shuffles.
     """
     spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
     df.write.parquet(path)
     if release:
         del df
-        for _ in range(2):  # what the first round lets go of, the second one finds
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-            time.sleep(0.3)
+        released(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage, upon which Spark deletes the shuffle files of jobs that nothing refers to any more."""
+    for _ in range(2):  # what the first round lets go of, the second one finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 #: Rows of ids that are broadcast; more are shuffled.
 FEW = 200_000
 
