@@ -29,7 +29,6 @@ broadcast but the spelling (32**4 rows at most) and up to 5000 sums.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -41,14 +40,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import textops as X
-from tallyloom.llm.store import new_path, released
+from tallyloom.llm.store import clustered, new_path, released
 
 SAMPLES, BURN_IN, STRENGTH = 2, 1, 1.0
 #: Discount of the context restaurants.
 CONTEXT_DISCOUNT = 0.75
 #: Customers up to which a dish's tables are drawn from their full conditional.
 EXACT = 32
-BLOCK_BYTES, BUCKET_TOKENS, MOST_HOT, MOST_TABLE_BUCKETS = 12 << 20, 1_500_000, 5000, 20_000
+BLOCK_BYTES, BUCKET_TOKENS, MOST_HOT = 12 << 20, 1_500_000, 5000
 #: The probability that a new table of the word restaurant serves the end of a text, and the end's hash.
 END_BASE = 1e-6
 END = np.uint64(0x5EED0F7E47E4D001)
@@ -649,19 +648,6 @@ def _scorer(known: int, vocab: int, parts: int, buckets: int, hot: np.ndarray) -
     return run
 
 
-def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
-    """rows with a block each, written once and clustered by block, so that no later pass shuffles texts.
-
-    A block is a run of rows by their place in the input, mixed; equal rows spread.
-    """
-    spark, name = rows.sparkSession, f"tallyloom_{uuid.uuid4().hex}"
-    files = min(blocks, MOST_TABLE_BUCKETS)
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    rows.withColumn("block", block).repartition(files, "block").write.option("path", new_path(spark, "texts")).option("compression", "zstd").bucketBy(files, "block").saveAsTable(name)
-    released(spark)
-    return spark.table(name)
-
-
 def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, bucket_tokens: int = BUCKET_TOKENS, groups: int | None = None) -> DataFrame:
     """A row for each row of docs: tokens, known ones, the add-0.1 unigram score and the model's log10 probability of the whole text.
 
@@ -677,7 +663,9 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, buc
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks, parts = max(groups, -(-size // block_bytes)), max(groups, -(-size // (8 * block_bytes)))
-    texts = _dealt(rows, blocks)
+    # a block is a run of rows by their place in the input, mixed, so that equal rows spread
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    texts, files = clustered(rows.withColumn("block", block), "block", size, "texts", block_bytes)
     words = _stored(_grouped(parts, learn_words, texts.groupBy("block").applyInArrow(send_words(parts), MESSAGE)), "words")
     known, vocab, n1, n2 = _added(words, "word", 4)
     d, buckets = _discount(n1, n2), max(groups, -(-int(known) // bucket_tokens))
@@ -705,7 +693,7 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, buc
             samples += [_kind(told, "sample"), _kind(seated, "inside").withColumn("kind", F.lit(f"inside{sweep}"))]
     of_words = _grouped(parts, answer_words(d, totals), _kind(words, "word", "asked"), _kind(links, "links"), *samples)
     of_pairs = _grouped(buckets, answer_pairs, _kind(pairs, "pair", "asked"), _kind(seated, "seats"))
-    answers = of_words.unionByName(of_pairs).select(F.col("at").alias("block"), "sender", "kind", "data").repartition(min(blocks, MOST_TABLE_BUCKETS), "block")
+    answers = of_words.unionByName(of_pairs).select(F.col("at").alias("block"), "sender", "kind", "data").repartition(files, "block")
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(int(known), int(vocab), parts, buckets, hot), SCORED)
 
 

@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import textops as X
-from tallyloom.llm.store import written
+from tallyloom.llm.store import clustered, written
 
 PART_ROWS = 20_000
+#: Bytes of text whose pieces make one file.
+FILE_BYTES = 32 << 20
 #: Words that a worker remembers in each of two generations, and the longest such word.
 REMEMBERED, LONGEST = 350_000, 48
 
@@ -224,7 +226,8 @@ def pack(docs: DataFrame, name: str = "word_bpe_49k.json", size: int = 4096, end
     are packed like any other.  An empty table gives no rows; other columns are
     not read.
     """
-    cut = written(pieces(docs, name, size, end).withColumn("key", F.monotonically_increasing_id()), "pieces")
+    length = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    cut, files = clustered(pieces(docs, name, size, end).withColumn("key", F.monotonically_increasing_id()), "key", length, "pieces", FILE_BYTES)
     counts = np.zeros(size + 1, np.int64)
     for r in cut.groupBy("length").count().toLocalIterator():
         counts[r.length] = r["count"]
@@ -248,12 +251,12 @@ def pack(docs: DataFrame, name: str = "word_bpe_49k.json", size: int = 4096, end
     out = kept[0]
     for df in kept[1:]:
         out = out.unionByName(df)
-    return _sequences(cut, out, digests)
+    return _sequences(cut, files, out, digests)
 
 
-def _sequences(cut: DataFrame, placed: DataFrame, digests: bool) -> DataFrame:
+def _sequences(cut: DataFrame, files: int, placed: DataFrame, digests: bool) -> DataFrame:
     """The pieces' ids brought to their sequences, written, and what the files hold."""
-    places = placed.select("key", "sequence_id", "offset").hint("shuffle_hash")  # ids stream past the places
+    places = placed.select("key", "sequence_id", "offset").repartition(files, "key").hint("shuffle_hash")  # ids stay where they are and stream past the places
     rows = cut.select("key", "doc_id", "piece", "start", "length", "ids").join(places, "key").drop("key")
     held = written(rows.repartition(F.shiftright("sequence_id", RUN)).sortWithinPartitions("sequence_id", "offset"), "sequences")
 
