@@ -40,14 +40,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import textops as X
-from tallyloom.llm.store import clustered, new_path, released
+from tallyloom.llm.store import MOST_FILES, clustered, new_path, partitions, released
 
 SAMPLES, BURN_IN, STRENGTH = 2, 1, 1.0
 #: Discount of the context restaurants.
 CONTEXT_DISCOUNT = 0.75
 #: Customers up to which a dish's tables are drawn from their full conditional.
 EXACT = 32
-BLOCK_BYTES, BUCKET_TOKENS, MOST_HOT = 12 << 20, 1_500_000, 5000
+BLOCK_BYTES, LEAST_BYTES, BUCKET_TOKENS, MOST_HOT = 12 << 20, 1 << 20, 1_500_000, 5000
 #: The probability that a new table of the word restaurant serves the end of a text, and the end's hash.
 END_BASE = 1e-6
 END = np.uint64(0x5EED0F7E47E4D001)
@@ -291,7 +291,7 @@ def _grouped(groups: int, run: Callable[[pa.Table], pa.Table], *rows: DataFrame)
     out = rows[0]
     for df in rows[1:]:
         out = out.unionByName(df)
-    return out.select("at", "sender", "kind", "data").repartition(groups, "at").groupBy("at").applyInArrow(run, MESSAGE)
+    return out.select("at", "sender", "kind", "data").repartitionById(groups, "at").groupBy("at").applyInArrow(run, MESSAGE)
 
 
 def _kind(df: DataFrame, *kinds: str) -> DataFrame:
@@ -656,16 +656,18 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES, buc
     probability of uniform spelling.  doc_id may be null or repeat; columns but
     doc_id and text are not read; an empty table gives no rows.  block_bytes,
     bucket_tokens and groups (the least number of groups of each kind; by
-    default that of shuffle partitions) set sizes of tasks and change no score.
+    default that of shuffle partitions, as far as there is text for it) set
+    sizes of tasks and change no score.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups or max(1, min(partitions(spark), -(-size // LEAST_BYTES)))
     blocks, parts = max(groups, -(-size // block_bytes)), max(groups, -(-size // (8 * block_bytes)))
     # a block is a run of rows by their place in the input, mixed, so that equal rows spread
     block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    texts, files = clustered(rows.withColumn("block", block), "block", size, "texts", block_bytes)
+    files = min(blocks, MOST_FILES)
+    texts = clustered(rows.withColumn("block", block), "block", files, "texts")
     words = _stored(_grouped(parts, learn_words, texts.groupBy("block").applyInArrow(send_words(parts), MESSAGE)), "words")
     known, vocab, n1, n2 = _added(words, "word", 4)
     d, buckets = _discount(n1, n2), max(groups, -(-int(known) // bucket_tokens))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import textops as X
-from tallyloom.llm.store import clustered, written
+from tallyloom.llm.store import MOST_FILES, clustered, partitions, written
 
 PART_ROWS = 20_000
 #: Bytes of text whose pieces make one file.
@@ -227,7 +227,8 @@ def pack(docs: DataFrame, name: str = "word_bpe_49k.json", size: int = 4096, end
     not read.
     """
     length = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    cut, files = clustered(pieces(docs, name, size, end).withColumn("key", F.monotonically_increasing_id()), "key", length, "pieces", FILE_BYTES)
+    files = min(MOST_FILES, max(partitions(docs.sparkSession), -(-length // FILE_BYTES)))
+    cut = clustered(pieces(docs, name, size, end).withColumn("key", F.monotonically_increasing_id()), "key", files, "pieces")
     counts = np.zeros(size + 1, np.int64)
     for r in cut.groupBy("length").count().toLocalIterator():
         counts[r.length] = r["count"]

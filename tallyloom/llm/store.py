@@ -52,18 +52,17 @@ def released(spark: SparkSession) -> None:
 MOST_FILES = 20_000
 
 
-def clustered(df: DataFrame, column: str, size: int, name: str, file_bytes: int = 12 << 20) -> tuple[DataFrame, int]:
-    """df written once and dealt to files by the hash of a column, and how many files; size: its bytes, about.
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    Joins and groups by that column then read whole files and do not shuffle df
-    again.  There are as many files as shuffle partitions at least.
-    """
+
+def clustered(df: DataFrame, column: str, files: int, name: str) -> DataFrame:
+    """df written once, dealt to files by the hash of a column: joins and groups by it read whole files and do not shuffle df again."""
     spark, table = df.sparkSession, f"tallyloom_{name}_{uuid.uuid4().hex}"
-    files = min(MOST_FILES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes)))
     df.repartition(files, column).write.option("path", new_path(spark, name)).option("compression", "zstd").bucketBy(files, column).saveAsTable(table)
     del df
     released(spark)
-    return spark.table(table), files
+    return spark.table(table)
 
 
 #: Rows of ids that are broadcast; more are shuffled.
