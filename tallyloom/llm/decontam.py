@@ -11,8 +11,10 @@ allowed(n) = n * percent // 100.
 2. The CGK embedding walks over a window, writing the word under it at each
    step and stepping on by a random bit of (step, word), the same for windows
    and items.  Few edits leave few steps that differ, so `bits` sampled steps
-   agree often.  Walks are repeated until copies of the items, changed by the
-   most edits allowed, are met at the target recall.
+   agree often.  For each size of item, walks are repeated until copies of its
+   items, changed by the most edits allowed, are met at the target recall, the
+   hardest of them too; a size for which MOST_WALKS do not do verifies every
+   window that step 1 leaves.
 3. Where all sampled steps of a repetition agree, the edit distance decides.
 """
 
@@ -31,7 +33,8 @@ from tallyloom.llm import textops as X
 #: Words of items that one pass holds; more items take more passes.
 ITEM_WORDS = 1_000_000
 PIECE_BYTES = 4 << 20
-LANES = 2048
+#: Walks that a size of item may take, and window words that are held at once.
+MOST_WALKS, HELD_WORDS = 64, 1 << 17
 
 
 def allowed(n: int, percent: int) -> int:
@@ -74,61 +77,81 @@ class Index:
         for i, (item, _) in enumerate(items):
             if (own := ids[w.of(i)]).size:
                 self.by_size.setdefault(len(own), []).append((item, own))
-        self.steps = 2 * max(self.by_size, default=1)
-        self.most = {n: np.max([np.bincount(x, minlength=self.pad + 1) for _, x in some], 0) for n, some in self.by_size.items()}
-        self.member = {n: np.bincount(np.concatenate([x for _, x in some]), minlength=self.pad + 1) > 0 for n, some in self.by_size.items()}
+        self.most = {n: _most(some) for n, some in self.by_size.items()}
         rng = np.random.default_rng(seed)
-        self.repetitions = 64
-        self.walks = rng.integers(0, 2, (64, self.steps, self.pad + 1), dtype=np.uint8)
-        self.sample = {n: np.sort(rng.integers(0, 2 * n, (64, bits)), 1) for n in self.by_size}
-        self.repetitions = self._repetitions(rng, target)
-        self.walks = self.walks[: self.repetitions].copy()
-        self.keys: dict[int, list[np.ndarray]] = {}
-        self.lookup: dict[tuple[int, int, int], list[np.ndarray]] = {}
+        self.seed = np.uint64(seed)
+        self.sample = {n: np.sort(rng.integers(0, 2 * n, (MOST_WALKS, bits)), 1) for n in self.by_size}
+        self.walks = {n: self._walks(rng, n, some, target) for n, some in self.by_size.items()}
+        self.lookup: dict[tuple[int, int], dict[int, list[np.ndarray]]] = {}
+        self.keys: dict[tuple[int, int], np.ndarray] = {}
         for n, some in self.by_size.items():
-            k = self._keys(np.array([x for _, x in some]), np.full(len(some), n))
-            self.keys[n] = [np.unique(k[r]) for r in range(self.repetitions)]
-            for r in range(self.repetitions):
-                for (_, own), key in zip(some, k[r].tolist(), strict=True):
-                    self.lookup.setdefault((n, r, key), []).append(own)
-        self.item_of = {own.tobytes(): sorted(i for i, x in some if np.array_equal(x, own)) for some in self.by_size.values() for _, own in some}
-
-    def _keys(self, windows: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """[repetition, window]: the sampled steps' words, hashed.  windows: ids, padded; n: each one's size."""
-        reps, lanes = self.repetitions, len(windows)
-        at = np.zeros((reps, lanes), np.int64)
-        rep, lane = np.arange(reps)[:, None], np.arange(lanes)
-        inside = np.concatenate([windows, np.full((lanes, 1), self.pad)], 1)
-        wrote = np.empty((int(2 * n.max()), reps, lanes), np.int32)
-        for j in range(len(wrote)):
-            wrote[j] = inside[lane, np.minimum(at, n)]
-            at += self.walks[rep, j, wrote[j]]
-        out = np.empty((reps, lanes), np.uint64)
-        for size in np.unique(n):
+            for own, keys in self._each(np.array([x for _, x in some]), np.full(len(some), n)):
+                for r in range(self.walks[n]):
+                    for x, key in zip(own.tolist(), keys[r].tolist(), strict=True):
+                        self.lookup.setdefault((n, r), {}).setdefault(key, []).append(some[x][1])
+            for r in range(self.walks[n]):
+                self.keys[n, r] = np.sort(np.array(list(self.lookup[n, r]), np.uint64))
+        self.item_of: dict[bytes, list[int]] = {}
+        for some in self.by_size.values():
+            for i, x in some:
+                self.item_of.setdefault(x.tobytes(), []).append(i)
+
+    def _each(self, windows: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, keys) of windows by portions."""
+        lanes = max(1, HELD_WORDS // windows.shape[1])
+        for lo in range(0, len(windows), lanes):
+            own = np.arange(lo, min(lo + lanes, len(windows)))
+            yield own, self._keys(windows[own], n[own], max(self.walks[x] for x in np.unique(n[own]).tolist()))
+
+    def _keys(self, windows: np.ndarray, n: np.ndarray, walks: int) -> np.ndarray:
+        """[repetition, window]: the sampled steps' words, hashed.  windows: ids, padded; n: each one's size.
+
+        Whether a walk steps on is a bit of the hash of (repetition, step, word).
+        """
+        lanes, steps = len(windows), int(2 * n.max())
+        at, lane = np.zeros((walks, lanes), np.int64), np.arange(lanes)
+        inside = np.concatenate([windows, np.full((lanes, 1), self.pad)], 1).astype(np.uint64)
+        salt = X.mix(np.arange(steps, dtype=np.uint64)[:, None] | np.arange(walks, dtype=np.uint64) << np.uint64(32) | self.seed << np.uint64(48))
+        wrote = np.empty((steps, walks, lanes), np.uint32)
+        for j in range(steps):
+            word = inside[lane, np.minimum(at, n)]
+            wrote[j] = word
+            at += (((word * np.uint64(0x9E3779B97F4A7C15)) ^ salt[j][:, None]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(63)).astype(np.int64)
+        out, rep = np.empty((walks, lanes), np.uint64), np.arange(walks)[:, None]
+        for size in np.unique(n).tolist():
             own = np.flatnonzero(n == size)
-            h = np.zeros((reps, len(own)), np.uint64)
+            h = np.zeros((walks, len(own)), np.uint64)
             for b in range(self.bits):
-                h = X.mix(h + wrote[self.sample[size][:reps, b][:, None], rep, own].astype(np.uint64) + np.uint64(1))
+                h = X.mix(h + wrote[self.sample[size][:walks, b][:, None], rep, own].astype(np.uint64) + np.uint64(1))
             out[:, own] = h
         return out
 
-    def _repetitions(self, rng: np.random.Generator, target: float) -> int:
-        """So many walks that copies with the most edits allowed are met at the target recall."""
-        hits = tries = 0
-        for n, some in self.by_size.items():
-            for _, own in some[:4]:
-                copies = []
-                for _ in range(8):
-                    x = own.tolist()
-                    for _ in range(allowed(n, self.percent)):
-                        kind, i = rng.integers(3), int(rng.integers(len(x)))
-                        x[i : i + int(kind != 0)] = [0] * int(kind != 1)
-                    copies.append((x + [0] * n)[:n])
-                k = self._keys(np.array([own, *copies]), np.full(9, n))
-                hits, tries = hits + int((k[:, 1:] == k[:, :1]).sum()), tries + k[:, 1:].size
-        rate = hits / max(1, tries)
-        # a part of the copies has a far lower rate than the mean; twice the repetitions cover it
-        return min(64, max(4, 2 * math.ceil(math.log(1 - target) / math.log(1 - min(0.999, max(rate, 1e-3))))))
+    def _walks(self, rng: np.random.Generator, n: int, some: list[tuple[int, np.ndarray]], target: float) -> int:
+        """So many walks that copies of these items with the most edits allowed are met at the target recall; 0: more than MOST_WALKS.
+
+        Up to 16 items are tried, drawn from all of the size, with 6 copies each;
+        the walks of these items' lower quarter must suffice.
+        """
+        k = allowed(n, self.percent)
+        if not k:
+            return 1
+        met = []
+        for i in rng.choice(len(some), min(16, len(some)), replace=False):
+            own, copies = some[i][1], []
+            for _ in range(6):
+                x = own.tolist()
+                for _ in range(k):
+                    kind, at = rng.integers(3), int(rng.integers(len(x)))
+                    x[at : at + int(kind != 0)] = [0] * int(kind != 1)
+                copies.append((x + [0] * n)[:n])
+            h = self._keys(np.array([own, *copies]), np.full(7, n), MOST_WALKS)
+            met.append(h[:, 1:] == h[:, :1])
+        met = np.concatenate(met, 1)  # [walk, copy]
+        rate = max(1e-9, float(np.quantile(met.mean(0), 0.25)))
+        need = math.ceil(math.log(1 - target) / math.log(1 - min(0.999, rate)))
+        first = np.where(met.any(0), met.argmax(0), MOST_WALKS)
+        need = max(4, need, int(np.quantile(first, target)) + 1)
+        return need if need <= MOST_WALKS else 0
 
     def scan(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first word, words, distance): the nearest stretch for each row and item leaked."""
@@ -138,45 +161,53 @@ class Index:
         ends = w.first[1:][w.row]
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         starts, sizes = [], []
-        for n in self.by_size:
-            least = n - allowed(n, self.percent)
-            seen = np.concatenate([[0], np.cumsum(self.member[n][ids], dtype=np.int32)])
+        for n in sorted(self.by_size):
+            least, member = n - allowed(n, self.percent), np.zeros(self.pad + 1, bool)
+            member[self.most[n][0]] = True
+            seen = np.concatenate([[0], np.cumsum(member[ids], dtype=np.int32)])
             if seen[-1] < least:
                 continue
             stop = np.minimum(np.arange(len(ids)) + n, ends)
             s = self._shared(ids, ends, np.flatnonzero(seen[stop] - seen[:-1] >= least), n, least)
-            starts.append(s)
-            sizes.append(np.full(len(s), n))
-        if not starts:
-            return []
-        starts, sizes = np.concatenate(starts), np.concatenate(sizes)
-        wide = self.steps // 2
-        for lo in range(0, len(starts), LANES):
-            s, n = starts[lo : lo + LANES], sizes[lo : lo + LANES]
-            place = s[:, None] + np.arange(wide)
-            windows = np.where((np.arange(wide) < n[:, None]) & (place < ends[s][:, None]), ids[np.minimum(place, len(ids) - 1)], self.pad)
-            keys = self._keys(windows, n)
-            for size in np.unique(n):
-                own = np.flatnonzero(n == size)
-                for r in range(self.repetitions):
-                    known = self.keys[size][r]
-                    p = np.minimum(np.searchsorted(known, keys[r, own]), len(known) - 1)
-                    for x in own[known[p] == keys[r, own]]:
-                        for item in self.lookup[size, r, int(keys[r, x])]:
-                            self._verify(w, ids, int(s[x]), item, found)
+            if self.walks[n]:
+                starts.append(s)
+                sizes.append(np.full(len(s), n))
+                continue
+            for x in s.tolist():
+                for item in {x.tobytes(): x for _, x in self.by_size[n]}.values():
+                    self._verify(w, ids, x, item, found)
+        starts, sizes = np.concatenate([np.zeros(0, np.int64), *starts]), np.concatenate([np.zeros(0, np.int64), *sizes])
+        at = 0
+        while at < len(starts):  # of like size side by side, so many that their words stay within bounds
+            wide = np.maximum.accumulate(sizes[at : at + HELD_WORDS])
+            to = at + max(1, int(np.searchsorted(wide * np.arange(1, len(wide) + 1), HELD_WORDS, "right")))
+            s, n = starts[at:to], sizes[at:to]
+            place = s[:, None] + np.arange(n[-1])
+            windows = np.where((np.arange(n[-1]) < n[:, None]) & (place < ends[s][:, None]), ids[np.minimum(place, len(ids) - 1)], self.pad)
+            for own, keys in self._each(windows, n):
+                for size in np.unique(n[own]).tolist():
+                    some = np.flatnonzero(n[own] == size)
+                    for r in range(self.walks[size]):
+                        known = self.keys[size, r]
+                        p = np.minimum(np.searchsorted(known, keys[r, some]), len(known) - 1)
+                        for x in some[known[p] == keys[r, some]].tolist():
+                            for item in self.lookup[size, r][int(keys[r, x])]:
+                                self._verify(w, ids, int(s[own[x]]), item, found)
+            at = to
         return [(row, item, first, words, distance) for (row, item), (distance, first, words) in sorted(found.items())]
 
     def _shared(self, ids: np.ndarray, ends: np.ndarray, s: np.ndarray, n: int, least: int) -> np.ndarray:
         """Those starts whose windows hold `least` words of items of n words, each as often as in one item at most."""
         kept = []
-        for lo in range(0, len(s), LANES):
-            own = s[lo : lo + LANES]
+        lanes = max(1, HELD_WORDS // n)
+        for lo in range(0, len(s), lanes):
+            own = s[lo : lo + lanes]
             place = own[:, None] + np.arange(n)
             x = np.sort(np.where(place < ends[own][:, None], ids[np.minimum(place, len(ids) - 1)], 0), 1)
             new = np.ones(x.shape, bool)
             new[:, 1:] = x[:, 1:] != x[:, :-1]
             nth = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0), 1)
-            kept.append(own[(nth < self.most[n][x]).sum(1) >= least])
+            kept.append(own[(nth < _looked_up(self.most[n], x)).sum(1) >= least])
         return np.concatenate(kept) if kept else s
 
     def _verify(self, w: X.Words, ids: np.ndarray, start: int, item: np.ndarray, found: dict) -> None:
@@ -198,6 +229,21 @@ class Index:
                 found[row, name] = (distance, first - base, lo + end - first)
 
 
+def _most(items: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of items of one size, sorted, and how often one item has each at most."""
+    runs = [X.runs(x) for _, x in items]
+    word, n = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
+    order = np.lexsort((-n, word))
+    word, n = word[order], n[order]
+    first = np.concatenate([[True], word[1:] != word[:-1]])
+    return word[first], n[first]
+
+
+def _looked_up(most: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(most[0], x), len(most[0]) - 1)
+    return np.where(most[0][at] == x, most[1][at], 0)
+
+
 LEAK = "doc_id long, item_id long, first_word long, n_words long, distance long"
 
 
@@ -211,18 +257,46 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 20, bits: int = 2, t
     null or repeat, each row being judged by its own text; other columns are not
     read; empty tables give no rows.
     """
+    out = None
+    for index in _indexes(items, percent, bits, target, item_words):
+        found = _pass(docs, index)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _indexes(items: DataFrame, percent: int, bits: int, target: float, item_words: int) -> Iterator[Index]:
+    """An index for each pass."""
     words = F.size(F.split(F.coalesce("text", F.lit("")), r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"))
     total = items.agg(F.coalesce(F.sum(words), F.lit(0))).first()[0]
     passes = max(1, -(-total // item_words))
-    out = None
     for k in range(passes):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).select(F.col("item_id").cast("long"), "text")
         rows = sorted({(r.item_id, r.text or "") for r in some.toLocalIterator() if r.item_id is not None})
-        found = _pass(docs, Index(rows, percent, bits, target))
-        out = found if out is None else out.unionByName(found)
+        yield Index(rows, percent, bits, target)
+
+
+def clean(docs: DataFrame, items: DataFrame, percent: int = 20, bits: int = 2, target: float = 0.95, item_words: int = ITEM_WORDS) -> DataFrame:
+    """The rows of docs that leak no item, all columns as they are; each row is judged by its own text, whatever its doc_id."""
+    out = docs
+    for index in _indexes(items, percent, bits, target, item_words):
+        out = _kept(out, index)
     return out
 
 
+def _kept(docs: DataFrame, index: Index) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    @X.tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in X.pieces(batch, limit=PIECE_BYTES):
+                stays = np.ones(part.num_rows, bool)
+                stays[[f[0] for f in shared.value.scan(part.column("text"))]] = False
+                yield part.filter(pa.array(stays))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _pass(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
