@@ -21,6 +21,7 @@ allowed(n) = n * percent // 100.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from tallyloom.llm import textops as X
 ITEM_WORDS = 1_000_000
 PIECE_BYTES = 4 << 20
 #: Walks that a size of item may take, and window words that are held at once.
-MOST_WALKS, HELD_WORDS = 64, 1 << 17
+MOST_WALKS, HELD_WORDS = 256, 1 << 15
 
 
 def allowed(n: int, percent: int) -> int:
@@ -129,28 +130,31 @@ class Index:
     def _walks(self, rng: np.random.Generator, n: int, some: list[tuple[int, np.ndarray]], target: float) -> int:
         """So many walks that copies of these items with the most edits allowed are met at the target recall; 0: more than MOST_WALKS.
 
-        Up to 16 items are tried, drawn from all of the size, with 6 copies each;
-        the walks of these items' lower quarter must suffice.
+        Up to 16 items are tried, drawn from all of the size, with copies in which
+        words are replaced, inserted, deleted or any of these; for each kind the
+        walks of the lower quarter must suffice.
         """
         k = allowed(n, self.percent)
         if not k:
             return 1
+        kinds = np.repeat([0, 1, 2, 3], 3)  # replaced, inserted, deleted, any of these
         met = []
         for i in rng.choice(len(some), min(16, len(some)), replace=False):
             own, copies = some[i][1], []
-            for _ in range(6):
+            for kind in kinds:
                 x = own.tolist()
                 for _ in range(k):
-                    kind, at = rng.integers(3), int(rng.integers(len(x)))
-                    x[at : at + int(kind != 0)] = [0] * int(kind != 1)
+                    do, at = rng.integers(3) if kind == 3 else kind, int(rng.integers(len(x)))
+                    x[at : at + int(do != 1)] = [0] * int(do != 2)
                 copies.append((x + [0] * n)[:n])
-            h = self._keys(np.array([own, *copies]), np.full(7, n), MOST_WALKS)
+            h = self._keys(np.array([own, *copies]), np.full(len(copies) + 1, n), MOST_WALKS)
             met.append(h[:, 1:] == h[:, :1])
-        met = np.concatenate(met, 1)  # [walk, copy]
-        rate = max(1e-9, float(np.quantile(met.mean(0), 0.25)))
-        need = math.ceil(math.log(1 - target) / math.log(1 - min(0.999, rate)))
-        first = np.where(met.any(0), met.argmax(0), MOST_WALKS)
-        need = max(4, need, int(np.quantile(first, target)) + 1)
+        need = 4
+        for kind in range(4):
+            own = np.concatenate([m[:, kinds == kind] for m in met], 1)  # [walk, copy]
+            rate = max(1e-9, float(np.quantile(own.mean(0), 0.25)))
+            first = np.where(own.any(0), own.argmax(0), MOST_WALKS)
+            need = max(need, math.ceil(math.log(1 - target) / math.log(1 - min(0.999, rate))), int(np.quantile(first, target)) + 1)
         return need if need <= MOST_WALKS else 0
 
     def scan(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
@@ -173,9 +177,12 @@ class Index:
                 starts.append(s)
                 sizes.append(np.full(len(s), n))
                 continue
+            distinct = {own.tobytes(): (own, Counter(own.tolist())) for _, own in self.by_size[n]}
             for x in s.tolist():
-                for item in {x.tobytes(): x for _, x in self.by_size[n]}.values():
-                    self._verify(w, ids, x, item, found)
+                window = Counter(ids[x : min(x + n, int(ends[x]))].tolist())
+                for own, count in distinct.values():
+                    if (window & count).total() >= least:
+                        self._verify(w, ids, x, own, found)
         starts, sizes = np.concatenate([np.zeros(0, np.int64), *starts]), np.concatenate([np.zeros(0, np.int64), *sizes])
         at = 0
         while at < len(starts):  # of like size side by side, so many that their words stay within bounds
