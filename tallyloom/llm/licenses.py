@@ -1,13 +1,18 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a window of `window` words, half overlapping, of a longer
-line or of the whole text, its line breaks ignored, so that a notice wrapped
-over lines is met too.  A template T meets a block B when |T & B| >= percent/100 * |T| over
-distinct words.  Template words are ordered by how often they occur in all
-documents, rarest first; a block that meets T holds at least one of the first
-|T| - need + 1 of these (prefix filter), has need words at least (length
-filter), and what is left of T from the rarest word found on reaches need
-(positional filter).  Only such blocks are compared.
+A block is a line, or a window of words, half overlapping, of a longer line or
+of the whole text, its line breaks ignored, so that a notice wrapped over lines
+is met too.  Windows are twice as long as a template at least: templates go by
+classes of length, each with its own windows.  A template T meets a block B when
+|T & B| >= percent/100 * |T| over distinct words.
+
+Template words are ordered by how often they occur in all documents, rarest
+first, and a block is its distinct template words in that order.  A block that
+meets T has `need` words at least (length filter), and one of the first
+|B| - need + 1 of them is among the first |T| - need + 1 of T (prefix filter).
+At the r-th word of T and the q-th of B no more than what both have left can
+still be common; with those found so far this must reach `need` (positional
+filter).  Only what is left then is compared.
 """
 
 from __future__ import annotations
@@ -29,6 +34,10 @@ TEMPLATES = (
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by", "Licensed under the Creative Commons Attribution 4.0 International License"),
@@ -68,19 +77,23 @@ class Matcher:
     """The templates, ready to scan texts with."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...], percent: int, window: int, vocabulary: np.ndarray, counts: np.ndarray):
-        self.labels, self.window = [label for label, _ in templates], window
-        self.vocabulary = vocabulary
+        self.labels, self.vocabulary = [label for label, _ in templates], vocabulary
         rank = np.lexsort((vocabulary, counts))
-        place = np.empty(len(rank), np.int64)
-        place[rank] = np.arange(len(rank))
-        self.words = [sorted(np.searchsorted(vocabulary, s), key=lambda k: place[k]) for s in _sets(templates)]
+        self.place = np.empty(len(rank), np.int64)
+        self.place[rank] = np.arange(len(rank))
+        sizes = np.diff(X.words(pa.array([t for _, t in templates]), X.ALNUM, lower=True).first)
+        self.words = [np.sort(self.place[np.searchsorted(vocabulary, s)]) for s in _sets(templates)]
         self.need = [-(-percent * len(s) // 100) for s in self.words]
-        self.prefix: dict[int, list[tuple[int, int]]] = {}
+        #: By window: the templates that begin with a word, and how many of theirs come before it.
+        self.classes: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, (s, need) in enumerate(zip(self.words, self.need, strict=True)):
-            for r, k in enumerate(s[: len(s) - need + 1]):
-                self.prefix.setdefault(int(k), []).append((t, r))
-        self.starts = np.zeros(len(vocabulary), bool)
-        self.starts[list(self.prefix)] = True
+            wide = window
+            while wide < 2 * sizes[t]:
+                wide *= 2
+            own = self.classes.setdefault(wide, {})
+            for r, k in enumerate(s[: len(s) - need + 1] if len(s) else []):
+                own.setdefault(int(k), []).append((t, r))
+        self.pruned = 0
         self.phrases = [([X.hash_of(x) for x in p.split()], label) for p, label in phrases]
 
     def scan(self, texts: pa.Array) -> list[tuple]:
@@ -107,24 +120,48 @@ class Matcher:
     def _blocks(self, w: X.Words, line_first: np.ndarray) -> dict[int, list[tuple[str, int, int, float]]]:
         """By row: (label, first word, last word, containment) of each block that meets a template."""
         at = np.minimum(np.searchsorted(self.vocabulary, w.hash), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == w.hash
+        place = np.where(self.vocabulary[at] == w.hash, self.place[at], -1)
         edges = np.append(line_first, len(w.hash))
         out: dict[int, list] = {}
-        seen: set[tuple[int, int, int]] = set()
-        half = self.window // 2
-        for i in np.flatnonzero(known & self.starts[at]):
+        for window, prefix in self.classes.items():
+            begins = np.zeros(len(self.place) + 1, bool)
+            begins[list(prefix)] = True
+            for a, z in sorted(self._around(w, np.flatnonzero(begins[place]), edges, window)):
+                row = int(w.row[a])
+                for t, common in self._met(np.unique(place[a:z]), prefix):
+                    out.setdefault(row, []).append((self.labels[t], int(a - w.first[row]), int(z - 1 - w.first[row]), common / len(self.words[t])))
+        return out
+
+    @staticmethod
+    def _around(w: X.Words, at: np.ndarray, edges: np.ndarray, window: int) -> set[tuple[int, int]]:
+        """(first, end) of the blocks that hold one of these words."""
+        found, half = set(), window // 2
+        for i in at.tolist():
             line, row = int(np.searchsorted(edges, i, "right")) - 1, int(w.row[i])
             for lo, hi in {(int(edges[line]), int(edges[line + 1])), (int(w.first[row]), int(w.first[row + 1]))}:
-                last = 0 if hi - lo <= self.window else -(-(hi - lo - self.window) // half)
-                for b in range(max(0, (i - lo - self.window) // half + 1), min(last, (i - lo) // half) + 1):
-                    a, z = lo + b * half, min(hi, lo + b * half + self.window)
-                    for t, r in self.prefix[int(at[i])]:
-                        if z - a < self.need[t] or len(self.words[t]) - r < self.need[t] or (a, z, t) in seen:
-                            continue
-                        seen.add((a, z, t))
-                        common = len({*at[a:z][known[a:z]].tolist()} & {*map(int, self.words[t])})
-                        if common >= self.need[t]:
-                            out.setdefault(row, []).append((self.labels[t], int(a - w.first[row]), int(z - 1 - w.first[row]), common / len(self.words[t])))
+                last = 0 if hi - lo <= window else -(-(hi - lo - window) // half)
+                for b in range(max(0, (i - lo - window) // half + 1), min(last, (i - lo) // half) + 1):
+                    found.add((lo + b * half, min(hi, lo + b * half + window)))
+        return found
+
+    def _met(self, block: np.ndarray, prefix: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+        """(template, words in common) of each template that a block meets; block: places of its words, ascending, -1 for any other."""
+        block = block[block >= 0].tolist()
+        shared: dict[int, int] = {}
+        for q, k in enumerate(block):
+            for t, r in prefix.get(k, ()):
+                if len(block) < self.need[t] or q > len(block) - self.need[t]:
+                    continue
+                so_far = shared.get(t, 0)
+                if so_far < 0 or so_far + 1 + min(len(self.words[t]) - r - 1, len(block) - q - 1) < self.need[t]:
+                    self.pruned += so_far >= 0
+                    shared[t] = -1
+                else:
+                    shared[t] = so_far + 1
+        out = []
+        for t, so_far in sorted(shared.items()):
+            if so_far > 0 and (common := len(set(block) & set(self.words[t].tolist()))) >= self.need[t]:
+                out.append((t, common))
         return out
 
 
@@ -133,9 +170,11 @@ def scan(docs: DataFrame, percent: int = 90, window: int = 64, templates: tuple[
 
     A null or empty text has no words, no labels ('') and score 0.  doc_id may be
     null or repeat; other columns are not read; an empty table gives no rows.
-    No template may have more distinct words than half a window.
+    templates: (label, text); window: words of the shortest windows.  Templates
+    without words are met by nothing.
     """
-    vocabulary = np.unique(np.concatenate(_sets(templates)))
+    templates = tuple(t for t, s in zip(templates, _sets(templates), strict=True) if len(s))
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *_sets(templates)]))
     matcher = Matcher(templates, phrases, percent, window, vocabulary, frequencies(docs, vocabulary))
 
     @X.tidied
