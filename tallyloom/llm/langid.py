@@ -113,24 +113,36 @@ class Parser:
         return out
 
 
-def train(docs: DataFrame, usable: Column, sample_docs: int, sample_chars: int, all_symbols: int) -> Parser:
+def train(docs: DataFrame, usable: Column, sample_rows: int, sample_bytes: int, all_bytes: int) -> Parser:
     """The parser from rows with a language that `usable` admits.
 
-    Bounds, and the only limits to what is learned: for each language the first
-    sample_chars characters of sample_docs documents, in the order of a hash,
-    and all_symbols symbols over all languages together.
+    Bounds, and the only limits to what is learned: for each language whole texts
+    among the first sample_rows rows in the order of a hash, up to sample_bytes
+    together (all_bytes over all languages), texts of an eighth of that and less
+    first; the shortest text, if none is so short.
     """
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", F.xxhash64("doc_id").alias("at"))
-    first = rows.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("at", "doc_id"))).where(F.col("k") <= sample_docs)
-    ids = [r.doc_id for r in first.toLocalIterator()]
+    at = F.xxhash64("doc_id", "text")
+    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.octet_length("text").alias("size"), at.alias("at"))
+    first = rows.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("at"))).where(F.col("k") <= sample_rows)
+    sizes: dict[str, dict[int, int]] = {}
+    for r in first.toLocalIterator():
+        sizes.setdefault(r.lang, {})[r["at"]] = r["size"]
+    most, chosen = min(sample_bytes, all_bytes // max(1, len(sizes))), set()
+    for lang, some in sizes.items():
+        left = most
+        for h, size in sorted(some.items(), key=lambda x: (x[1] if min(some.values()) > most else 8 * x[1] > most, x[0])):
+            if size <= left or left == most:
+                chosen.add((lang, h))
+                left -= size
     texts: dict[str, list[tuple]] = {}
-    for r in docs.where(F.col("doc_id").isin(ids) & usable & F.col("lang").isNotNull()).select("lang", F.xxhash64("doc_id").alias("at"), F.substring("text", 1, sample_chars).alias("text")).toLocalIterator():
-        texts.setdefault(r.lang, []).append((r["at"], r.text or ""))
-    most = all_symbols // max(1, len(texts))
-    return Parser({lang: symbols(pa.array([" ".join(t for _, t in sorted(rows)[:sample_docs])]))[0][:most] for lang, rows in texts.items()})
+    wanted = docs.where(at.isin(sorted({h for _, h in chosen})) & usable & F.col("lang").isNotNull()).select("lang", at.alias("at"), "text").dropDuplicates(["lang", "at"])
+    for r in wanted.toLocalIterator():
+        if (r.lang, r["at"]) in chosen:
+            texts.setdefault(r.lang, []).append((r["at"], r.text))
+    return Parser({lang: symbols(pa.array([" ".join(t for _, t in sorted(rows))]))[0] for lang, rows in texts.items()})
 
 
-def identify(docs: DataFrame, usable: Column, sample_docs: int = 40, sample_chars: int = 700, all_symbols: int = 120_000, sharpness: float = 6.0, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, usable: Column, sample_rows: int = 200, sample_bytes: int = 30_000, all_bytes: int = 400_000, sharpness: float = 6.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, `keep` columns, lang_pred, score, phrases): the language of each row's whole text.
 
     lang_pred is `und`, score 0, where the text is null or has no letter, and
@@ -139,7 +151,7 @@ def identify(docs: DataFrame, usable: Column, sample_docs: int = 40, sample_char
     A tie goes to the language that sorts first.  doc_id may be null or repeat;
     columns but doc_id, text and lang are not read; an empty table gives no rows.
     """
-    known = train(docs, usable, sample_docs, sample_chars, all_symbols)
+    known = train(docs, usable, sample_rows, sample_bytes, all_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(known)
     carried = list(dict.fromkeys(["doc_id", *keep]))
     text = "text" if "text" in carried else "text_"
