@@ -19,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tallyloom.llm import textops as X
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
 TRIGRAMS = 1 << 12
+#: Words of the training sample with vectors of their own, the most frequent ones; others have their trigrams'.
 MOST_WORDS = 20_000
 #: Labelled rows of each class that training may take.
 SAMPLE = 1500
@@ -233,9 +233,10 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, rows: int) -> tup
     """Texts and labels of up to `rows` labelled documents of each class, in the order of a hash, and the toxic share of all."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(usable)
     total, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    first = known.withColumn("k", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("k") <= rows)
-    label = {r.doc_id: r.toxic for r in first.toLocalIterator()}
-    found = sorted({(r.doc_id, r.text or "") for r in docs.where(F.col("doc_id").isin(list(label))).select(F.col("doc_id").cast("long"), "text").toLocalIterator()})
+    each = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
+    label = {r.doc_id: r.toxic for r in each[0].unionByName(each[1]).toLocalIterator()}
+    held = docs.where(F.col("doc_id").isin(list(label))).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    found = sorted((r.doc_id, r.text) for r in held.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).toLocalIterator())
     return [t for _, t in found], np.array([label[d] for d, _ in found], np.int64), toxic / max(1, total)
 
 
@@ -243,7 +244,8 @@ def score(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE
     """(doc_id, score): how likely each row's text is labelled toxic, from labels of rows that `usable` (over doc_id) admits.
 
     A text without words gets the score of the lowest window.  Labels other
-    than 0 and 1 are left out; of several labels of a doc_id the highest counts.
+    than 0 and 1 are left out; of several labels of a doc_id the highest counts,
+    of several texts one, chosen by a hash.
     Without labels of both classes all scores are the share.  doc_id may be null
     or repeat; other columns are not read; an empty table gives no rows.
     """
