@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontam, hpylm, langid, licenses, ngram_join, packing, quality, rollup, sharding, toxicity
-from tallyloom.llm.store import new_path, written
+from tallyloom.llm.store import few, new_path, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,13 +57,16 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals by source, language and tokenizer version after three batches, the last sent twice.
 
-    All documents are inserted under two tokenizers; later copies of a text are
-    deleted; the first copies' counts are revised by an end token.
+    All documents are inserted under two tokenizers; of equal texts all rows but
+    the one of the least doc_id (nulls last; of equal ones any) are deleted; the
+    counts of those that stay are revised by an end token.
     """
     names = {"bytes-v1": rollup.bytes_counter, "word_bpe_49k-v1": rollup.vocabulary_counter("word_bpe_49k.json")}
-    docs = written(rollup.counted(_table(spark, sf_dir, "documents"), names), "counts")
-    first = docs.groupBy("copy").agg(F.min("doc_id").alias("first"))
-    marked = written(docs.join(first, "copy").withColumn("stays", F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False))), "marked")
+    docs = written(rollup.counted(_table(spark, sf_dir, "documents"), names).withColumn("row", F.monotonically_increasing_id()), "counts")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    copies = written(docs.groupBy("copy").agg(F.min(order).getField("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("copy", "first"), "copies")
+    copies = F.broadcast(copies) if few(copies) else copies
+    marked = written(docs.join(copies, "copy", "left").withColumn("stays", F.coalesce(F.col("row") == F.col("first"), F.lit(True))), "marked")
     table = rollup.Rollup(spark, new_path(spark, "rollup"))
     stays = marked.where("stays")
     for batch, rows, before, after in (("1-insert", docs, None, 0), ("2-delete", marked.where("not stays"), 0, None), ("3-revise", stays, 0, 1), ("3-revise", stays, 0, 1)):

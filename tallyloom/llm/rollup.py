@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,34 +31,66 @@ def changes(df: DataFrame, tokenizer: str, before: Column | None, after: Column
 
 
 class Rollup:
-    """Totals by source, language and tokenizer version in a folder of Parquet files."""
+    """Totals by source, language and tokenizer version in a folder of Parquet files.
+
+    The folder holds generations and, in `versions`, which of them is complete;
+    the last complete one counts.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _read(self, folder: str, schema: str) -> DataFrame:
+        """A folder's rows; none where nothing has been written."""
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def _generation(self) -> int:
+        return self._read("versions", "n long").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+    def merged(self) -> DataFrame:
+        """(batch_id) of batches that compact has merged: sent again they change nothing."""
+        return self._read(f"merged-{self._generation()}", "batch_id string")
+
     def commit(self, batch_id: str, rows: DataFrame) -> None:
-        """Adds a batch of changes; the same batch_id again replaces it.
+        """Adds a batch of changes; the same batch_id again replaces it, or does nothing once it has been merged.
 
         Null sources and languages are keys of their own.  A row with neither
         before nor after, and an empty batch, change nothing.
         """
+        if self.merged().where(F.col("batch_id") == batch_id).limit(1).count():
+            return
         one = lambda c: F.col(c).isNotNull().cast("long")
         signed = rows.groupBy(*KEYS).agg(F.sum(one("after") - one("before")).alias("documents"), F.sum(F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0))).alias("tokens"))
         out = signed.select(*KEYS, "documents", "tokens", F.lit(batch_id).alias("batch_id"))
-        out.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.path)
+        self._write(out, self._generation())
+
+    def _write(self, out: DataFrame, generation: int) -> None:
+        out.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{self.path}/deltas-{generation}")
 
     def deltas(self) -> DataFrame:
-        return self.spark.read.schema(DELTA).parquet(self.path)
+        return self._read(f"deltas-{self._generation()}", DELTA)
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens) with at least one document left."""
         return self.deltas().groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
 
     def compact(self, into: str) -> None:
-        """Replaces all batches by one.  Batches that may still be replayed must stay out of it, so compact between loads only."""
-        kept = self.totals().select(*KEYS, "documents", "tokens").toArrow()
-        table = self.spark.createDataFrame(kept).withColumn("batch_id", F.lit(into))
-        table.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("batch_id").parquet(self.path)
+        """Merges all batches into one, in a new generation that counts once it is complete; until then the old one does.
+
+        The merged batches' ids are kept, so that none counts twice when it is
+        sent again.  Batches committed meanwhile would be lost: compact between
+        loads.  A rerun after a crash writes the same generation anew.
+        """
+        new = self._generation() + 1
+        self._write(self.totals().select(*KEYS, "documents", "tokens", F.lit(into).alias("batch_id")), new)
+        ids = self.deltas().select("batch_id").union(self.merged()).distinct()
+        ids.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/merged-{new}")
+        self.spark.range(new, new + 1).select(F.col("id").alias("n")).coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
 
 
 def counted(docs: DataFrame, counters: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
