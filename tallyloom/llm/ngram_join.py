@@ -10,16 +10,20 @@ reaches percent/100.  Sets are arrays of 64-bit n-gram hashes.
    so many of these n-grams occur in other nodes' too.
 3. The n-grams of the nodes that stay are ordered by how many of these nodes
    hold them, rarest first.  Two sets that link share one of their first
-   n - c + 1.  Nodes that share such an n-gram form a star around the least one,
-   and components of the stars hold all links.  What many documents share (a
-   passage, a frequent n-gram) stands last and draws in only nodes that consist
-   of it.
-4. Each component is cut into tiles of neighbouring size bands, outside of which
-   no two sizes can link, and tiles over `block` nodes into pairs of blocks, so a
-   task holds 2 * block sets.  In a tile, the bits set in one bitmap only bound
-   the overlap from above; where that bound leaves a link possible and the two
-   are not yet connected, the sorted arrays are intersected.  The links found
-   span what all links span, and their components are the answer.
+   n - c + 1.  What many documents share (a passage, a frequent n-gram) stands
+   last and draws in only nodes that consist of it.
+4. Nodes that share such an n-gram form a star around the least one.  Each node
+   goes once to one of its stars, in blocks that all hold the centre, and what
+   links there is joined.  N-grams whose holders are joined by now are done:
+   that is how large groups of near copies are settled, in rows linear in them.
+5. Nodes that share any other n-gram are candidates still; components of these
+   hold all links that are left.  Each component is cut into tiles of neighbouring
+   size bands, outside of which no two sizes can link, and tiles over `block`
+   nodes into pairs of blocks, so a task holds 2 * block sets.  In a tile, the
+   bits set in one bitmap only bound the overlap from above; where that bound
+   leaves a link possible and the two are not yet connected, the sorted arrays
+   are intersected.  The links found span what all links span, and their
+   components are the answer.
 """
 
 from __future__ import annotations
@@ -102,10 +106,14 @@ def _first_prefix(percent: int):
     return row
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """rows (node, token, ...) whose token two nodes or more hold, with `least` and `holders`; one shuffle, spilling where a token has many holders."""
-    w = W.partitionBy("token")
-    return rows.withColumns({"least": F.min("node").over(w), "most": F.max("node").over(w), "holders": F.count("*").over(w)}).where("least <> most").drop("most")
+def _shared(rows: DataFrame, name: str, by: str = "node") -> DataFrame:
+    """rows (node, token, ...) whose token has two values of `by` or more, with `least` and `holders`.
+
+    A token's holders are aggregated before they are shuffled; rows are made
+    again for the join, where Spark splits a token with many holders.
+    """
+    held = rows.groupBy("token").agg(F.min(by).alias("least"), F.max(by).alias("most"), F.count("*").alias("holders")).where("least <> most").drop("most")
+    return rows.join(written(held, name, release=True), "token")
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -120,12 +128,12 @@ def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tile_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of a tile that span the components of all its links."""
+def tile_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of a tile that span the components of all its links; joined: equal for nodes that are connected already."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), nodes[i]))
     nodes, sets = nodes[order], [sets[i] for i in order]
     size, maps = np.array([len(s) for s in sets]), _bitmaps(sets)
-    root, links = np.arange(len(sets)), []
+    root, links = np.arange(len(sets)) if joined is None else np.unique(joined[order], return_inverse=True)[1], []
     for i in range(1, len(sets)):
         lo = int(np.searchsorted(size[:i], -(-percent * size[i] // 100)))
         if lo == i:
@@ -160,48 +168,81 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, block:
     first = _each_set(docs.where("doc_id is not null"), size, _first_prefix(percent), "node long, tokens array<long>").select("node", F.explode("tokens").alias("token"))
     partner = F.ceil(F.col("n") * percent / 100)
     enough = F.ceil(partner / 10)
-    stay = _shared(first).groupBy("node").count().join(node, "node").where(F.col("count") >= enough).select("doc_id", F.col("node").alias("expected"))
-    stay = written(stay, "stay")
+    stay = _shared(first, "first").groupBy("node").count().join(node, "node").where(F.col("count") >= enough).select("doc_id", F.col("node").alias("expected"))
+    stay = written(stay, "stay", release=True)
     texts = docs.join(F.broadcast(stay) if few(stay) else stay.hint("shuffle_hash"), "doc_id")
     tokens = _each_set(texts, size, lambda v, s, _: [(v[0], len(s), s.view(np.int64))] if set_key(s) == v[0] else [], "node long, n long, tokens array<long>", ("expected",))
-    tokens = _shared(tokens.select("node", "n", F.explode("tokens").alias("token")))
+    tokens = _shared(tokens.select("node", "n", F.explode("tokens").alias("token")), "tokens")
     # n-grams of one holder come before all others in the order, so those of two or more begin after them;
     # ranks are dense, as rows that repeat a doc_id repeat its n-grams
     nth = tokens.withColumn("nth", F.dense_rank().over(W.partitionBy("node").orderBy("holders", "token")))
     place = F.col("nth") + F.col("n") - F.max("nth").over(W.partitionBy("node"))
-    prefix = nth.withColumn("place", place).where(F.col("place") <= F.col("n") - partner + 1).select("node", "token")
-    edges = _shared(prefix.select("node", "token")).where("node <> least").select("node", "least").distinct()
-    tile = written(components(edges, "node", "least"), "tiles")
-    at = tile.join(node, "node").withColumn("band", F.floor(F.ln("n") / np.log(100 / percent) + 1e-9))
-    both = at.select("root", "doc_id", F.col("node").alias("expected"), F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("tile"))
-    sizes = both.groupBy("root", "tile").count().select("root", "tile", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    tiles = both.join(sizes, ["root", "tile"]).groupBy("doc_id", "expected", "root").agg(F.collect_list(F.struct("tile", "parts")).alias("tiles"))
-    member = written(tiles.select("doc_id", "expected", "root", F.col("tiles.tile").alias("tile"), F.col("tiles.parts").alias("parts")), "members")
-    texts = docs.join(F.broadcast(member) if few(member) else member.hint("shuffle_hash"), "doc_id")
-    placed = _each_set(texts, size, _placed, "root long, tile long, i int, j int, node long, grams binary", ("expected", "root", "tile", "parts"), X.PIECE_BYTES // 4)
-    linked = placed.groupBy("root", "tile", "i", "j").applyInPandas(lambda p: _solve(p, percent), "a long, b long")
+    prefix = written(nth.withColumn("place", place).where(F.col("place") <= F.col("n") - partner + 1).select("node", "token"), "prefix", release=True)
+    stars = _shared(prefix, "stars").where("node <> least").groupBy("node").agg(F.min("least").alias("hub"))
+    stars = written(stars, "hubs")
+    first_links = written(_linked(docs, _star_places(stars, node, block), size, percent), "star_links")
+    joined = written(components(first_links, "a", "b"), "joined")
+    still = prefix.join(joined, "node", "left").select("node", "token", F.coalesce("root", "node").alias("joined"))
+    open_ = _shared(written(still, "still"), "open", by="joined").select("node", "token", "joined", F.min("node").over(W.partitionBy("token")).alias("centre"))
+    open_ = written(open_, "candidates")
+    tile = components(open_.select("node", "centre"), "node", "centre")
+    tile = written(tile.join(open_.select("node", "joined").distinct(), "node"), "tiles", release=True)
+    linked = _linked(docs, _tile_places(tile, node, percent, block), size, percent).unionByName(first_links)
     comp = components(linked, "a", "b")
     labelled = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    labelled = written(labelled, "labelled", release=True)
+    # most roots are of one row, which is its own component
+    least = written(labelled.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least"), "least")
+    labelled = labelled.join(F.broadcast(least) if few(least) else least, "root", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return (
-        labelled.join(least, "root")
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        labelled.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         .unionByName(rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     )
 
 
+def _star_places(stars: DataFrame, node: DataFrame, block: int) -> DataFrame:
+    """(doc_id, expected, joined, places) of stars (node, hub): a node in one block of its star, the centre in all."""
+    sizes = stars.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    some = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    rays = stars.join(sizes, "hub").select("node", "hub", some.alias("i"))
+    hubs = sizes.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+    place = F.struct(F.col("hub").alias("root"), F.lit(0).cast("long").alias("tile"), "i", F.col("i").alias("j"))
+    at = rays.unionByName(hubs).groupBy("node").agg(F.collect_list(place).alias("places"))
+    return at.join(node, "node").select("doc_id", F.col("node").alias("expected"), F.col("node").alias("joined"), "places")
+
+
+def _tile_places(tile: DataFrame, node: DataFrame, percent: int, block: int) -> DataFrame:
+    """(doc_id, expected, joined, places) of nodes with a root each: the tiles and pairs of blocks that each takes part in."""
+    at = tile.join(node, "node").withColumn("band", F.floor(F.ln("n") / np.log(100 / percent) + 1e-9))
+    both = at.select("root", "doc_id", "joined", "node", F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("tile"))
+    sizes = both.groupBy("root", "tile").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    each = both.join(sizes, ["root", "tile"]).select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"))
+    place = F.struct("root", "tile", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
+    return each.groupBy("doc_id", F.col("node").alias("expected"), "joined").agg(F.collect_list(place).alias("places"))
+
+
+def _linked(docs: DataFrame, places: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links found where nodes are placed together, spanning all that are there."""
+    member = places.select("doc_id", "expected", "joined", *(F.col(f"places.{c}").alias(c) for c in ("root", "tile", "i", "j")))
+    member = written(member, "members")
+    texts = docs.join(F.broadcast(member) if few(member) else member.hint("shuffle_hash"), "doc_id")
+    placed = _each_set(texts, size, _placed, "root long, tile long, i int, j int, node long, joined long, grams binary", ("expected", "joined", "root", "tile", "i", "j"), X.PIECE_BYTES // 4)
+    return placed.groupBy("root", "tile", "i", "j").applyInPandas(lambda p: _solve(p, percent), "a long, b long")
+
+
 def _placed(values: tuple, s: np.ndarray, _: set[int]) -> list[tuple]:
-    """A row for each tile and pair of blocks that the set takes part in; none for another text under the same doc_id."""
-    expected, root, tiles, parts = values
+    """A row for each place of the set; none for another text under the same doc_id."""
+    expected, joined, *places = values
     if set_key(s) != expected:
         return []
-    spread = int(X.mix(np.array([expected]).view(np.uint64))[0] >> np.uint64(1))
-    return [(root, t, min(spread % p, k), max(spread % p, k), expected, s.tobytes()) for t, p in zip(tiles, parts, strict=True) for k in range(p)]
+    grams = s.tobytes()
+    return [(*at, expected, joined, grams) for at in zip(*places, strict=True)]
 
 
 def _solve(p: pd.DataFrame, percent: int) -> pd.DataFrame:
     p = p.drop_duplicates("node")
-    links = tile_links(p.node.to_numpy(np.int64), [np.frombuffer(b, np.uint64) for b in p.grams], percent)
+    links = tile_links(p.node.to_numpy(np.int64), [np.frombuffer(b, np.uint64) for b in p.grams], percent, p.joined.to_numpy(np.int64))
     return pd.DataFrame({"a": [a for a, _ in links], "b": [b for _, b in links]}, dtype="int64")
 
 
