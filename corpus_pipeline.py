@@ -3,7 +3,10 @@
 Language ID drops documents without a language, quality rules those that the
 counts or the perplexity bands reject, the n-gram join all but one of each group
 of near duplicates, decontamination those that leak a benchmark item; what is
-left is packed into sequences.  An empty table passes through every stage.
+left is packed into sequences.  An empty table passes through every stage.  Rows
+with a null or repeated doc_id are rows like any other; only the n-gram join
+goes by doc_id: there a row without one stays, and so do all rows of the least
+doc_id of a group.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import decontam, langid, ngram_join, packing, quality
 from tallyloom.llm.queries import remainder
-from tallyloom.llm.store import without, written
+from tallyloom.llm.store import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -35,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a stretch within 20 % word edits of a benchmark item."""
-    return without(docs, decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "doc_id").select(*COLUMNS)
+    """Documents without a stretch within 20 % word edits of a benchmark item; each row by its own text, whatever its doc_id."""
+    return decontam.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
