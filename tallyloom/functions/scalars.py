@@ -7,11 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that carry no category, as the token rule needs them.
+# Words that carry no product's identity.
 STOP_WORDS = (
-    "a an and are as at be but by for from has have her his i in is it its me my not of off on or our "
-    "out over per she so than that the their them they this to up was we were will with you your"
-).split()
+    "the", "and", "of", "at", "in", "on", "a", "an", "to", "set", "pack", "purchase", "refund", "return", "returned", "against", "raised", "approved", "customer", "back",
+    "did", "not", "already", "sent", "collected", "rejected", "wrong", "damaged", "faulty", "defect", "defective", "missing", "torn", "broken", "dead", "past", "caused",
+    "differed", "delivered", "shipped", "arrival", "transit", "doorstep", "size", "colour", "unit", "product", "item",
+)
 
 # Statuses of a ledger event.
 SETTLEABLE = ("CAPTURED", "PROCESSED")
@@ -69,9 +70,13 @@ def rupees(c: Column) -> Column:
 
 def allowance(kind: str, value: int, reference: Column, cap: int | None = None) -> Column:
     """What may differ: a fixed amount, basis points of the reference, or those up to a cap."""
+    if kind not in ("FIXED", "PERCENTAGE", "PERCENTAGE_CAPPED") or value < 0:
+        raise ValueError(f"no such tolerance: {kind} {value}")
+    if (kind == "PERCENTAGE_CAPPED") != (cap is not None) or (cap or 0) < 0:
+        raise ValueError("a cap of 0 or more belongs to PERCENTAGE_CAPPED, and only to it")
     if kind == "FIXED":
         return F.lit(value).cast("long")
-    share = F.floor(F.abs(reference) * value / 10_000).cast("long")
+    share = F.floor(F.abs(reference).cast("decimal(38,0)") * value / 10_000).cast("long")
     return F.least(share, F.lit(cap).cast("long")) if kind == "PERCENTAGE_CAPPED" else share
 
 
@@ -114,8 +119,7 @@ def subject(ids: Column) -> Column:
 
 def decision_id(action: Column, stage: Column, ids: Column) -> Column:
     """Identity of a decision: a hash of its action, stage and subject as JSON with sorted keys."""
-    quoted = F.concat(F.lit('["'), F.array_join(subject(ids), '","'), F.lit('"]'))
-    text = F.concat(F.lit('{"action":"'), action, F.lit('","stage":"'), stage, F.lit('","subject":'), quoted, F.lit("}"))
+    text = F.to_json(F.struct(action.alias("action"), stage.alias("stage"), subject(ids).alias("subject")))
     return F.concat(F.lit("dec_"), F.substring(F.sha2(text, 256), 1, 24))
 
 

@@ -65,7 +65,9 @@ def b3_pairs(batch: Batch) -> DataFrame:
     """Anonymous refund lines beside the free refunds of their amount, with the similarity of note and description."""
     lines = batch.detail.where("event_id is null and line_type = 'REFUND'").select("settlement_id", "detail_id", "input_order", F.abs("gross_effect_paise").alias("amount_paise"), "reference_text")
     pairs = lines.join(unconsumed_refunds(batch).select("event_id", "txn_id", "amount_paise"), "amount_paise").join(described(batch), "txn_id", "left")
-    return pairs.withColumn("similarity", lexical_similarity("reference_text", "parent"))
+    texts = pairs.select("reference_text", "parent").distinct().withColumn("similarity", lexical_similarity("reference_text", "parent"))
+    same = F.col("a.reference_text").eqNullSafe(F.col("t.reference_text")) & F.col("a.parent").eqNullSafe(F.col("t.parent"))
+    return pairs.alias("a").join(texts.alias("t"), same).select("a.*", "t.similarity")
 
 
 def b3_claims(pairs: DataFrame) -> DataFrame:

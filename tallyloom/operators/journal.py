@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from tallyloom.functions import scalars as S
 from tallyloom.operators.ladder import LadderRun
+from tallyloom.sources.kept import kept
 
 # The stage of each pass, and the hash before the first record.
 STAGES = {"exact_join": "S1", "refund_corroboration": "S2", "adjudication": "S4", "disposition": "S5"}
@@ -32,7 +33,8 @@ def build(run: LadderRun, decided: DataFrame) -> DataFrame:
     seq counts within the kinds' ranges, so the ranges are sorted and numbered
     apart and their sizes added up.
     """
-    stage = S.lookup(F.col("pass_name"), STAGES, None)
+    unknown = F.raise_error(F.concat(F.lit("no stage for pass "), F.coalesce(F.col("pass_name"), F.lit("null"))))
+    stage = F.coalesce(S.lookup(F.col("pass_name"), STAGES, None), unknown)
     rule = F.concat_ws("/", "pass_name", "tier")
     ids = F.array("event_id", "detail_id", "settlement_id")
     place = lambda kind, a, b: (F.lit(kind).alias("kind"), a.cast("string").alias("a"), b.alias("b"))
@@ -54,7 +56,8 @@ def canonical(rows: DataFrame) -> Column:
 
 def numbered(rows: DataFrame) -> DataFrame:
     """rows with seq from 1 by place; the sort is by ranges, and only the ranges' sizes meet in one place."""
-    dealt = rows.repartitionByRange("place").sortWithinPartitions("place", "decision_id").withColumn("part", F.spark_partition_id())
+    # computed once, as ranges are sampled and could fall otherwise when computed again
+    dealt = kept(rows.repartitionByRange("place", "decision_id").withColumn("part", F.spark_partition_id()))
     dealt = dealt.withColumn("nth", F.row_number().over(W.partitionBy("part").orderBy("place", "decision_id")))
     sizes = dealt.groupBy("part").count()
     before = sizes.select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("before"))
@@ -65,8 +68,11 @@ def seal(rows: DataFrame) -> DataFrame:
     """(seq, decision_id, body, previous_hash, record_hash): each hash takes in the one before.
 
     A chain is a sequence by nature: one task streams the sorted bodies and
-    holds one hash.
+    holds one hash.  A decision_id that repeats is refused.
     """
+    rows = kept(rows.select(F.col("seq").cast("long"), "decision_id", "body"))
+    if twice := duplicates(rows).limit(5).collect():
+        raise ValueError("decisions recorded twice: " + ", ".join(r.decision_id for r in twice))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = GENESIS
@@ -78,7 +84,7 @@ def seal(rows: DataFrame) -> DataFrame:
                 after.append(last)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("seq", "decision_id", "body")), pa.array(before, pa.string()), pa.array(after, pa.string())], ["seq", "decision_id", "body", "previous_hash", "record_hash"])
 
-    return rows.select(F.col("seq").cast("long"), "decision_id", "body").coalesce(1).sortWithinPartitions("seq").mapInArrow(chain, "seq bigint, decision_id string, body string, previous_hash string, record_hash string")
+    return rows.coalesce(1).sortWithinPartitions("seq").mapInArrow(chain, "seq bigint, decision_id string, body string, previous_hash string, record_hash string")
 
 
 def breaks(sealed: DataFrame) -> DataFrame:

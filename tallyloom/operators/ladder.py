@@ -18,6 +18,7 @@ from pyspark.sql.window import Window as W
 from tallyloom.functions import scalars as S
 from tallyloom.operators.controls import ties_out
 from tallyloom.sources.batch import Batch
+from tallyloom.sources.kept import kept
 
 # Days a refund may precede its settlement, and the gates by name.
 WINDOW_DAYS = 4
@@ -57,29 +58,60 @@ def settled_parents(batch: Batch) -> DataFrame:
     return batch.ledger.where("event_type = 'PAYMENT' and status = 'PROCESSED'").join(named, "event_id", "left_semi").select("txn_id").distinct()
 
 
+_LINE = ("amount_paise", "settled_on", "line_currency", "line_type", "outflow", "ties")
+_EVENT = ("amount_paise", "created_on", "currency", "event_type", "taken", "parent")
+
+
+def _sides(batch: Batch, consumed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Anonymous lines and all events, each with what the gates ask of it."""
+    mark = lambda df, key, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    lines = batch.detail.where("event_id is null").select("detail_id", "settlement_id", "line_type", (F.col("gross_effect_paise") < 0).alias("outflow"), F.to_date("settled_at").alias("settled_on"), F.col("currency").alias("line_currency"), F.abs("gross_effect_paise").alias("amount_paise"))
+    lines = lines.join(ties_out(batch, lines.select("settlement_id")), "settlement_id", "left").withColumn("ties", F.coalesce("ties", F.lit(False)))
+    taken = batch.detail.select("event_id").where("event_id is not null")
+    taken = taken if consumed is None else taken.union(consumed.select("event_id"))
+    events = batch.ledger.select("event_id", "event_type", "txn_id", "amount_paise", "currency", F.to_date("created_at").alias("created_on"))
+    events = events.join(mark(taken, "event_id", "taken"), "event_id", "left").join(mark(settled_parents(batch), "txn_id", "parent"), "txn_id", "left")
+    return lines, events.withColumns({"taken": F.coalesce("taken", F.lit(False)), "parent": F.coalesce("parent", F.lit(False))})
+
+
 def amount_candidates(batch: Batch) -> DataFrame:
     """Anonymous lines beside every event of their amount, payments included."""
-    lines = batch.detail.where("event_id is null").select("detail_id", "settlement_id", "line_type", "gross_effect_paise", "settled_at", F.col("currency").alias("line_currency"), F.abs("gross_effect_paise").alias("amount_paise"))
-    return lines.join(batch.ledger.select("event_id", "event_type", "txn_id", "amount_paise", "currency", "created_at"), "amount_paise")
+    lines = batch.detail.where("event_id is null").select("detail_id", "settlement_id", F.abs("gross_effect_paise").alias("amount_paise"))
+    return lines.join(batch.ledger.select("event_id", "amount_paise"), "amount_paise")
 
 
-def gated(batch: Batch, consumed: DataFrame, window_days: int = WINDOW_DAYS) -> DataFrame:
-    """Candidates with first_failed, the first of gates 1 and 3 to 7 that they fail; null: none."""
-    pairs = amount_candidates(batch)
-    mark = lambda df, key, name: df.select(key).distinct().withColumn(name, F.lit(True))
-    taken = batch.detail.select("event_id").where("event_id is not null").union(consumed.select("event_id"))
-    ties = ties_out(batch, batch.detail.where("event_id is null").select("settlement_id"))
-    pairs = pairs.join(mark(taken, "event_id", "taken"), "event_id", "left").join(mark(settled_parents(batch), "txn_id", "parent"), "txn_id", "left").join(ties, "settlement_id", "left")
-    age = F.datediff(F.to_date("settled_at"), F.to_date("created_at"))
+@dataclass(frozen=True)
+class Gated:
+    """classes: lines and events alike in all that gates 1 and 3 to 7 ask, in pairs of equal amount, with n_pairs and first_failed, the first of the gates that they fail (null: none)."""
+
+    lines: DataFrame
+    events: DataFrame
+    classes: DataFrame
+
+    def survivors(self) -> DataFrame:
+        """(detail_id, settlement_id, event_id, amount_paise, settled_on, created_on) of pairs that fail none of these gates."""
+        open_ = self.classes.where("first_failed is null").select(*_LINE, *_EVENT[1:])
+        return self.lines.join(open_, list(_LINE)).join(self.events, list(_EVENT)).select("detail_id", "settlement_id", "event_id", "amount_paise", "settled_on", "created_on")
+
+
+def gated(batch: Batch, consumed: DataFrame | None, window_days: int = WINDOW_DAYS) -> Gated:
+    """Candidates through gates 1 and 3 to 7.
+
+    A pair's fate depends on its days, currencies, kinds and flags only, so
+    classes of these are paired, at most as many as an amount has days, and only
+    pairs that survive are made of lines and events.
+    """
+    lines, events = map(kept, _sides(batch, consumed))
+    pairs = lines.groupBy(*_LINE).agg(F.count("*").alias("n_lines")).join(events.groupBy(*_EVENT).agg(F.count("*").alias("n_events")), "amount_paise")
     failed = (
         F.when(F.col("taken"), GATES[0])
-        .when(~age.between(0, window_days), GATES[1])
+        .when(~F.datediff("settled_on", "created_on").between(0, window_days), GATES[1])
         .when(F.col("currency") != F.col("line_currency"), GATES[2])
-        .when(F.col("parent").isNull(), GATES[3])
-        .when((F.col("event_type") != "REFUND") | (F.col("line_type") != "REFUND") | (F.col("gross_effect_paise") >= 0), GATES[4])
-        .when(~F.coalesce("ties", F.lit(False)), GATES[5])
+        .when(~F.col("parent"), GATES[3])
+        .when((F.col("event_type") != "REFUND") | (F.col("line_type") != "REFUND") | ~F.col("outflow"), GATES[4])
+        .when(~F.col("ties"), GATES[5])
     )
-    return pairs.withColumn("first_failed", failed)
+    return Gated(lines, events, pairs.select("*", (F.col("n_lines") * F.col("n_events")).alias("n_pairs"), failed.alias("first_failed")))
 
 
 def matching(adjacency: dict[str, list[str]]) -> dict[str, str]:
@@ -167,28 +199,39 @@ def admissible(edges: pd.DataFrame) -> pd.DataFrame:
     return edges.assign(feasible=ok)
 
 
+def stretches(survivors: DataFrame) -> DataFrame:
+    """survivors with `stretch`: edges of an amount whose days do not meet lie in different ones, so no edge leads from one to another."""
+    days = survivors.groupBy("amount_paise", "created_on").agg(F.max("settled_on").alias("until"))
+    w = W.partitionBy("amount_paise").orderBy("created_on")
+    apart = F.coalesce(F.col("created_on") > F.max("until").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    days = days.withColumn("apart", apart.cast("int")).withColumn("stretch", F.sum("apart").over(w)).select("amount_paise", "created_on", "stretch")
+    return survivors.join(days, ["amount_paise", "created_on"])
+
+
 def feasible(survivors: DataFrame) -> DataFrame:
     """Survivors of the local gates with `feasible` (gate 8).
 
-    Edges join equal amounts only, so amounts are independent.  The search is
-    linear in an amount's edges but needs them in one task.
+    Edges join equal amounts within a few days only, so stretches of an amount
+    are independent.  The search is linear in a stretch's edges but needs them
+    in one task.
     """
     schema = "detail_id string, settlement_id string, event_id string, amount_paise bigint, feasible boolean"
-    return survivors.select("detail_id", "settlement_id", "event_id", "amount_paise").groupBy("amount_paise").applyInPandas(lambda e: admissible(e)[["detail_id", "settlement_id", "event_id", "amount_paise", "feasible"]], schema)
+    edges = stretches(survivors).select("detail_id", "settlement_id", "event_id", "amount_paise", "stretch")
+    return edges.groupBy("amount_paise", "stretch").applyInPandas(lambda e: admissible(e)[["detail_id", "settlement_id", "event_id", "amount_paise", "feasible"]], schema)
 
 
 def refund_corroboration(batch: Batch, consumed: DataFrame, window_days: int = WINDOW_DAYS) -> PassResult:
     """Claims an anonymous refund line when exactly one event of its amount passes all gates; abstains at two or more."""
     name = "refund_corroboration"
-    pairs = gated(batch, consumed, window_days)
-    judged = feasible(pairs.where("first_failed is null"))
+    found = gated(batch, consumed, window_days)
+    judged = kept(feasible(found.survivors()))
     lines = batch.detail.where("event_id is null").select("detail_id", "settlement_id")
     by_line = judged.groupBy("detail_id").agg(F.count("*").alias("n_local"), F.array_sort(F.collect_list(F.when(F.col("feasible"), F.col("event_id")))).alias("allowed"))
     state = lines.join(by_line, "detail_id", "left").withColumn("n", F.when(F.col("n_local").isNull(), -1).otherwise(F.size("allowed")))
     claims = state.where("n = 1").select("settlement_id", F.col("allowed")[0].alias("event_id"), "detail_id", F.lit(name).alias("pass_name"), F.lit("CONFIRMED").alias("tier"), F.lit(1.0).alias("confidence"), F.lit(0).cast("long").alias("emit_order"))
     reason = F.format_string("%d candidates survive gates 1-8 (%s); gate 9 requires exactly one", F.size("allowed"), F.array_join("allowed", ", "))
     abstentions = state.where("n > 1 or n = 0").select("settlement_id", "detail_id", F.lit(name).alias("pass_name"), F.col("allowed").alias("candidate_event_ids"), reason.alias("reason"))
-    gates = _counters(pairs, name, candidates_by_amount=F.count("*"), **{g: F.count_if(F.col("first_failed") == g) for g in GATES[:6]})
+    gates = _counters(found.classes, name, candidates_by_amount=F.sum("n_pairs"), **{g: F.sum(F.when(F.col("first_failed") == g, F.col("n_pairs"))) for g in GATES[:6]})
     gates = gates.unionByName(_counters(judged, name, gate_8_feasibility=F.count_if(~F.col("feasible"))))
     gates = gates.unionByName(_counters(state, name, examined=F.count("*"), resolved=F.count_if(F.col("n") == 1), abstained=F.count_if((F.col("n") > 1) | (F.col("n") == 0)), unexplained=F.count_if(F.col("n") == -1), gate_9_uniqueness=F.count_if((F.col("n") > 1) | (F.col("n") == 0))))
     return PassResult(claims, abstentions, gates)
@@ -229,10 +272,11 @@ def run_ladder(batch: Batch, ladder: Sequence[tuple[str, Rung]] = DEFAULT, resid
         consumed = accepted.select("event_id").distinct()
         open_lines = abstained.join(accepted, "detail_id", "left_anti").drop("rung") if abstained is not None else None
         result = rung(batch, consumed) if rung else residual(batch, consumed, open_lines)
+        result = PassResult(kept(result.claims), kept(result.abstentions), result.counters)
         judged = first_claims(result.claims.join(consumed, "event_id", "left_anti"), accepted)
         late = result.claims.join(consumed, "event_id", "left_semi").withColumn("reason", F.concat(F.lit("event "), F.col("event_id"), F.lit(" already consumed")))
         no = judged.where("reason is not null").unionByName(late).withColumn("rung", F.lit(k))
-        accepted = accepted.unionByName(judged.where("reason is null").drop("reason").withColumn("rung", F.lit(k)))
+        accepted = kept(accepted.unionByName(judged.where("reason is null").drop("reason").withColumn("rung", F.lit(k))))
         rejected = no if rejected is None else rejected.unionByName(no)
         own = result.abstentions.withColumn("rung", F.lit(k))
         abstained = own if abstained is None else abstained.unionByName(own)

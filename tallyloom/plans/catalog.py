@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from tallyloom.operators import baselines, controls, journal, ladder, scoring, v
 from tallyloom.plans import testbed as T
 from tallyloom.sources import generator
 from tallyloom.sources.batch import keep_first
+from tallyloom.sources.kept import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -81,7 +83,9 @@ def calendar_days(spark, d):
     return led.select("event_id", F.to_date("created_at").cast("string").alias("created_on"), F.datediff(F.lit("1998-12-01").cast("date"), F.to_date("created_at")).cast("long").alias("age_days"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
+_STOP = """'the', 'and', 'of', 'at', 'in', 'on', 'a', 'an', 'to', 'set', 'pack', 'purchase', 'refund', 'return', 'returned', 'against', 'raised', 'approved', 'customer', 'back',
+ 'did', 'not', 'already', 'sent', 'collected', 'rejected', 'wrong', 'damaged', 'faulty', 'defect', 'defective', 'missing', 'torn', 'broken', 'dead', 'past', 'caused',
+ 'differed', 'delivered', 'shipped', 'arrival', 'transit', 'doorstep', 'size', 'colour', 'unit', 'product', 'item'"""
 _TOKENS = f"list_distinct(list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9]+'), lambda x: length(x) > 1 and x not in ({_STOP})))"
 
 
@@ -267,8 +271,8 @@ _GATE_VIEWS = (*_SUMMARY_VIEWS, *_LINE_VIEWS, "bridge_t")
 
 @_query()
 def first_failed_gates(spark, d):
-    g = ladder.gated(T.batch(spark, d), _none(spark))
-    return g.groupBy(F.coalesce("first_failed", F.lit("none")).alias("gate")).agg(F.count("*").alias("n_pairs"))
+    classes = ladder.gated(T.batch(spark, d), None).classes
+    return classes.groupBy(F.coalesce("first_failed", F.lit("none")).alias("gate")).agg(F.sum("n_pairs").alias("n_pairs"))
 
 
 ORACLE_SQL["first_failed_gates"] = _cte("select coalesce(first_failed, 'none') as gate, cast(count(*) as bigint) as n_pairs from g group by 1", _S + _L + _TIES + _GATED, *_GATE_VIEWS)
@@ -276,7 +280,7 @@ ORACLE_SQL["first_failed_gates"] = _cte("select coalesce(first_failed, 'none') a
 
 @_query()
 def local_survivors(spark, d):
-    return ladder.gated(T.batch(spark, d), _none(spark)).where("first_failed is null").select("detail_id", "event_id", "amount_paise")
+    return ladder.gated(T.batch(spark, d), None).survivors().select("detail_id", "event_id", "amount_paise")
 
 
 ORACLE_SQL["local_survivors"] = _cte("select detail_id, event_id, amount_paise from g where first_failed is null", _S + _L + _TIES + _GATED, *_GATE_VIEWS)
@@ -284,7 +288,7 @@ ORACLE_SQL["local_survivors"] = _cte("select detail_id, event_id, amount_paise f
 
 @_query()
 def global_feasibility(spark, d):
-    return ladder.feasible(ladder.gated(T.batch(spark, d), _none(spark)).where("first_failed is null")).select("detail_id", "event_id", "feasible")
+    return ladder.feasible(ladder.gated(T.batch(spark, d), None).survivors()).select("detail_id", "event_id", "feasible")
 
 
 @_query()
@@ -345,9 +349,30 @@ def best_second_margin(spark, d):
 # verdicts, queue and journal
 
 
-def _decided(spark, d) -> tuple[DataFrame, DataFrame]:
+def _decided(spark, d, rungs=ladder.JOIN_ONLY) -> tuple[DataFrame, DataFrame]:
     b, c = T.batch(spark, d), T.cases(spark, d)
-    return verdicts.verdicts(b, c, ladder.run_ladder(b, ladder.JOIN_ONLY)), c
+    return verdicts.verdicts(b, c, ladder.run_ladder(b, rungs)), c
+
+
+@_query()
+def default_verdicts(spark, d):
+    """Verdicts by the default ladder, refund rung and abstentions included."""
+    return _decided(spark, d, ladder.DEFAULT)[0].drop("evidence")
+
+
+@_query()
+def default_queue(spark, d):
+    """The ranked queue by the default ladder, abstentions included."""
+    q = verdicts.queue(*_decided(spark, d, ladder.DEFAULT))
+    return verdicts.ranked(q).select("case_id", "outcome", "category", "exposure_paise", F.col("exposure_rupees").cast("double").alias("exposure_rupees"), "settlement_ids")
+
+
+@_query()
+def default_journal(spark, d):
+    """Journal records of the default ladder's claims, abstentions, rejections and verdicts."""
+    b, c = T.batch(spark, d), T.cases(spark, d)
+    run = ladder.run_ladder(b)
+    return journal.build(run, verdicts.verdicts(b, c, run)).select("decision_id", "action", "stage", "rule", "confidence")
 
 
 _VERDICT = """, of_case as (select b.case_id, b.case_pos, f.* from bridge_t b join (
@@ -399,6 +424,15 @@ def disposition_unsettled(spark, d):
     return verdicts.unsettled(c, led).select("case_id", "outcome", "category", "exposure_paise")
 
 
+_ID = """'dec_' || substr(sha256('{"action":"' || action || '","stage":"' || stage || '","subject":["' || subject || '"]}'), 1, 24) as decision_id, action, stage, rule, confidence"""
+ORACLE_SQL["journal_records"] = _cte(
+    f"""select {_ID} from (select 'match' as action, 'S1' as stage, array_to_string(list_sort([event_id, detail_id, settlement_id]), '","') as subject, 'exact_join/CONFIRMED' as rule, cast(1.0 as double) as confidence from detail_t where event_id in (select event_id from ledger_t)
+ union all select 'verdict', 'S5', case_id, 'disposition/' || outcome || coalesce('/' || category, ''), confidence from v)""",
+    _S + _L + _VERDICT,
+    *_GATE_VIEWS,
+)
+
+
 @_query()
 def journal_records(spark, d):
     b, c = T.batch(spark, d), T.cases(spark, d)
@@ -418,7 +452,11 @@ def chain_verify(spark, d):
     return journal.breaks(changed).select("seq", "broken")
 
 
-@_query()
+@_query(
+    """with recursive b as materialized (select event_id + 1 as seq, '{"event_id":' || cast(event_id as varchar) || ',"event_type":"' || event_type || '"}' as body from events),
+c as (select seq, repeat('0', 64) as previous_hash, sha256(repeat('0', 64) || body) as record_hash from b where seq = 1 union all select b.seq, c.record_hash, sha256(c.record_hash || b.body) from c join b on b.seq = c.seq + 1)
+select * from c"""
+)
 def hash_chain(spark, d):
     return journal.verify(_sealed(spark, d)).select("seq", "previous_hash", "record_hash")
 
@@ -455,9 +493,9 @@ def per_scenario_accuracy(spark, d):
     return scoring.by_scenario(_scored(spark, d))
 
 
-@_query("select label, cast(sum(support) as bigint) as support, cast(sum(predicted) as bigint) as predicted, cast(sum(tp) as bigint) as tp from (select expected_category as label, 1 as support, 0 as predicted, case when category = expected_category then 1 else 0 end as tp from scored_t where expected_category is not null union all select category, 0, 1, 0 from scored_t where category is not null) group by 1", "scored_t")
+@_query("select label, cast(sum(support) as bigint) as support, cast(sum(predicted) as bigint) as predicted, cast(sum(tp) as bigint) as tp, coalesce(cast(sum(tp) as double) / nullif(sum(predicted), 0), 0.0) as \"precision\", coalesce(cast(sum(tp) as double) / nullif(sum(support), 0), 0.0) as recall from (select expected_category as label, 1 as support, 0 as predicted, case when category = expected_category then 1 else 0 end as tp from scored_t where expected_category is not null union all select category, 0, 1, 0 from scored_t where category is not null) group by 1", "scored_t")
 def category_one_vs_rest(spark, d):
-    return scoring.one_vs_rest(_scored(spark, d)).select("label", "support", "predicted", "tp")
+    return scoring.one_vs_rest(_scored(spark, d)).select("label", "support", "predicted", "tp", "precision", "recall")
 
 
 @_query("select expected_category as expected, case when outcome = 'EXCEPTION' then category else outcome end as reported, cast(count(*) as bigint) as n from scored_t where expected_outcome = 'EXCEPTION' group by 1, 2", "scored_t")
@@ -470,21 +508,22 @@ def abstention_accounting(spark, d):
     return scoring.abstentions(_scored(spark, d))
 
 
-@_query("select cast(count(*) filter (expected_outcome = 'NO_ACTION') as bigint) as support, cast(count(*) filter (expected_outcome = 'NO_ACTION' and outcome = 'EXCEPTION') as bigint) as n_false, cast(0.0 as double) as rate from scored_t", "scored_t")
+@_query("select cast(count(*) filter (expected_outcome = 'NO_ACTION') as bigint) as support, cast(count(*) filter (expected_outcome = 'NO_ACTION' and outcome = 'EXCEPTION') as bigint) as n_false, coalesce(cast(count(*) filter (expected_outcome = 'NO_ACTION' and outcome = 'EXCEPTION') as double) / nullif(count(*) filter (expected_outcome = 'NO_ACTION'), 0), 0.0) as rate from scored_t", "scored_t")
 def no_action_false_positives(spark, d):
     return scoring.idle_false_positives(_scored(spark, d))
 
 
-@_query("select threshold, cast(count(*) filter (k) as bigint) as n_kept, cast(count(*) filter (k) as double) / count(*) as coverage, coalesce(cast(count(*) filter (k and outcome = expected_outcome and fp = 0 and fn = 0) as double) / nullif(count(*) filter (k), 0), 0.0) as \"precision\" from (select *, confidence >= threshold and outcome <> 'ABSTAIN' as k from scored_t, (select unnest([cast(0.0 as double), 0.25, 0.5, 0.75, 0.9]) as threshold)) group by 1", "scored_t")
+@_query("select threshold, cast(count(*) filter (k) as bigint) as n_kept, cast(count(*) filter (k) as double) / count(*) as coverage, coalesce(cast(count(*) filter (k and outcome = expected_outcome and fp = 0 and fn = 0) as double) / nullif(count(*) filter (k), 0), 0.0) as \"precision\", coalesce(cast(sum(case when k then fp else 0 end) as double) / nullif(sum(case when k then tp + fp else 0 end), 0), 0.0) as false_match from (select *, confidence >= threshold and outcome <> 'ABSTAIN' as k from scored_t, (select unnest([cast(0.0 as double), 0.25, 0.5, 0.75, 0.9]) as threshold)) group by 1", "scored_t")
 def precision_coverage_curve(spark, d):
-    return scoring.curve(_scored(spark, d), [0.0, 0.25, 0.5, 0.75, 0.9]).drop("false_match")
+    return scoring.curve(_scored(spark, d), [0.0, 0.25, 0.5, 0.75, 0.9])
 
 
 @_query()
 def generated_scorecard(spark, d):
     """A generated batch of 1,000 cases reconciled by the default ladder and scored by scenario."""
     data = generator.generate(spark, 1000, 42, "primary")
-    run = ladder.run_ladder(data.batch)
-    decided, claimed = verdicts.verdicts(data.batch, data.cases, run), verdicts.allocations(data.cases, run)
+    batch = dataclasses.replace(data.batch, **{f.name: kept(getattr(data.batch, f.name)) for f in dataclasses.fields(data.batch)})
+    run = ladder.run_ladder(batch)
+    decided, claimed = verdicts.verdicts(batch, data.cases, run), verdicts.allocations(data.cases, run)
     want = verdicts.bridge(data.key_cases).join(data.key_allocations, "settlement_id").select("case_id", "event_id", "settlement_id")
     return scoring.by_scenario(scoring.judged(data.key_cases, decided, want, claimed))
