@@ -146,7 +146,7 @@ class KneserNey:
         for k in range(1, ORDER + 1):
             own = code & _KEEP[k]
             p = self._find(k, 0, lang, own, 0.0) + self._find(k, 1, lang, own >> np.uint64(16), 1.0) * p
-        return np.log(p)
+        return np.log(np.maximum(p, 1e-300))
 
 
 class Remembered:
@@ -177,7 +177,7 @@ def _log_probabilities(asked: DataFrame, model: DataFrame) -> DataFrame:
             found = model.where((F.col("k") == k) & (F.col("kind") == kind)).select("lang", F.col("key").alias("key_"), F.col("value").alias(name))
             asked = asked.withColumn("key_", key).join(found, ["lang", "key_"], "left").drop("key_")
         asked = asked.withColumn("p", F.coalesce("own", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("p")).drop("own", "left")
-    return asked.select("lang", "code", F.log("p").alias("log_p"))
+    return asked.select("lang", "code", F.log(F.greatest("p", F.lit(1e-300))).alias("log_p"))
 
 
 def base_counts(texts: pa.Array) -> list[np.ndarray]:
