@@ -109,7 +109,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         grams = grams.groupBy("lang", short.alias("gram")).agg(F.count("*").alias("c")).select("lang", "gram", "c", F.lit(k).alias("k"))
         rows = rows.unionByName(grams)
     rows = written(rows, "grams")
-    d = rows.groupBy("lang", "k").agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4))).select("lang", "k", *_discounts())
+    d = written(rows.groupBy("lang", "k").agg(*(F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4))).select("lang", "k", *_discounts()), "discounts")
+    d = F.broadcast(d) if few(d, 10_000) else d
     rows = rows.join(d, ["lang", "k"]).withColumns({"d": F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")), "context": F.shiftrightunsigned("gram", 16)})
     contexts = rows.groupBy("lang", "k", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
     own = rows.join(contexts, ["lang", "k", "context"]).select("lang", "k", F.lit(0).alias("kind"), F.col("gram").alias("key"), ((F.col("c") - F.col("d")) / F.col("total")).alias("value"))
