@@ -8,11 +8,11 @@ classes of length, each with its own windows.  A template T meets a block B when
 
 Template words are ordered by how often they occur in all documents, rarest
 first, and a block is its distinct template words in that order.  A block that
-meets T has `need` words at least (length filter), and one of the first
-|B| - need + 1 of them is among the first |T| - need + 1 of T (prefix filter).
-At the r-th word of T and the q-th of B no more than what both have left can
-still be common; with those found so far this must reach `need` (positional
-filter).  Only what is left then is compared.
+meets T has `need` words at least (length filter), and one of them is among the
+first |T| - need + 1 of T (prefix filter).  At the r-th word of T and the q-th
+of B no more than what both have left can still be common; with those found so
+far this must reach `need` (positional filter; as T's prefix ends in time, it is
+B's words that may be too few).  Only what is left then is compared.
 """
 
 from __future__ import annotations
@@ -150,7 +150,7 @@ class Matcher:
         shared: dict[int, int] = {}
         for q, k in enumerate(block):
             for t, r in prefix.get(k, ()):
-                if len(block) < self.need[t] or q > len(block) - self.need[t]:
+                if len(block) < self.need[t]:
                     continue
                 so_far = shared.get(t, 0)
                 if so_far < 0 or so_far + 1 + min(len(self.words[t]) - r - 1, len(block) - q - 1) < self.need[t]:

@@ -534,7 +534,7 @@ def test_wrapped_notices_are_met(spark):
     rng = random.Random(8)
     filler = lambda n: "\n".join(sentence(rng, ["alpha", "beta", "gamma"], 7) for _ in range(n))
     long = [(label, t) for label, t in licenses.TEMPLATES if len(t) > 60]
-    docs = [(i, f"{filler(before)}\n{textwrap.fill(t, 40)}\n{filler(5)}") for i, ((_, t), before) in enumerate(itertools.product(long, range(12)))]
+    docs = [(i, f"{filler(before)}\n{textwrap.fill(t, 50)}\n{filler(5)}") for i, ((_, t), before) in enumerate(itertools.product(long, range(12)))]
     docs += [(1000 + i, t.replace(" ", "\n")) for i, (_, t) in enumerate(long)]
     truth = {i: label for i, ((label, _), _) in enumerate(itertools.product(long, range(12)))} | {1000 + i: label for i, (label, _) in enumerate(long)}
     docs.append((2000, filler(40)))
