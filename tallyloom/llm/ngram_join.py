@@ -41,7 +41,8 @@ from tallyloom.llm import textops as X
 from tallyloom.llm.graph import components
 from tallyloom.llm.store import few, without, written
 
-BLOCK = 1000
+#: Nodes of a block of a tile, and of a star, whose blocks all hold the centre.
+BLOCK, STAR_BLOCK = 1000, 200
 #: Nodes that a task remembers having sent; it then starts afresh.
 SENT = 1_000_000
 
@@ -180,7 +181,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, block:
     prefix = written(nth.withColumn("place", place).where(F.col("place") <= F.col("n") - partner + 1).select("node", "token"), "prefix", release=True)
     stars = _shared(prefix, "stars").where("node <> least").groupBy("node").agg(F.min("least").alias("hub"))
     stars = written(stars, "hubs")
-    first_links = written(_linked(docs, _star_places(stars, node, block), size, percent), "star_links")
+    first_links = written(_linked(docs, _star_places(stars, node, min(block, STAR_BLOCK)), size, percent), "star_links")
     joined = written(components(first_links, "a", "b"), "joined")
     still = prefix.join(joined, "node", "left").select("node", "token", F.coalesce("root", "node").alias("joined"))
     open_ = _shared(written(still, "still"), "open", by="joined").select("node", "token", "joined", F.min("node").over(W.partitionBy("token")).alias("centre"))
