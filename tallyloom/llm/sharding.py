@@ -8,7 +8,8 @@ whole; only blocks that a cut crosses are split by row, each row going where its
 middle lies.  Cuts fall between rows, so shards then differ by a few rows'
 sizes; further flows over lines that end in the smallest rows even that out.
 
-The driver sees sizes by shard and block only: shards * blocks rows at most.
+The driver sees sizes by shard and block only: shards * MOST_BLOCKS rows at most
+in the first flow, shards * 64 size classes * SIZED_BLOCKS in the further ones.
 
 Rows are known by a key given when they are first written to shards; the shards
 that gain or lose rows are then rewritten, whole rows with all their columns.
@@ -23,8 +24,8 @@ from pyspark.sql.window import Window as W
 
 from tallyloom.llm.store import written
 
-#: Rows that a block should hold, and the most blocks in a shard.
-BLOCK_ROWS, MOST_BLOCKS = 20_000, 4096
+#: Rows that a block should hold, the most blocks in a shard, and in a size class of a shard.
+BLOCK_ROWS, MOST_BLOCKS, SIZED_BLOCKS = 20_000, 4096, 32
 
 
 def min_cost_flow(sizes: list[int], capacities: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -118,6 +119,7 @@ def reshard(rows: DataFrame, shards: int, olds: int, capacities: list[int] | Non
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     targets = capacities or even(total, shards)
     blocks = max(1, min(MOST_BLOCKS, n // (BLOCK_ROWS * olds) + 16))
+    fewer = min(blocks, SIZED_BLOCKS)
     spread = F.pmod(F.col("tie"), F.lit(blocks)).cast("long")
     small_last = F.lit(64) - F.floor(F.log2("size"))
     moved = written(_deal(rows, spread, targets, olds), "dealt")
@@ -131,7 +133,7 @@ def reshard(rows: DataFrame, shards: int, olds: int, capacities: list[int] | Non
         if worst <= tolerance * total / shards:
             break
         room = [max(t, 0) for t in targets]
-        again = _deal(moved.withColumnsRenamed({"old": "first", "shard": "old"}), small_last * blocks + spread, room, len(targets))
+        again = _deal(moved.withColumnsRenamed({"old": "first", "shard": "old"}), small_last * fewer + F.pmod(F.col("tie"), F.lit(fewer)), room, len(targets))
         moved = written(again.withColumn("old", F.col("first")).drop("first"), "dealt")
     return off[1].drop("tie")
 
