@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tallyloom.functions import scalars as S
+from tallyloom.operators.ladder import ABSTENTION, LadderRun
+from tallyloom.operators.verdicts import bridge, verdicts
 from tallyloom.sources.batch import Batch
 
 
@@ -97,6 +99,58 @@ def separation(pairs: DataFrame) -> DataFrame:
     return s.where("k > 1").withColumn("margin", F.col("best") - F.col("second"))
 
 
+def b3_verdict_claims(batch: Batch) -> DataFrame:
+    return b3_claims(b3_pairs(batch))
+
+
+def visits(cases: DataFrame) -> DataFrame:
+    """(settlement_id, visit): settlements in the order in which cases, by id, name them first."""
+    return bridge(cases).groupBy("settlement_id").agg(F.min(F.struct("case_id", "case_pos")).alias("visit"))
+
+
+def decide(batch: Batch, cases: DataFrame, recovered: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, claims) of a baseline: all named lines as they stand, and what it recovered of the others.
+
+    A baseline never abstains; a line that it recovered counts as explained,
+    rightly or not.
+    """
+    spark = batch.detail.sparkSession
+    named = b1_claims(batch.detail)
+    none = spark.createDataFrame([], "settlement_id string, event_id string, detail_id string")
+    found = none if recovered is None else recovered.select(*none.columns)
+    accepted = found.select(*none.columns, F.lit("baseline").alias("pass_name"), F.lit("ASSUMED").alias("tier"), F.lit(1.0).alias("confidence"), F.lit(0).cast("long").alias("emit_order"), F.lit(0).alias("rung"))
+    held = spark.createDataFrame([], ABSTENTION)
+    return verdicts(batch, cases, LadderRun(accepted, accepted.limit(0), held, spark.createDataFrame([], "pass_name string, counter string, n bigint"))), named.unionByName(found)
+
+
+def judged_lax(key: DataFrame, expected: DataFrame, decided: DataFrame, claims: DataFrame) -> DataFrame:
+    """A row for each case of the key with `correct`: the outcome is right and no claim is wrong; n_wrong counts every claim, repeats too.
+
+    key: (case_id, scenario, expected_outcome, settlement_ids); expected: (event_id, settlement_id).
+    """
+    wrong = bridge(key).join(claims, "settlement_id").join(expected.select("event_id", "settlement_id").distinct(), ["event_id", "settlement_id"], "left_anti").groupBy("case_id").agg(F.count("*").alias("n_wrong"))
+    rows = key.select("case_id", "scenario", "expected_outcome").join(decided.select("case_id", "outcome"), "case_id", "left").join(wrong, "case_id", "left").fillna(0, ["n_wrong"])
+    return rows.withColumn("correct", F.coalesce((F.col("outcome") == F.col("expected_outcome")) & (F.col("n_wrong") == 0), F.lit(False)))
+
+
+def lax_scores(rows: DataFrame, name: str) -> DataFrame:
+    """(matcher, n_cases, n_correct, n_wrong_claims, accuracy, floor): floor is the share of cases that the matcher leaves."""
+    s = rows.agg(F.count("*").alias("n_cases"), F.count_if("correct").alias("n_correct"), F.coalesce(F.sum("n_wrong"), F.lit(0)).alias("n_wrong_claims"))
+    accuracy = S.ratio(F.col("n_correct"), F.col("n_cases"))
+    return s.select(F.lit(name).alias("matcher"), "n_cases", "n_correct", "n_wrong_claims", accuracy.alias("accuracy"), F.when(F.col("n_cases") > 0, 1 - accuracy).otherwise(0.0).alias("floor"))
+
+
+def compare(batch: Batch, cases: DataFrame, key: DataFrame, expected: DataFrame, agent: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """lax_scores of the baselines B1, B2 and B3, and of the agent's (verdicts, claims)."""
+    found = {"B1": None, "B2": b2_claims(batch, visits(cases)), "B3": b3_verdict_claims(batch)}
+    parts = [(name, *decide(batch, cases, claims)) for name, claims in found.items()] + ([("agent", *agent)] if agent else [])
+    out = None
+    for name, decided, claims in parts:
+        one = lax_scores(judged_lax(key, expected, decided, claims), name)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def hit_rate(pairs: DataFrame, right: DataFrame) -> DataFrame:
     """How often the most similar candidate is right, beside chance; right: (detail_id, event_id)."""
     w = W.partitionBy("detail_id").orderBy(F.desc("similarity"), F.desc("event_id"))

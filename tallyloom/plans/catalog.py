@@ -336,6 +336,19 @@ def b1_claims(spark, d):
     return baselines.b1_claims(T.views(spark, d, "detail_t")[0])
 
 
+@_query()
+def baseline_verdicts(spark, d):
+    """Outcomes of the first baseline: named lines as they stand, every other one unexplained."""
+    return baselines.decide(T.batch(spark, d), T.cases(spark, d))[0].drop("evidence")
+
+
+@_query()
+def recovered_verdicts(spark, d):
+    """Outcomes of the second baseline, with the lines that it recovers by rank."""
+    b, c = T.batch(spark, d), T.cases(spark, d)
+    return baselines.decide(b, c, baselines.b2_claims(b, baselines.visits(c)))[0].drop("evidence")
+
+
 @_query()
 def b3_greedy(spark, d):
     return baselines.b3_claims(baselines.b3_pairs(T.batch(spark, d)))
@@ -389,7 +402,7 @@ def case_verdicts(spark, d):
     return _decided(spark, d)[0].drop("evidence")
 
 
-ORACLE_SQL["case_verdicts"] = _cte("select case_id, outcome, category, confidence, exposure_paise from v", _S + _L + _VERDICT, *_GATE_VIEWS)
+ORACLE_SQL["baseline_verdicts"] = ORACLE_SQL["case_verdicts"] = _cte("select case_id, outcome, category, confidence, exposure_paise from v", _S + _L + _VERDICT, *_GATE_VIEWS)
 
 
 @_query()
@@ -518,6 +531,16 @@ def precision_coverage_curve(spark, d):
     return scoring.curve(_scored(spark, d), [0.0, 0.25, 0.5, 0.75, 0.9])
 
 
+@_query()
+def generated_comparison(spark, d):
+    """The baselines and the default ladder on a generated batch of 1,000 cases, by the laxer scores."""
+    data = generator.generate(spark, 1000, 42, "primary")
+    batch = dataclasses.replace(data.batch, **{f.name: kept(getattr(data.batch, f.name)) for f in dataclasses.fields(data.batch)})
+    run = ladder.run_ladder(batch)
+    agent = (verdicts.verdicts(batch, data.cases, run), run.accepted.select("settlement_id", "event_id", "detail_id"))
+    return baselines.compare(batch, data.cases, data.key_cases, data.key_allocations, agent)
+
+
 @_query()
 def generated_scorecard(spark, d):
     """A generated batch of 1,000 cases reconciled by the default ladder and scored by scenario."""

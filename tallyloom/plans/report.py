@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import scoring, verdicts
+from tallyloom.operators import baselines, journal, scoring, verdicts
 from tallyloom.operators.ladder import DEFAULT, JOIN_ONLY
-from tallyloom.sources.batch import load_answer_key
+from tallyloom.sources.batch import load_answer_key, load_raw
 
 THRESHOLDS = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 Table = tuple[str, list[str], list[list[str]]]
@@ -63,10 +63,25 @@ def main(argv: Sequence[str] | None = None) -> int:
     p.add_argument("--join-only", action="store_true", help="run the exact join alone")
     p.add_argument("--queue", help="write the queue as CSV to this folder")
     p.add_argument("--html", help="write the report to this file")
+    p.add_argument("--compare", action="store_true", help="set the result beside the baselines, by the directory's answer key")
+    p.add_argument("--verify", action="store_true", help="the directory is a journal: check its hashes and print its summary")
     a = p.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if a.verify:
+        try:
+            records = journal.read(spark, a.directory)
+        except journal.Tampered as e:
+            print(f"broken: {e}")
+            return 1
+        body = F.from_json("body", "stage string, action string, confidence double")
+        print(as_text([table("Journal", journal.summary(records.select(body.alias("x")).select("x.*")).orderBy("kind", "label"))]))
+        return 0
     r = verdicts.reconcile(spark, a.directory, JOIN_ONLY if a.join_only else DEFAULT)
     tables = panel(r, load_answer_key(spark, a.directory) if a.score else None)
+    if a.compare:
+        key, pairs = load_answer_key(spark, a.directory)
+        agent = (r.verdicts, r.run.accepted.select("settlement_id", "event_id", "detail_id"))
+        tables.append(table("Comparison", baselines.compare(load_raw(spark, a.directory), r.cases, key, pairs, agent)))
     print(as_text(tables))
     if a.queue:
         verdicts.write_queue(verdicts.queue(r.verdicts, r.cases), a.queue)

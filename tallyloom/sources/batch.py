@@ -130,6 +130,21 @@ def load_batch(spark: SparkSession, directory: str) -> Batch:
     return Batch(load_events(spark, at("gateway_ledger")), detail, again, load_settlements(spark, at("settlement_summary")), load_bank(spark, at("bank_statement")), load_pricing(spark, at("pricing_rules")))
 
 
+def load_raw(spark: SparkSession, directory: str) -> Batch:
+    """The batch as a baseline reads it: nothing is validated, cells that are no numbers are null, and repeats are dropped within a settlement only."""
+    read = lambda name, columns: read_csv(spark, f"{directory}/{name}.csv", columns)
+    money = lambda *names: {c: S.money(F.col(c)) for c in names}
+    text = lambda *names: {c: S.optional_text(F.col(c)) for c in names}
+    ledger = read("gateway_ledger", LEDGER).withColumns(money("amount_paise") | {"created_at": S.timestamp(F.col("created_at"))})
+    ledger = ledger if "description" in ledger.columns else ledger.withColumn("description", F.lit(None).cast("string"))
+    detail = read("settlement_detail", DETAIL).withColumns(money("gross_effect_paise", "fee_paise", "tax_paise", "net_effect_paise") | text("event_id", "reference_text") | {"settled_at": S.timestamp(F.col("settled_at"))})
+    nth = detail.withColumn("nth", F.row_number().over(W.partitionBy("settlement_id", "detail_id").orderBy("input_order")))
+    again = nth.where("nth > 1").groupBy("settlement_id").agg(F.count("*").alias("n_duplicates"))
+    summary = read("settlement_summary", SUMMARY).withColumns(money("gross_payment_paise", "refund_paise", "fee_paise", "tax_paise", "net_amount_paise"))
+    bank = read("bank_statement", BANK).withColumns(money("credit_amount_paise"))
+    return Batch(ledger.withColumn("description", S.optional_text(F.col("description"))), nth.where("nth = 1").drop("nth"), again, summary, bank, load_pricing(spark, f"{directory}/pricing_rules.csv"))
+
+
 def load_answer_key(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     """(cases, allocations) to score against; allocations are distinct pairs."""
     cases = read_csv(spark, f"{directory}/answer_key_cases.csv", ("case_id", "scenario", "expected_outcome", "settlement_ids", "expected_exception_category"))
