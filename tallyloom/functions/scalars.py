@@ -142,3 +142,10 @@ def cost_usd(inputs: Column, cached: Column, outputs: Column, rate_in: Column, r
     d = lambda c: c.cast("decimal(18,4)")
     total = d(inputs) * d(rate_in) + d(cached) * d(rate_in) / 10 + d(outputs) * d(rate_out)
     return F.coalesce(F.bround((total / 1_000_000).cast("decimal(24,10)"), 6), F.lit(0)).cast("decimal(18,6)")
+
+
+def exact_money(c: Column) -> Column:
+    """A decimal as text with two places; one that two places do not hold is refused."""
+    d = c.cast("decimal(38,6)")
+    refused = F.raise_error(F.concat(F.lit("not exact at two places: "), d.cast("string"))).cast("string")
+    return F.when(d.isNull() | (d == F.bround(d, 2)), d.cast("decimal(34,2)").cast("string")).otherwise(refused)

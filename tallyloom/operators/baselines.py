@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import difflib
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tallyloom.functions import scalars as S
-from tallyloom.operators.ladder import ABSTENTION, LadderRun
+from tallyloom.operators.ladder import ABSTENTION, LadderRun, gated
 from tallyloom.operators.verdicts import bridge, verdicts
 from tallyloom.sources.batch import Batch
 
@@ -159,6 +160,22 @@ def hit_rate(pairs: DataFrame, right: DataFrame) -> DataFrame:
     return s.agg(F.count("*").alias("n_lines"), F.count("hit").alias("n_hits"), F.coalesce(F.sum(F.col("n_right") / F.col("k")), F.lit(0.0)).alias("by_chance"))
 
 
+def gated_candidates(batch: Batch) -> DataFrame:
+    """(detail_id, event_id) after the gates that look at the event alone: unconsumed, within days, of a settled parent."""
+    found = gated(batch, None)
+    blind = found.classes.where("first_failed is null or first_failed in ('gate_4_currency', 'gate_6_sign', 'gate_7_controls')").where("parent")
+    return dataclasses.replace(found, classes=blind.withColumn("first_failed", F.lit(None).cast("string"))).survivors().select("detail_id", "event_id")
+
+
+def unexplained_deltas(batch: Batch) -> DataFrame:
+    """(settlement_id, delta_paise, n_lines, refund_paise, n_refunds): what a settlement's anonymous lines take beside all free refunds of these amounts."""
+    lines = batch.detail.where("event_id is null and line_type = 'REFUND'").select("settlement_id", F.abs("gross_effect_paise").alias("amount_paise"))
+    sums = lines.groupBy("settlement_id").agg(F.sum("amount_paise").alias("delta_paise"), F.count("*").alias("n_lines"))
+    free = unconsumed_refunds(batch).groupBy("amount_paise").agg(F.count("*").alias("n"))
+    near = lines.distinct().join(free, "amount_paise").groupBy("settlement_id").agg(F.sum(F.col("amount_paise") * F.col("n")).alias("refund_paise"), F.sum("n").alias("n_refunds"))
+    return sums.join(near, "settlement_id", "left").fillna(0, ["refund_paise", "n_refunds"])
+
+
 def multiplicity(candidates: DataFrame, name: str) -> DataFrame:
     """How many lines have how many candidates."""
     return candidates.groupBy("detail_id").agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("n_lines")).withColumn("stage", F.lit(name))

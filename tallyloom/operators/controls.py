@@ -43,7 +43,7 @@ def rollup(detail: DataFrame) -> DataFrame:
 def line_findings(batch: Batch, attributed: DataFrame | None = None) -> DataFrame:
     """Findings of single lines; attributed: detail_ids that the ladder has explained."""
     known = batch.ledger.select(F.col("event_id"), F.col("method"), F.lit(True).alias("in_ledger"))
-    lines = batch.detail.join(known, "event_id", "left").join(F.broadcast(batch.pricing), "method", "left")
+    lines = batch.detail.join(known, "event_id", "left").join(batch.pricing, "method", "left")
     lines = lines.join(attributed.select("detail_id").distinct().withColumn("explained", F.lit(True)), "detail_id", "left") if attributed is not None else lines.withColumn("explained", F.lit(None).cast("boolean"))
     want_fee = round_half_up(F.col("gross_effect_paise") * F.col("fee_rate_bps"), 10_000)
     lines = lines.withColumn("want_fee", want_fee).withColumn("want_tax", round_half_up(F.col("want_fee") * F.col("gst_rate_bps"), 10_000))

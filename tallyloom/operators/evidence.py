@@ -55,11 +55,23 @@ def requests(batch: Batch, open_lines: DataFrame, consumed: DataFrame) -> DataFr
     return grouped.where(F.size("c") > 1).join(notes, "detail_id").where("note is not null").select("detail_id", "settlement_id", "note", lettered.alias("choices"))
 
 
-def adjudication(reader: Reader = declining, floor: float = FLOOR) -> Callable[[Batch, DataFrame, DataFrame], PassResult]:
-    """A residual rung for run_ladder; its claims are SUGGESTED."""
+def usage(calls: DataFrame, *by: str) -> DataFrame:
+    """Sums of input, output and cached input tokens and the number of calls, over all rows or by columns."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return calls.groupBy(*by).agg(total("input_tokens"), total("output_tokens"), total("cache_read_tokens"), F.count("*").alias("calls"))
+
+
+def adjudication(reader: Reader = declining, floor: float = FLOOR, most_calls: int | None = None) -> Callable[[Batch, DataFrame, DataFrame], PassResult]:
+    """A residual rung for run_ladder; its claims are SUGGESTED.
+
+    most_calls: lines that the reader is asked about, the first by id; the
+    others stay open.  An answer whose confidence is no number from 0 to 1 counts
+    as none.
+    """
 
     def rung(batch: Batch, consumed: DataFrame, open_lines: DataFrame) -> PassResult:
         asked = requests(batch, open_lines, consumed)
+        asked = asked if most_calls is None else asked.orderBy("detail_id").limit(most_calls)
 
         def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in batches:
@@ -68,7 +80,9 @@ def adjudication(reader: Reader = declining, floor: float = FLOOR) -> Callable[[
                 for r, (label, confidence) in zip(p.itertuples(), answers, strict=True):
                     said = (label or "").strip().upper()
                     event = None if said.lower() in NO_ANSWER else next((c["event_id"] for c in r.choices if c["label"] == said), None)
-                    rows.append((r.detail_id, r.settlement_id, event if confidence >= floor else None, float(confidence)))
+                    confidence = float(confidence)
+                    sure = confidence if 0.0 <= confidence <= 1.0 else 0.0  # not a number fails both
+                    rows.append((r.detail_id, r.settlement_id, event if sure >= floor else None, sure))
                 yield pd.DataFrame(rows, columns=["detail_id", "settlement_id", "event_id", "confidence"])
 
         got = asked.mapInPandas(ask, "detail_id string, settlement_id string, event_id string, confidence double").withColumn("pass_name", F.lit("adjudication"))

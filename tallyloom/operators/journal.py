@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from tallyloom.functions import scalars as S
 from tallyloom.operators.ladder import LadderRun
+from tallyloom.sources.batch import Batch
 from tallyloom.sources.kept import kept
 
 # The stage of each pass, and the hash before the first record.
@@ -64,6 +65,38 @@ def numbered(rows: DataFrame) -> DataFrame:
     return dealt.join(F.broadcast(before), "part").withColumn("seq", F.col("nth") + F.col("before")).drop("part", "nth", "before", "place")
 
 
+def validated(rows: DataFrame) -> DataFrame:
+    """rows, once each has an action, a stage, a subject without empty ids, and a confidence that is null or within 0 to 1."""
+    filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    subject = F.coalesce((F.size("subject") > 0) & F.forall("subject", lambda x: F.coalesce(x != "", F.lit(False))), F.lit(False))
+    sure = F.col("confidence").isNull() | (F.col("confidence").between(0.0, 1.0) & ~F.isnan("confidence"))
+    why = F.when(~filled("action"), "no action").when(~filled("stage"), "no stage").when(~subject, "empty subject").when(~sure, "confidence out of range")
+    if bad := rows.select(F.to_json(F.struct("action", "stage", "subject")).alias("row"), why.alias("why")).where("why is not null").limit(5).collect():
+        raise ValueError("; ".join(f"{r.why}: {r.row}" for r in bad))
+    return rows
+
+
+def by_stage(rows: DataFrame, stage: str) -> DataFrame:
+    return rows.where(F.col("stage") == stage)
+
+
+def by_subject(rows: DataFrame, *ids: str) -> DataFrame:
+    """Decisions on exactly these ids, in any order."""
+    return rows.where(F.col("subject") == S.subject(F.array(*map(F.lit, ids))))
+
+
+def get(rows: DataFrame, decision_id: str) -> DataFrame:
+    return rows.where(F.col("decision_id") == decision_id)
+
+
+def enriched(run: LadderRun, batch: Batch) -> DataFrame:
+    """Accepted claims beside what they join: the event's amount, status and day, the line's gross and net effect, and the days between."""
+    events = batch.ledger.select("event_id", "event_type", "amount_paise", "status", F.to_date("created_at").alias("created_on"))
+    lines = batch.detail.select("detail_id", "gross_effect_paise", "net_effect_paise", F.to_date("settled_at").alias("settled_on"))
+    both = run.accepted.select("settlement_id", "event_id", "detail_id", "pass_name").join(events, "event_id", "left").join(lines, "detail_id", "left")
+    return both.withColumn("days", F.datediff("settled_on", "created_on"))
+
+
 def seal(rows: DataFrame) -> DataFrame:
     """(seq, decision_id, body, previous_hash, record_hash): each hash takes in the one before.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyloom.functions import scalars as S
-from tallyloom.operators import baselines, controls, journal, ladder, scoring, verdicts
+from tallyloom.operators import baselines, controls, evidence, journal, ladder, scoring, verdicts
 from tallyloom.plans import testbed as T
 from tallyloom.sources import generator
 from tallyloom.sources.batch import keep_first
@@ -18,7 +18,7 @@ from tallyloom.sources.kept import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "exposure_queue"
+FLAGSHIP = "default_queue"
 
 
 def _query(sql: str | None = None, *views: str):
@@ -319,6 +319,56 @@ def ambiguity_histogram(spark, d):
     return baselines.multiplicity(ladder.amount_candidates(T.batch(spark, d)), "amount")
 
 
+@_query()
+def ambiguity_after_gates(spark, d):
+    return baselines.multiplicity(baselines.gated_candidates(T.batch(spark, d)), "gates")
+
+
+ORACLE_SQL["ambiguity_after_gates"] = T.with_views(
+    """select k, cast(count(*) as bigint) as n_lines, 'gates' as stage from (select d.detail_id, cast(count(*) as bigint) as k from detail_t d join ledger_t e on abs(d.gross_effect_paise) = e.amount_paise
+ where d.event_id is null and e.event_id not in (select event_id from detail_t where event_id is not null) and date_diff('day', cast(e.created_at as date), cast(d.settled_at as date)) between 0 and 4
+ and e.txn_id in (select txn_id from ledger_t where event_type = 'PAYMENT' and status = 'PROCESSED' and event_id in (select event_id from detail_t where event_id is not null)) group by 1) group by 1""",
+    "detail_t",
+    "ledger_t",
+)
+
+
+@_query(
+    """select l.settlement_id, delta_paise, n_lines, coalesce(refund_paise, 0) as refund_paise, coalesce(n_refunds, 0) as n_refunds from
+ (select settlement_id, cast(sum(abs(gross_effect_paise)) as bigint) as delta_paise, cast(count(*) as bigint) as n_lines from detail_t where event_id is null and line_type = 'REFUND' group by 1) l left join
+ (select settlement_id, cast(sum(e.amount_paise) as bigint) as refund_paise, cast(count(*) as bigint) as n_refunds from (select distinct settlement_id, abs(gross_effect_paise) as amount_paise from detail_t where event_id is null and line_type = 'REFUND') x
+ join ledger_t e on e.amount_paise = x.amount_paise and e.event_type = 'REFUND' and e.event_id not in (select event_id from detail_t where event_id is not null) group by 1) r using (settlement_id)""",
+    "detail_t",
+    "ledger_t",
+)
+def unexplained_deltas(spark, d):
+    return baselines.unexplained_deltas(T.batch(spark, d))
+
+
+@_query(
+    """select settlement_id, e.event_id, detail_id, e.amount_paise, e.status, d.net_effect_paise, cast(date_diff('day', cast(e.created_at as date), cast(d.settled_at as date)) as bigint) as days from detail_t d join ledger_t e on d.event_id = e.event_id""",
+    "detail_t",
+    "ledger_t",
+)
+def journal_enriched(spark, d):
+    b = T.batch(spark, d)
+    rows = journal.enriched(ladder.run_ladder(b, ladder.JOIN_ONLY), b)
+    return rows.select("settlement_id", "event_id", "detail_id", "amount_paise", "status", "net_effect_paise", F.col("days").cast("long").alias("days"))
+
+
+@_query("select lang, cast(sum(n_chars) as bigint) as input_tokens, cast(sum(n_chars // 10) as bigint) as output_tokens, cast(sum(n_chars % 7) as bigint) as cache_read_tokens, cast(count(*) as bigint) as calls from documents group by 1")
+def usage_sums(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    n = F.col("n_chars")
+    return evidence.usage(docs.select("lang", n.alias("input_tokens"), F.floor(n / 10).cast("long").alias("output_tokens"), (n % 7).alias("cache_read_tokens")), "lang")
+
+
+@_query("select o_orderkey, cast(cast(cast(round(o_totalprice * 100) as bigint) as decimal(20,2)) / 100 as decimal(18,2))::varchar as amount from orders")
+def exact_amounts(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return orders.select("o_orderkey", S.exact_money(F.round(F.col("o_totalprice") * 100).cast("long").cast("decimal(20,2)") / 100).alias("amount"))
+
+
 @_query(
     """select l.settlement_id, e.event_id, l.detail_id from (select d.*, abs(gross_effect_paise) as amount_paise, row_number() over (partition by abs(gross_effect_paise) order by d.settlement_id, input_order) as k from detail_t d where event_id is null and line_type = 'REFUND') l
 join (select event_id, amount_paise, row_number() over (partition by amount_paise order by event_id) as k from ledger_t where event_type = 'REFUND' and event_id not in (select event_id from detail_t where event_id is not null)) e on l.amount_paise = e.amount_paise and l.k = e.k""",
