@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import textops as X
+from tallyloom.llm.store import without
 
 #: Words of items that one pass holds; more items take more passes.
 ITEM_WORDS = 1_000_000
@@ -283,25 +284,12 @@ def _indexes(items: DataFrame, percent: int, bits: int, target: float, item_word
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = 20, bits: int = 2, target: float = 0.95, item_words: int = ITEM_WORDS) -> DataFrame:
-    """The rows of docs that leak no item, all columns as they are; each row is judged by its own text, whatever its doc_id."""
-    out = docs
-    for index in _indexes(items, percent, bits, target, item_words):
-        out = _kept(out, index)
-    return out
-
+    """The rows of docs that leak no item, all columns as they are; each row is judged by its own text, whatever its doc_id.
 
-def _kept(docs: DataFrame, index: Index) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    @X.tidied
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in X.pieces(batch, limit=PIECE_BYTES):
-                stays = np.ones(part.num_rows, bool)
-                stays[[f[0] for f in shared.value.scan(part.column("text"))]] = False
-                yield part.filter(pa.array(stays))
-
-    return docs.mapInArrow(run, docs.schema)
+    Rows are known by a 64-bit hash of their text, so equal texts share a fate.
+    """
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    return without(docs.withColumn("text_hash_", F.xxhash64("text")), leaks(texts, items, percent, bits, target, item_words).select(F.col("doc_id").alias("text_hash_")), "text_hash_").select(*docs.columns)
 
 
 def _pass(docs: DataFrame, index: Index) -> DataFrame:
