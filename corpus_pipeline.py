@@ -16,34 +16,39 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import decontam, langid, ngram_join, packing, quality
 from tallyloom.llm.queries import remainder
-from tallyloom.llm.store import written
+from tallyloom.llm.store import small_batches, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters; a null lang is filled by the prediction."""
+    small_batches(spark)
     found = langid.identify(docs, usable=remainder(4) != 2, keep=COLUMNS)
     return found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counts and their language's perplexity bands."""
+    small_batches(spark)
     return quality.judge(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group that shares 80 % of 5-word shingles."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs, size=5, percent=80).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a stretch within 20 % word edits of a benchmark item; each row by its own text, whatever its doc_id."""
+    small_batches(spark)
     return decontam.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of up to 4096 tokens; a row with its ids for each piece of a document."""
+    small_batches(spark)
     return packing.pack(docs, name="word_bpe_49k.json", size=4096, end=1)
 
 
