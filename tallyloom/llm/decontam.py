@@ -255,7 +255,7 @@ def _looked_up(most: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray
 LEAK = "doc_id long, item_id long, first_word long, n_words long, distance long"
 
 
-def leaks(docs: DataFrame, items: DataFrame, percent: int = 20, bits: int = 2, target: float = 0.95, item_words: int = ITEM_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, percent: int = 20, bits: int = 2, target: float = 0.99, item_words: int = ITEM_WORDS) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, distance): the nearest stretch for each row of docs and each item it leaks.
 
     items: item_id and text.  Items without words are leaked by nothing; items
@@ -283,7 +283,7 @@ def _indexes(items: DataFrame, percent: int, bits: int, target: float, item_word
         yield Index(rows, percent, bits, target)
 
 
-def clean(docs: DataFrame, items: DataFrame, percent: int = 20, bits: int = 2, target: float = 0.95, item_words: int = ITEM_WORDS) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, percent: int = 20, bits: int = 2, target: float = 0.99, item_words: int = ITEM_WORDS) -> DataFrame:
     """The rows of docs that leak no item, all columns as they are; each row is judged by its own text, whatever its doc_id.
 
     Rows are known by a 64-bit hash of their text, so equal texts share a fate.
