@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -105,12 +106,15 @@ class Ids:
 
 
 _known: dict[str, Ids] = {}
+#: The name under which workers remember ids.
+IDS = "ids"
 
 
 def ids_by(name: str) -> Ids:
     """The worker's own Ids for a vocabulary."""
     if name not in _known:
         _known[name] = Ids(name)
+    X.remember(IDS, _known.clear)
     return _known[name]
 
 
@@ -136,7 +140,7 @@ RUN = 8
 def pieces(docs: DataFrame, name: str, limit: int, end: int) -> DataFrame:
     """Each document's ids and the end id, cut only where they exceed limit."""
 
-    @X.tidied
+    @partial(X.tidied, keeps=IDS)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in X.pieces(batch):

@@ -11,6 +11,7 @@ are sums over batches; no state by document is kept or read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import textops as X
+from tallyloom.llm.packing import IDS
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, documents long, tokens long, batch_id string"
@@ -102,7 +104,7 @@ def counted(docs: DataFrame, counters: dict[str, Callable[[np.ndarray, np.ndarra
     names = [f"n{i}" for i in range(len(counters))]
     schema = "doc_id long, source string, lang string, copy long, " + ", ".join(f"{n} long" for n in names)
 
-    @X.tidied
+    @partial(X.tidied, keeps=IDS)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in X.pieces(batch):

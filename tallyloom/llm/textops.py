@@ -31,16 +31,30 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 PIECE_BYTES = 2 << 20
 
 
-def tidied(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
-    """run, after which the worker gives freed memory back to the system, as it lives on between tasks."""
+def tidied(run: Callable[..., Iterator], keeps: str = "") -> Callable[..., Iterator]:
+    """run, before which the worker forgets what tasks of other kinds had it remember, and after which it gives freed memory back, as it lives on between tasks."""
 
     def each(*args):
+        forget(keeps)
         yield from run(*args)
         give_back()
 
     return each
 
 
+#: What a worker remembers between tasks, by name, and how it is forgotten.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remember(name: str, forgotten: Callable[[], None]) -> None:
+    _remembered[name] = forgotten
+
+
+def forget(keeps: str = "") -> None:
+    for name in [n for n in _remembered if n != keeps]:
+        _remembered.pop(name)()
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it

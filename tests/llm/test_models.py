@@ -252,3 +252,12 @@ def test_junk_of_another_script_is_told_apart(spark):
     docs += [(500 + i, text(lambda: "".join(rng.choices(letters, k=rng.randint(2, 6)))), "ru") for i in range(8)]
     got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(docs, DOCS)).collect()}
     assert sum(got[i] for i in range(80)) >= 76 and not any(got[500 + i] for i in range(8))
+
+
+def test_workers_forget_what_other_tasks_remember():
+    from tallyloom.llm import packing
+
+    packing.ids_by("word_bpe_49k.json")
+    assert list(X.tidied(lambda x: iter([x]), keeps=packing.IDS)(1)) == [1] and packing._known
+    assert list(X.tidied(lambda x: iter([x]))(2)) == [2] and not packing._known
+    assert packing.ids_by("word_bpe_49k.json") is packing.ids_by("word_bpe_49k.json")
