@@ -1,13 +1,13 @@
 """Byte-level BPE over a whole corpus: each distinct pre-token is encoded once.
 
 Pre-tokens are the matches of the vocabulary's pattern.  Documents are taken in
-blocks of some megabytes; a block numbers its distinct pre-tokens, and each
-document's positions hold these numbers.  The distinct pre-tokens of all blocks
-are shuffled by themselves, so that each is merged once in the corpus; their ids
-are joined back to the blocks' numbers and laid out by position.  What is
-shuffled is a row for each pre-token of a block, never one for each position:
-the positions stay in files, dealt by block where they are written.  A pre-token
-that every block holds is one row a block, so no key is hot.
+blocks of some megabytes; a block numbers its distinct pre-tokens, the most
+frequent first, and each document's positions hold these numbers.  The blocks'
+pre-tokens are shuffled by themselves, so that those alike meet and are merged
+once in the corpus; their ids go back to the blocks' numbers and are laid out by
+position.  What is shuffled is a row for each pre-token of a block, never one for
+each position: the positions stay in files, dealt by block where they are
+written.  A pre-token that every block holds is one row a block, so no key is hot.
 
 Decoding looks each id up in the table of token bytes, which has as many rows as
 the vocabulary has tokens.
@@ -38,7 +38,7 @@ from tallyloom.llm import textops as X
 from tallyloom.llm.store import bucketed, partitions
 
 #: Bytes of text in a block; a longer document makes a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 #: Positions laid out at once.
 AT_ONCE = 1 << 20
 #: The name under which workers remember vocabularies.
@@ -95,6 +95,7 @@ class Vocabulary:
         for token, i in ranks.items():
             self.sizes[i] = len(token)
         self.starts = np.cumsum(np.maximum(self.sizes, 0)) - np.maximum(self.sizes, 0)
+        self.width = "<u2" if len(self.sizes) <= 1 << 16 else "<u4"
         self.flat = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
 
 
@@ -140,19 +141,24 @@ def positions(docs: DataFrame, keep: tuple[str, ...], name: str, pattern: str |
         numbers: defaultdict[str, int] = defaultdict()
         numbers.default_factory = numbers.__len__
         rows: list[pa.Array] = []
-        codes: list[bytes] = []
+        codes: list[np.ndarray] = []
         size = 0
 
         def block() -> Iterator[pa.RecordBatch]:
             of = (task << 24) + n
+            words = list(numbers)
+            often = np.bincount(np.concatenate([np.zeros(0, "<u4"), *codes]), minlength=len(words))
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(words), "<u4")
+            rank[order] = np.arange(len(words), dtype="<u4")
             for part in rows:
-                own = codes[: len(part)]
+                own = [_planes(rank[c]) for c in codes[: len(part)]]
                 del codes[: len(part)]
                 yield _filled(arrow, len(part), block=pa.array([of] * len(part), pa.int64()), kept=part, codes=pa.array(own, pa.binary()))
-            words = list(numbers)
-            for at in range(0, len(words), 10_000):
-                own = words[at : at + 10_000]
-                yield _filled(arrow, len(own), block=pa.array([of] * len(own), pa.int64()), word=pa.array(own, pa.string()), code=pa.array(range(at, at + len(own)), pa.int32()))
+            names = sorted(range(len(words)), key=words.__getitem__)  # alike words side by side take less of a file
+            for at in range(0, len(names), 10_000):
+                own = names[at : at + 10_000]
+                yield _filled(arrow, len(own), block=pa.array([of] * len(own), pa.int64()), word=pa.array([words[i] for i in own], pa.string()), code=pa.array(rank[own].astype(np.int32), pa.int32()))
             numbers.clear()
             rows.clear()
 
@@ -161,7 +167,7 @@ def positions(docs: DataFrame, keep: tuple[str, ...], name: str, pattern: str |
                 rows.append(part.column(part.schema.get_field_index("kept")))
                 for text in part.column(part.schema.get_field_index("text")).to_pylist():
                     words = split(text) if text else []
-                    codes.append(_planes(np.fromiter(map(numbers.__getitem__, words), "<u4", len(words))))
+                    codes.append(np.fromiter(map(numbers.__getitem__, words), "<u4", len(words)))
                     size += len(text or "")
                 if size >= BLOCK_BYTES:
                     yield from block()
@@ -177,16 +183,20 @@ def _filled(schema: pa.Schema, n: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def encoded_words(words: DataFrame, name: str, pattern: str | None = None) -> DataFrame:
-    """(word, ids): each word's ids by the ranks, as little-endian 32-bit numbers."""
+def numbered_ids(words: DataFrame, name: str, pattern: str | None = None) -> DataFrame:
+    """(of, code, ids) of (of, word, code): each word's ids by the ranks, those of equal words found once; two bytes an id where the vocabulary allows it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged = vocabulary(name, pattern).merged
+        v = vocabulary(name, pattern)
+        last: tuple[str | None, bytes] = (None, b"")
         for batch in batches:
-            ids = [np.array(merged(w.encode()), "<u4").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+            coded = batch.column(1).dictionary_encode()
+            ids = [last[1] if w == last[0] else np.array(v.merged(w.encode()), v.width).tobytes() for w in coded.dictionary.to_pylist()]
+            last = (coded.dictionary[-1].as_py(), ids[-1]) if ids else last
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()).take(coded.indices)], names=["of", "code", "ids"])
 
-    return words.select("word").mapInArrow(X.tidied(run, KEPT), "word string, ids binary")
+    together = words.repartition("word").sortWithinPartitions("word")
+    return together.select("of", "word", "code").mapInArrow(X.tidied(run, KEPT), "of long, code int, ids binary")
 
 
 def encode(docs: DataFrame, name: str, keep: tuple[str, ...] = ("doc_id",), pattern: str | None = None) -> DataFrame:
@@ -195,17 +205,16 @@ def encode(docs: DataFrame, name: str, keep: tuple[str, ...] = ("doc_id",), patt
         raise ValueError("ids is the name of the result")
     spark = docs.sparkSession
     held = bucketed(positions(docs, keep, name, pattern), "block", partitions(spark), "positions")
-    words = held.where("word is not null")
-    ids = encoded_words(words.select("word").distinct(), name, pattern)
-    numbered = words.select(F.col("block").alias("of"), "word", "code").join(ids, "word").select("of", "code", "ids")
+    numbered = numbered_ids(held.where("word is not null").select(F.col("block").alias("of"), "word", "code"), name, pattern)
+    width = vocabulary(name, pattern).width
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.BinaryType())])
 
     def assembled(block: pa.Table, numbers: pa.Table) -> pa.Table:
         buf, offsets = X.bytes_of(numbers.column("ids"))
         code = numbers.column("code").to_numpy()
         starts, sizes = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-        starts[code], sizes[code] = offsets[:-1] // 4, np.diff(offsets) // 4
-        flat = buf.view("<u4")
+        flat = buf.view(width).astype("<u4")
+        starts[code], sizes[code] = offsets[:-1] // int(width[2]), np.diff(offsets) // int(width[2])
         out = [laid_out(flat, starts, sizes, _codes(c)) for c in block.column("codes").to_pylist()]
         kept = block.column("kept").combine_chunks()
         return pa.Table.from_arrays([*kept.flatten(), pa.array(out, pa.binary())], names=[*keep, "ids"])

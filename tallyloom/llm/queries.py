@@ -125,7 +125,7 @@ _CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(r
 
 ORACLE_SQL: dict[str, str] = {
     "op11_prefix_trie": f"""
-with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos from conversations where conv_id is not null),
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, '')))) as pos from conversations where conv_id is not null),
 c as (select conv_id, {_CRC} % 6 as h, conv_id - conv_id % 100 as base, count(*) as n_own from t group by conv_id),
 k as (select c.conv_id, h, base, n_own, count(t.pos) as k from c left join t on t.conv_id = base and pos <= h group by all),
 r as (select k.conv_id, t.pos, role, text from k join t on t.conv_id = base and t.pos <= h union all select t.conv_id, t.pos - h + k, role, text from t join k using (conv_id) where t.pos > h),
