@@ -39,6 +39,8 @@ from tallyloom.llm.store import bucketed, partitions
 
 #: Bytes of text in a block; a longer document makes a block of its own.
 BLOCK_BYTES = 32 << 20
+#: Pre-tokens of a task whose ids are sent back at once.
+FOLDED = 500_000
 #: Positions laid out at once.
 AT_ONCE = 1 << 20
 #: The name under which workers remember vocabularies.
@@ -183,20 +185,64 @@ def _filled(schema: pa.Schema, n: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _folded(codes: np.ndarray, ids: list[bytes]) -> bytes:
+    """Numbers and the ids of each for the way through a shuffle: in order of number, as steps, sizes and ids."""
+    order = np.argsort(codes)
+    ids = [ids[i] for i in order.tolist()]
+    sizes = np.fromiter(map(len, ids), "<u4", len(ids))
+    return _ZSTD.compress(_planes(np.diff(codes[order], prepend=0).astype("<u4")) + _planes(sizes) + b"".join(ids), asbytes=True)
+
+
+def _unfolded(n: int, length: int, data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """The numbers, the bytes of each one's ids, and these, of what was length bytes before."""
+    whole = _ZSTD.decompress(data, length, asbytes=True)
+    return np.cumsum(_codes(whole[: 4 * n]), dtype=np.int64), _codes(whole[4 * n : 8 * n]).astype(np.int64), whole[8 * n :]
+
+
 def numbered_ids(words: DataFrame, name: str, pattern: str | None = None) -> DataFrame:
-    """(of, code, ids) of (of, word, code): each word's ids by the ranks, those of equal words found once; two bytes an id where the vocabulary allows it."""
+    """(of, n, length, data): the ids, by the ranks, of the words of a block in (of, word, code), some of them a row.
+
+    Equal words meet and are merged once.  Ids take two bytes where the
+    vocabulary allows it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(name, pattern)
         last: tuple[str | None, bytes] = (None, b"")
+        of: list[np.ndarray] = []
+        codes: list[np.ndarray] = []
+        ids: list[bytes] = []
+
+        def folded() -> pa.RecordBatch:
+            own, code = np.concatenate([np.zeros(0, np.int64), *of]), np.concatenate([np.zeros(0, np.int64), *codes])
+            order = np.argsort(own, kind="stable")
+            cuts = np.flatnonzero(np.diff(own[order])) + 1
+            rows = []
+            for part in np.split(order, cuts) if len(order) else []:
+                some = [ids[i] for i in part.tolist()]
+                rows.append((int(own[part[0]]), len(part), 8 * len(part) + sum(map(len, some)), _folded(code[part], some)))
+            of.clear()
+            codes.clear()
+            ids.clear()
+            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["of", "n", "length", "data"])
+
         for batch in batches:
             coded = batch.column(1).dictionary_encode()
-            ids = [last[1] if w == last[0] else np.array(v.merged(w.encode()), v.width).tobytes() for w in coded.dictionary.to_pylist()]
-            last = (coded.dictionary[-1].as_py(), ids[-1]) if ids else last
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()).take(coded.indices)], names=["of", "code", "ids"])
+            own = [last[1] if w == last[0] else np.array(v.merged(w.encode()), v.width).tobytes() for w in coded.dictionary.to_pylist()]
+            last = (coded.dictionary[-1].as_py(), own[-1]) if own else last
+            of.append(batch.column(0).to_numpy())
+            codes.append(batch.column(2).to_numpy().astype(np.int64))
+            ids += map(own.__getitem__, coded.indices.to_pylist())
+            if len(ids) >= FOLDED:
+                yield folded()
+        yield folded()
 
     together = words.repartition("word").sortWithinPartitions("word")
-    return together.select("of", "word", "code").mapInArrow(X.tidied(run, KEPT), "of long, code int, ids binary")
+    return together.select("of", "word", "code").mapInArrow(X.tidied(run, KEPT), "of long, n int, length long, data binary")
 
 
 def encode(docs: DataFrame, name: str, keep: tuple[str, ...] = ("doc_id",), pattern: str | None = None) -> DataFrame:
@@ -210,11 +256,12 @@ def encode(docs: DataFrame, name: str, keep: tuple[str, ...] = ("doc_id",), patt
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.BinaryType())])
 
     def assembled(block: pa.Table, numbers: pa.Table) -> pa.Table:
-        buf, offsets = X.bytes_of(numbers.column("ids"))
-        code = numbers.column("code").to_numpy()
+        parts = [_unfolded(*x) for x in zip(*(numbers.column(c).to_pylist() for c in ("n", "length", "data")), strict=True)]
+        code = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)])
+        size = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)]) // int(width[2])
+        flat = np.frombuffer(b"".join(p[2] for p in parts), width).astype("<u4")
         starts, sizes = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-        flat = buf.view(width).astype("<u4")
-        starts[code], sizes[code] = offsets[:-1] // int(width[2]), np.diff(offsets) // int(width[2])
+        starts[code], sizes[code] = np.cumsum(size) - size, size
         out = [laid_out(flat, starts, sizes, _codes(c)) for c in block.column("codes").to_pylist()]
         kept = block.column("kept").combine_chunks()
         return pa.Table.from_arrays([*kept.flatten(), pa.array(out, pa.binary())], names=[*keep, "ids"])
