@@ -15,6 +15,7 @@ from tallyloom.functions import scalars as S
 from tallyloom.operators.ladder import ABSTENTION, LadderRun, gated
 from tallyloom.operators.verdicts import bridge, verdicts
 from tallyloom.sources.batch import Batch
+from tallyloom.sources.kept import kept
 
 
 def per_settlement_first(detail: DataFrame) -> DataFrame:
@@ -59,37 +60,72 @@ def lexical_similarity(a: str, b: str):
 
 
 def described(batch: Batch) -> DataFrame:
-    """(txn_id, parent): the first non-empty description of a transaction's payments, by event id."""
-    pay = batch.ledger.where("event_type = 'PAYMENT' and description is not null")
-    return pay.groupBy("txn_id").agg(F.min_by("description", "event_id").alias("parent"))
+    """(txn_id, parent): the description of a transaction's first payment in the ledger, which may have none; by event id where the ledger keeps no order."""
+    order = "input_order" if "input_order" in batch.ledger.columns else "event_id"
+    return batch.ledger.where("event_type = 'PAYMENT'").groupBy("txn_id").agg(F.min_by("description", order).alias("parent"))
 
 
-def b3_pairs(batch: Batch) -> DataFrame:
-    """Anonymous refund lines beside the free refunds of their amount, with the similarity of note and description."""
-    lines = batch.detail.where("event_id is null and line_type = 'REFUND'").select("settlement_id", "detail_id", "input_order", F.abs("gross_effect_paise").alias("amount_paise"), "reference_text")
-    pairs = lines.join(unconsumed_refunds(batch).select("event_id", "txn_id", "amount_paise"), "amount_paise").join(described(batch), "txn_id", "left")
+def b3_lines(batch: Batch) -> DataFrame:
+    """Anonymous refund lines with their amount and note."""
+    return batch.detail.where("event_id is null and line_type = 'REFUND'").select("settlement_id", "detail_id", "input_order", F.abs("gross_effect_paise").alias("amount_paise"), "reference_text")
+
+
+def b3_ranks(batch: Batch) -> DataFrame:
+    """(amount_paise, reference_text, event_id, parent, similarity): the free refunds of an amount beside each distinct note on its lines."""
+    notes = b3_lines(batch).select("amount_paise", "reference_text").distinct()
+    free = unconsumed_refunds(batch).select("event_id", "txn_id", "amount_paise").join(described(batch), "txn_id", "left").drop("txn_id")
+    pairs = notes.join(free, "amount_paise")
     texts = pairs.select("reference_text", "parent").distinct().withColumn("similarity", lexical_similarity("reference_text", "parent"))
     same = F.col("a.reference_text").eqNullSafe(F.col("t.reference_text")) & F.col("a.parent").eqNullSafe(F.col("t.parent"))
     return pairs.alias("a").join(texts.alias("t"), same).select("a.*", "t.similarity")
 
 
-def b3_claims(pairs: DataFrame) -> DataFrame:
-    """B3: each line in file order takes the most similar refund left; ties go to the larger id.
+def b3_pairs(batch: Batch) -> DataFrame:
+    """Anonymous refund lines beside the free refunds of their amount, with the similarity of note and description."""
+    ranks, lines = b3_ranks(batch).alias("r"), b3_lines(batch).alias("l")
+    same = (F.col("l.amount_paise") == F.col("r.amount_paise")) & F.col("l.reference_text").eqNullSafe(F.col("r.reference_text"))
+    return lines.join(ranks, same).select("l.*", "r.event_id", "r.parent", "r.similarity")
 
-    What is left depends on the lines before, so an amount's pairs are one group.
-    """
 
-    def greedy(p: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for (_, settlement, detail), g in p.sort_values("input_order").groupby(["input_order", "settlement_id", "detail_id"], sort=True):
-            free = g[~g.event_id.isin(taken)]
-            if len(free):
-                best = free.sort_values(["similarity", "event_id"]).iloc[-1].event_id
-                taken.add(best)
-                out.append((settlement, best, detail))
-        return pd.DataFrame(out, columns=["settlement_id", "event_id", "detail_id"])
+#: Places down its list that a refused line looks at in a round.
+AHEAD = 64
 
-    return pairs.groupBy("amount_paise").applyInPandas(greedy, "settlement_id string, event_id string, detail_id string")
+
+def b3_claims(lines: DataFrame, ranks: DataFrame) -> DataFrame:
+    """B3: each line in file order takes the most similar refund left; ties go to the larger id.
+
+    lines: b3_lines; ranks: b3_ranks.  Taking turns in file order is the same as
+    asking in rounds, where each refund keeps the earliest line that has asked for
+    it and the others go on to the next refund that an earlier line does not hold.
+    Lines that rank the refunds alike are a class: the i-th of a class gets none of
+    its first i - 1 refunds, and each gets one further down than the line before,
+    so a whole class moves on at once.
+    """
+    kind = ("amount_paise", "class")
+    place = W.partitionBy("amount_paise", "reference_text").orderBy(F.desc("similarity"), F.desc("event_id"))
+    ranked = ranks.withColumn("pos", F.row_number().over(place))
+    alike = [F.bit_xor(F.xxhash64(F.lit(k), "event_id", "pos")).alias(f"sign{k}") for k in (1, 2)]
+    signs = ranked.groupBy("amount_paise", "reference_text").agg(F.count("*").cast("int").alias("n"), *alike)
+    note = F.struct(F.coalesce("reference_text", F.lit("")).alias("text"), F.col("reference_text").isNull().alias("none"))
+    signs = signs.withColumn("class", F.min(note).over(W.partitionBy("amount_paise", "n", "sign1", "sign2"))).withColumn("own", note)
+    signs = kept(signs.select("amount_paise", "n", "own", "class"))
+    ranked = kept(ranked.withColumn("class", note).join(signs.where("own = class").select(*kind), list(kind)).select(*kind, "pos", "event_id"))
+    turn = F.struct("input_order", "settlement_id", "detail_id")
+    state = lines.withColumn("own", note).join(signs, ["amount_paise", "own"]).select(*kind, "n", turn.alias("turn"))
+    state = kept(state.withColumn("i", F.row_number().over(W.partitionBy(*kind).orderBy("turn"))).withColumn("at", F.col("i")))
+    moved = W.partitionBy(*kind).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    while True:
+        asked = state.join(ranked.withColumnRenamed("pos", "at"), [*kind, "at"])
+        holds = kept(asked.groupBy("event_id").agg(F.min("turn").alias("first")))
+        refused = asked.join(holds, "event_id").where(F.col("turn") > F.col("first")).select(*kind, "n", "turn", "at")
+        ahead = refused.withColumn("from", F.col("at")).withColumn("at", F.explode(F.sequence(F.col("at") + 1, F.least(F.col("at") + AHEAD, F.col("n") + 1))))
+        ahead = ahead.join(ranked.withColumnRenamed("pos", "at"), [*kind, "at"], "left").join(holds, "event_id", "left")
+        free = F.col("first").isNull() | (F.col("first") > F.col("turn"))
+        onward = kept(ahead.groupBy("turn").agg(F.coalesce(F.min(F.when(free, F.col("at"))), F.max("at")).alias("to")))
+        if onward.isEmpty():
+            return asked.select("turn.settlement_id", "event_id", "turn.detail_id")
+        state = state.join(onward, "turn", "left").withColumn("at", F.coalesce("to", "at")).drop("to")
+        state = kept(state.withColumn("at", F.col("i") + F.max(F.col("at") - F.col("i")).over(moved)))
 
 
 def separation(pairs: DataFrame) -> DataFrame:
@@ -101,7 +137,7 @@ def separation(pairs: DataFrame) -> DataFrame:
 
 
 def b3_verdict_claims(batch: Batch) -> DataFrame:
-    return b3_claims(b3_pairs(batch))
+    return b3_claims(b3_lines(batch), b3_ranks(batch))
 
 
 def visits(cases: DataFrame) -> DataFrame:
@@ -152,12 +188,28 @@ def compare(batch: Batch, cases: DataFrame, key: DataFrame, expected: DataFrame,
     return out
 
 
+def panel(pairs: DataFrame) -> DataFrame:
+    """One row over lines with two candidates or more: (contested_lines, mean_margin, max_margin, max_token_overlap) of their notes and descriptions; zeros where there are none."""
+    margins = separation(pairs).agg(F.count("*").alias("contested_lines"), F.coalesce(F.avg("margin"), F.lit(0.0)).alias("mean_margin"), F.coalesce(F.max("margin"), F.lit(0.0)).alias("max_margin"))
+    text = lambda c: S.tokens(F.coalesce(F.col(c), F.lit("")))
+    contested = pairs.groupBy("detail_id").agg(F.count("*").alias("k")).where("k > 1").select("detail_id")
+    shared = pairs.join(contested, "detail_id", "left_semi").select("reference_text", "parent").distinct()
+    most = shared.agg(F.coalesce(F.max(F.size(F.array_intersect(text("reference_text"), text("parent")))), F.lit(0)).alias("max_token_overlap"))
+    one = F.lit(1).alias("one")
+    return margins.select("*", one).join(most.select("*", one), "one").drop("one")
+
+
 def hit_rate(pairs: DataFrame, right: DataFrame) -> DataFrame:
-    """How often the most similar candidate is right, beside chance; right: (detail_id, event_id)."""
+    """(n_lines, n_hits, by_chance, lift): how often the most similar candidate is right, over lines with several candidates of which one is.
+
+    right: (settlement_id, event_id) of the answer key; by chance a line with k
+    candidates hits with its right ones' share of k.
+    """
     w = W.partitionBy("detail_id").orderBy(F.desc("similarity"), F.desc("event_id"))
-    mark = pairs.join(right.distinct().withColumn("right", F.lit(1)), ["detail_id", "event_id"], "left").withColumn("nth", F.row_number().over(w))
+    mark = pairs.join(right.select("settlement_id", "event_id").distinct().withColumn("right", F.lit(1)), ["settlement_id", "event_id"], "left").withColumn("nth", F.row_number().over(w))
     s = mark.groupBy("detail_id").agg(F.count("*").alias("k"), F.count("right").alias("n_right"), F.max(F.when(F.col("nth") == 1, F.col("right"))).alias("hit")).where("k > 1 and n_right > 0")
-    return s.agg(F.count("*").alias("n_lines"), F.count("hit").alias("n_hits"), F.coalesce(F.sum(F.col("n_right") / F.col("k")), F.lit(0.0)).alias("by_chance"))
+    sums = s.agg(F.count("*").alias("n_lines"), F.count("hit").alias("n_hits"), F.coalesce(F.sum(F.col("n_right") / F.col("k")), F.lit(0.0)).alias("by_chance"))
+    return sums.withColumn("lift", S.ratio(F.col("n_hits") - F.col("by_chance"), F.col("n_lines")))
 
 
 def gated_candidates(batch: Batch) -> DataFrame:

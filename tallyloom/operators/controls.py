@@ -101,6 +101,16 @@ def settlement_findings(batch: Batch, settlements: DataFrame, attributed: DataFr
 
 
 def ties_out(batch: Batch, settlements: DataFrame) -> DataFrame:
-    """(settlement_id, ties): no break of the roll-up, the summary or a line, before any attribution."""
-    broken = settlement_findings(batch, settlements).where(F.col("category").isin(*BREAKS)).select("settlement_id").distinct().withColumn("broken", F.lit(True))
-    return settlements.select("settlement_id").distinct().join(broken, "settlement_id", "left").select("settlement_id", F.col("broken").isNull().alias("ties"))
+    """(settlement_id, ties): no break of the roll-up, the summary or a line, before any attribution.
+
+    The same as settlement_findings without any of BREAKS, by the sums alone.
+    """
+    wanted = settlements.select("settlement_id").distinct()
+    lines = batch.detail.join(wanted, "settlement_id", "left_semi")
+    off = F.coalesce(F.col("net_effect_paise") != F.col("gross_effect_paise") - F.col("fee_paise") - F.col("tax_paise"), F.lit(False))
+    sums = rollup(lines).join(lines.where(off).select("settlement_id").distinct().withColumn("off", F.lit(True)), "settlement_id", "left")
+    s = wanted.join(batch.summary.withColumn("declared", F.lit(True)), "settlement_id", "left").join(sums, "settlement_id", "left").fillna(0, ["r_gross", "r_refund", "r_fee", "r_tax", "r_net"])
+    control = F.col("gross_payment_paise") - F.col("refund_paise") - F.col("fee_paise") - F.col("tax_paise")
+    pairs = (("gross_payment_paise", "r_gross"), ("refund_paise", "r_refund"), ("fee_paise", "r_fee"), ("tax_paise", "r_tax"), ("net_amount_paise", "r_net"))
+    breaks = [F.col("declared").isNull(), F.col("off"), F.col("net_amount_paise") != control, *(F.col(a) != F.col(b) for a, b in pairs)]
+    return s.select("settlement_id", (~F.greatest(*(F.coalesce(b, F.lit(False)) for b in breaks))).alias("ties"))

@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tallyloom.functions import scalars as S
+from tallyloom.operators import feasibility
 from tallyloom.operators.controls import ties_out
 from tallyloom.sources.batch import Batch
 from tallyloom.sources.kept import kept
@@ -63,15 +62,15 @@ _EVENT = ("amount_paise", "created_on", "currency", "event_type", "taken", "pare
 
 
 def _sides(batch: Batch, consumed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Anonymous lines and all events, each with what the gates ask of it."""
+    """Anonymous lines and the events of their amounts, each with what the gates ask of it."""
     mark = lambda df, key, name: df.select(key).distinct().withColumn(name, F.lit(True))
     lines = batch.detail.where("event_id is null").select("detail_id", "settlement_id", "line_type", (F.col("gross_effect_paise") < 0).alias("outflow"), F.to_date("settled_at").alias("settled_on"), F.col("currency").alias("line_currency"), F.abs("gross_effect_paise").alias("amount_paise"))
-    lines = lines.join(ties_out(batch, lines.select("settlement_id")), "settlement_id", "left").withColumn("ties", F.coalesce("ties", F.lit(False)))
+    lines = kept(lines.join(ties_out(batch, lines.select("settlement_id")), "settlement_id", "left").withColumn("ties", F.coalesce("ties", F.lit(False))))
     taken = batch.detail.select("event_id").where("event_id is not null")
     taken = taken if consumed is None else taken.union(consumed.select("event_id"))
-    events = batch.ledger.select("event_id", "event_type", "txn_id", "amount_paise", "currency", F.to_date("created_at").alias("created_on"))
+    events = batch.ledger.select("event_id", "event_type", "txn_id", "amount_paise", "currency", F.to_date("created_at").alias("created_on")).join(lines.select("amount_paise").distinct(), "amount_paise", "left_semi")
     events = events.join(mark(taken, "event_id", "taken"), "event_id", "left").join(mark(settled_parents(batch), "txn_id", "parent"), "txn_id", "left")
-    return lines, events.withColumns({"taken": F.coalesce("taken", F.lit(False)), "parent": F.coalesce("parent", F.lit(False))})
+    return lines, kept(events.withColumns({"taken": F.coalesce("taken", F.lit(False)), "parent": F.coalesce("parent", F.lit(False))}))
 
 
 def amount_candidates(batch: Batch) -> DataFrame:
@@ -88,10 +87,15 @@ class Gated:
     events: DataFrame
     classes: DataFrame
 
+    def pairs(self) -> DataFrame:
+        """(amount_paise, currency, settled_on, created_on, n_lines, n_events) of pairs that fail none of these gates, by days."""
+        open_ = self.classes.where("first_failed is null")
+        return open_.groupBy(*feasibility.PAIR).agg(F.max("n_lines").alias("n_lines"), F.max("n_events").alias("n_events"))
+
     def survivors(self) -> DataFrame:
-        """(detail_id, settlement_id, event_id, amount_paise, settled_on, created_on) of pairs that fail none of these gates."""
+        """(detail_id, settlement_id, event_id, amount_paise, currency, settled_on, created_on) of pairs that fail none of these gates."""
         open_ = self.classes.where("first_failed is null").select(*_LINE, *_EVENT[1:])
-        return self.lines.join(open_, list(_LINE)).join(self.events, list(_EVENT)).select("detail_id", "settlement_id", "event_id", "amount_paise", "settled_on", "created_on")
+        return self.lines.join(open_, list(_LINE)).join(self.events, list(_EVENT)).select("detail_id", "settlement_id", "event_id", "amount_paise", "currency", "settled_on", "created_on")
 
 
 def gated(batch: Batch, consumed: DataFrame | None, window_days: int = WINDOW_DAYS) -> Gated:
@@ -101,7 +105,7 @@ def gated(batch: Batch, consumed: DataFrame | None, window_days: int = WINDOW_DA
     classes of these are paired, at most as many as an amount has days, and only
     pairs that survive are made of lines and events.
     """
-    lines, events = map(kept, _sides(batch, consumed))
+    lines, events = _sides(batch, consumed)
     pairs = lines.groupBy(*_LINE).agg(F.count("*").alias("n_lines")).join(events.groupBy(*_EVENT).agg(F.count("*").alias("n_events")), "amount_paise")
     failed = (
         F.when(F.col("taken"), GATES[0])
@@ -114,125 +118,35 @@ def gated(batch: Batch, consumed: DataFrame | None, window_days: int = WINDOW_DA
     return Gated(lines, events, pairs.select("*", (F.col("n_lines") * F.col("n_events")).alias("n_pairs"), failed.alias("first_failed")))
 
 
-def matching(adjacency: dict[str, list[str]]) -> dict[str, str]:
-    """A largest matching, right to left, by augmenting paths without recursion."""
-    held: dict[str, str] = {}
-    for start in sorted(adjacency):
-        seen: set[str] = set()
-        stack = [(start, iter(adjacency[start]))]
-        path: list[tuple[str, str]] = []
-        while stack:
-            left, choices = stack[-1]
-            right = next((r for r in choices if r not in seen), None)
-            if right is None:
-                stack.pop()
-                if path:
-                    path.pop()
-                continue
-            seen.add(right)
-            path.append((left, right))
-            if right not in held:
-                for a, b in path:
-                    held[b] = a
-                break
-            stack.append((held[right], iter(adjacency[held[right]])))
-    return held
-
-
-def admissible(edges: pd.DataFrame) -> pd.DataFrame:
-    """The edges that some largest matching uses.
-
-    With one largest matching at hand, an edge is in some largest matching if it
-    is matched, lies on an alternating cycle, or on an alternating path of even
-    length from a free node; so one strongly connected component search and one
-    search from the free nodes judge all edges of a group together.
-    """
-    adjacency = {a: sorted(g.event_id) for a, g in edges.groupby("detail_id")}
-    held = matching(adjacency)
-    mate = {a: b for b, a in held.items()}
-    nodes = {("l", a) for a in adjacency} | {("r", b) for b in edges.event_id}
-    # a matched edge leads from left to right, any other from right to left
-    out: dict[tuple[str, str], list[tuple[str, str]]] = {n: [] for n in nodes}
-    back: dict[tuple[str, str], list[tuple[str, str]]] = {n: [] for n in nodes}
-    for a, bs in adjacency.items():
-        for b in bs:
-            u, v = (("l", a), ("r", b)) if mate.get(a) == b else (("r", b), ("l", a))
-            out[u].append(v)
-            back[v].append(u)
-    order: list[tuple[str, str]] = []
-    seen: set[tuple[str, str]] = set()
-    for n in sorted(nodes):
-        if n in seen:
-            continue
-        seen.add(n)
-        stack = [(n, iter(out[n]))]
-        while stack:
-            at, rest = stack[-1]
-            to = next((x for x in rest if x not in seen), None)
-            if to is None:
-                order.append(at)
-                stack.pop()
-            else:
-                seen.add(to)
-                stack.append((to, iter(out[to])))
-    part: dict[tuple[str, str], int] = {}
-    for k, n in enumerate(reversed(order)):
-        if n in part:
-            continue
-        stack_ = [n]
-        part[n] = k
-        while stack_:
-            for x in back[stack_.pop()]:
-                if x not in part:
-                    part[x] = k
-                    stack_.append(x)
-    reached = []
-    for step, starts in ((back, [("l", a) for a in adjacency if a not in mate]), (out, [("r", b) for b in set(edges.event_id) if b not in held])):
-        todo, found = list(starts), set(starts)
-        while todo:
-            for x in step[todo.pop()]:
-                if x not in found:
-                    found.add(x)
-                    todo.append(x)
-        reached.append(found)
-    ok = [mate.get(a) == b or part["l", a] == part["r", b] or ("l", a) in reached[0] or ("r", b) in reached[1] for a, b in zip(edges.detail_id, edges.event_id, strict=True)]
-    return edges.assign(feasible=ok)
-
-
-def stretches(survivors: DataFrame) -> DataFrame:
-    """survivors with `stretch`: edges of an amount whose days do not meet lie in different ones, so no edge leads from one to another."""
-    days = survivors.groupBy("amount_paise", "created_on").agg(F.max("settled_on").alias("until"))
-    w = W.partitionBy("amount_paise").orderBy("created_on")
-    apart = F.coalesce(F.col("created_on") > F.max("until").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
-    days = days.withColumn("apart", apart.cast("int")).withColumn("stretch", F.sum("apart").over(w)).select("amount_paise", "created_on", "stretch")
-    return survivors.join(days, ["amount_paise", "created_on"])
-
-
-def feasible(survivors: DataFrame) -> DataFrame:
-    """Survivors of the local gates with `feasible` (gate 8).
-
-    Edges join equal amounts within a few days only, so stretches of an amount
-    are independent.  The search is linear in a stretch's edges but needs them
-    in one task.
+def feasible(found: Gated, window_days: int = WINDOW_DAYS) -> DataFrame:
+    """Survivors of the local gates with `feasible` (gate 8): whether some largest assignment of lines to events uses the pairing.
+
+    Lines of one day and amount are alike, and so are events, so days are judged
+    by their counts, and only the answer is made of lines and events.
     """
-    schema = "detail_id string, settlement_id string, event_id string, amount_paise bigint, feasible boolean"
-    edges = stretches(survivors).select("detail_id", "settlement_id", "event_id", "amount_paise", "stretch")
-    return edges.groupBy("amount_paise", "stretch").applyInPandas(lambda e: admissible(e)[["detail_id", "settlement_id", "event_id", "amount_paise", "feasible"]], schema)
+    judged = feasibility.feasible(found.pairs(), window_days).select(*feasibility.PAIR, "feasible")
+    return found.survivors().join(judged, list(feasibility.PAIR)).select("detail_id", "settlement_id", "event_id", "amount_paise", "feasible")
 
 
 def refund_corroboration(batch: Batch, consumed: DataFrame, window_days: int = WINDOW_DAYS) -> PassResult:
     """Claims an anonymous refund line when exactly one event of its amount passes all gates; abstains at two or more."""
     name = "refund_corroboration"
     found = gated(batch, consumed, window_days)
-    judged = kept(feasible(found.survivors()))
-    lines = batch.detail.where("event_id is null").select("detail_id", "settlement_id")
-    by_line = judged.groupBy("detail_id").agg(F.count("*").alias("n_local"), F.array_sort(F.collect_list(F.when(F.col("feasible"), F.col("event_id")))).alias("allowed"))
-    state = lines.join(by_line, "detail_id", "left").withColumn("n", F.when(F.col("n_local").isNull(), -1).otherwise(F.size("allowed")))
+    judged = kept(feasibility.feasible(found.pairs(), window_days))
+    events = found.events.where("parent and not taken and event_type = 'REFUND'").select("event_id", "amount_paise", "currency", "created_on")
+    day = ("amount_paise", "currency", "settled_on")
+    named = judged.where("feasible").join(events, ["amount_paise", "currency", "created_on"]).groupBy(*day).agg(F.array_sort(F.collect_list("event_id")).alias("allowed"))
+    by_day = judged.groupBy(*day).agg(F.sum("n_events").alias("n_local")).join(named, list(day), "left").withColumnRenamed("currency", "line_currency")
+    open_ = (F.col("line_type") == "REFUND") & F.col("outflow") & F.col("ties")
+    lines = found.lines.select("detail_id", "settlement_id", "amount_paise", "settled_on", F.when(open_, F.col("line_currency")).alias("line_currency"))
+    none = F.array().cast("array<string>")
+    state = lines.join(by_day, ["amount_paise", "line_currency", "settled_on"], "left").select("detail_id", "settlement_id", "n_local", F.coalesce("allowed", none).alias("allowed"))
+    state = kept(state.withColumn("n", F.when(F.col("n_local").isNull(), -1).otherwise(F.size("allowed"))))
     claims = state.where("n = 1").select("settlement_id", F.col("allowed")[0].alias("event_id"), "detail_id", F.lit(name).alias("pass_name"), F.lit("CONFIRMED").alias("tier"), F.lit(1.0).alias("confidence"), F.lit(0).cast("long").alias("emit_order"))
     reason = F.format_string("%d candidates survive gates 1-8 (%s); gate 9 requires exactly one", F.size("allowed"), F.array_join("allowed", ", "))
     abstentions = state.where("n > 1 or n = 0").select("settlement_id", "detail_id", F.lit(name).alias("pass_name"), F.col("allowed").alias("candidate_event_ids"), reason.alias("reason"))
     gates = _counters(found.classes, name, candidates_by_amount=F.sum("n_pairs"), **{g: F.sum(F.when(F.col("first_failed") == g, F.col("n_pairs"))) for g in GATES[:6]})
-    gates = gates.unionByName(_counters(judged, name, gate_8_feasibility=F.count_if(~F.col("feasible"))))
+    gates = gates.unionByName(_counters(judged, name, gate_8_feasibility=F.sum(F.when(~F.col("feasible"), F.col("n_lines") * F.col("n_events")))))
     gates = gates.unionByName(_counters(state, name, examined=F.count("*"), resolved=F.count_if(F.col("n") == 1), abstained=F.count_if((F.col("n") > 1) | (F.col("n") == 0)), unexplained=F.count_if(F.col("n") == -1), gate_9_uniqueness=F.count_if((F.col("n") > 1) | (F.col("n") == 0))))
     return PassResult(claims, abstentions, gates)
 
@@ -249,17 +163,19 @@ class LadderRun:
     counters: DataFrame
 
 
-def first_claims(claims: DataFrame, lines_taken: DataFrame) -> DataFrame:
+def first_claims(claims: DataFrame, taken: DataFrame) -> DataFrame:
     """claims with `reason`: null where accepted; the event is judged before the line, each by the order of emission.
 
-    Exact where a rung claims a line at most once, as all rungs here do.
+    taken: (event_id, detail_id) of claims accepted before.  Exact where a rung
+    claims a line at most once, as all rungs here do.
     """
-    order = ("emit_order", "detail_id")
-    ranked = claims.withColumn("event_rank", F.row_number().over(W.partitionBy("event_id").orderBy(*order)))
-    held = lines_taken.select("detail_id").distinct().withColumn("held", F.lit(True))
-    ranked = ranked.join(held, "detail_id", "left")
-    reason = F.when(F.col("event_rank") > 1, F.concat(F.lit("event "), F.col("event_id"), F.lit(" already consumed"))).when(F.col("held"), F.concat(F.lit("line "), F.col("detail_id"), F.lit(" already attributed")))
-    return ranked.withColumn("reason", reason).drop("event_rank", "held")
+    mark = lambda key, name: taken.select(key).distinct().withColumn(name, F.lit(True))
+    ranked = claims.join(mark("event_id", "gone"), "event_id", "left").join(mark("detail_id", "held"), "detail_id", "left")
+    place = F.struct("emit_order", "detail_id")
+    winner = F.min(F.when(F.col("held").isNull(), place)).over(W.partitionBy("event_id"))
+    ranked = ranked.withColumn("late", F.coalesce(place > winner, F.lit(False)) | F.col("gone").isNotNull())
+    reason = F.when(F.col("late"), F.concat(F.lit("event "), F.col("event_id"), F.lit(" already consumed"))).when(F.col("held"), F.concat(F.lit("line "), F.col("detail_id"), F.lit(" already attributed")))
+    return ranked.select(*claims.columns, reason.alias("reason"))
 
 
 def run_ladder(batch: Batch, ladder: Sequence[tuple[str, Rung]] = DEFAULT, residual: Callable[[Batch, DataFrame, DataFrame], PassResult] | None = None) -> LadderRun:
@@ -272,11 +188,9 @@ def run_ladder(batch: Batch, ladder: Sequence[tuple[str, Rung]] = DEFAULT, resid
         consumed = accepted.select("event_id").distinct()
         open_lines = abstained.join(accepted, "detail_id", "left_anti").drop("rung") if abstained is not None else None
         result = rung(batch, consumed) if rung else residual(batch, consumed, open_lines)
-        result = PassResult(kept(result.claims), kept(result.abstentions), result.counters)
-        judged = first_claims(result.claims.join(consumed, "event_id", "left_anti"), accepted)
-        late = result.claims.join(consumed, "event_id", "left_semi").withColumn("reason", F.concat(F.lit("event "), F.col("event_id"), F.lit(" already consumed")))
-        no = judged.where("reason is not null").unionByName(late).withColumn("rung", F.lit(k))
-        accepted = kept(accepted.unionByName(judged.where("reason is null").drop("reason").withColumn("rung", F.lit(k))))
+        judged = kept(first_claims(result.claims, accepted).withColumn("rung", F.lit(k)))
+        no = judged.where("reason is not null")
+        accepted = accepted.unionByName(judged.where("reason is null").drop("reason"))
         rejected = no if rejected is None else rejected.unionByName(no)
         own = result.abstentions.withColumn("rung", F.lit(k))
         abstained = own if abstained is None else abstained.unionByName(own)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyloom.functions import scalars as S
-from tallyloom.operators import baselines, controls, evidence, journal, ladder, scoring, verdicts
+from tallyloom.operators import ambiguity, baselines, controls, evidence, feasibility, journal, ladder, scoring, verdicts
 from tallyloom.plans import testbed as T
 from tallyloom.sources import generator
 from tallyloom.sources.batch import keep_first
@@ -286,9 +286,38 @@ def local_survivors(spark, d):
 ORACLE_SQL["local_survivors"] = _cte("select detail_id, event_id, amount_paise from g where first_failed is null", _S + _L + _TIES + _GATED, *_GATE_VIEWS)
 
 
+#: Gate 8 by its definition: each pair of days is forced, one line and one event are taken out, and the rest is served anew, oldest event first.
+_FEASIBLE = """, pair as (select g.amount_paise, cast(d.settled_at as date) as s, cast(e.created_at as date) as c, count(distinct g.detail_id) as n_lines, count(distinct g.event_id) as n_events from g join detail_t d on d.detail_id = g.detail_id join ledger_t e on e.event_id = g.event_id where first_failed is null group by 1, 2, 3),
+dated as (select amount_paise, day, sum(l) as l, sum(e) as e from (select distinct amount_paise, s as day, n_lines as l, 0 as e from pair union all select distinct amount_paise, c, 0, n_events from pair) group by 1, 2),
+trial as (select amount_paise, s, c from pair union all select distinct amount_paise, date '0001-01-01', date '0001-01-01' from pair),
+left_over as (select t.amount_paise, t.s, t.c, day, l - case when day = t.s then 1 else 0 end as l, e - case when day = t.c then 1 else 0 end as e from trial t join dated using (amount_paise)),
+running as (select *, cast(sum(e) over (partition by amount_paise, s, c order by day) as bigint) as seen, cast(coalesce(sum(e) over (partition by amount_paise, s, c order by day range between unbounded preceding and interval 5 day preceding), 0) as bigint) as old from left_over),
+served as (select amount_paise, s, c, list_reduce(list_concat([{'l': cast(0 as bigint), 'seen': cast(0 as bigint), 'old': cast(0 as bigint), 'gone': cast(0 as bigint), 'n': cast(0 as bigint)}],
+ list({'l': cast(l as bigint), 'seen': seen, 'old': old, 'gone': cast(0 as bigint), 'n': cast(0 as bigint)} order by day)),
+ lambda a, x: {'l': x.l, 'seen': x.seen, 'old': x.old, 'gone': least(greatest(a.gone, x.old) + x.l, x.seen), 'n': a.n + least(greatest(a.gone, x.old) + x.l, x.seen) - greatest(a.gone, x.old)}).n as n from running group by 1, 2, 3),
+fit as (select f.amount_paise, f.s, f.c, f.n = w.n - 1 as feasible from served f join served w on w.amount_paise = f.amount_paise and w.s = date '0001-01-01' where f.s <> date '0001-01-01'),
+edge as (select g.detail_id, g.settlement_id, g.event_id, feasible from g join detail_t d on d.detail_id = g.detail_id join ledger_t e on e.event_id = g.event_id join fit on fit.amount_paise = g.amount_paise and fit.s = cast(d.settled_at as date) and fit.c = cast(e.created_at as date) where first_failed is null),
+held as (select detail_id, settlement_id, count(*) filter (feasible) as n, coalesce(string_agg(event_id, '|' order by event_id) filter (feasible), '') as candidates from edge group by 1, 2),
+bid as (select *, row_number() over (partition by candidates order by detail_id) as nth from held where n = 1),
+claim as (select settlement_id, event_id, detail_id, 'exact_join' as pass_name from detail_t join ledger_t using (event_id) union all select settlement_id, candidates, detail_id, 'refund_corroboration' from bid where nth = 1)"""
+_LADDER = _S + _L + _TIES + _GATED + _FEASIBLE
+
+
 @_query()
 def global_feasibility(spark, d):
-    return ladder.feasible(ladder.gated(T.batch(spark, d), None).survivors()).select("detail_id", "event_id", "feasible")
+    return ladder.feasible(ladder.gated(T.batch(spark, d), None)).select("detail_id", "event_id", "feasible")
+
+
+ORACLE_SQL["global_feasibility"] = _cte("select detail_id, event_id, feasible from edge", _LADDER, *_GATE_VIEWS)
+
+
+@_query()
+def largest_assignment(spark, d):
+    """How many anonymous lines of each amount a largest assignment serves."""
+    return feasibility.largest(ladder.gated(T.batch(spark, d), None).pairs(), ladder.WINDOW_DAYS).select("amount_paise", "n_matched")
+
+
+ORACLE_SQL["largest_assignment"] = _cte("select amount_paise, n as n_matched from served where s = date '0001-01-01'", _LADDER, *_GATE_VIEWS)
 
 
 @_query()
@@ -296,22 +325,39 @@ def ladder_counters(spark, d):
     return ladder.run_ladder(T.batch(spark, d)).counters
 
 
+ORACLE_SQL["ladder_counters"] = _cte(
+    """select 'exact_join' as pass_name, 'examined' as counter, cast(count(*) as bigint) as n from detail_t where event_id is not null
+union all select 'refund_corroboration', 'candidates_by_amount', count(*) from g
+union all select 'refund_corroboration', gate, count(first_failed) from (select unnest(['gate_1_unconsumed', 'gate_3_window', 'gate_4_currency', 'gate_5_lineage', 'gate_6_sign', 'gate_7_controls']) as gate) left join g on first_failed = gate group by gate
+union all select 'refund_corroboration', 'gate_8_feasibility', count(*) from edge where not feasible
+union all select 'refund_corroboration', unnest(['examined', 'resolved', 'abstained', 'unexplained', 'gate_9_uniqueness']), unnest([count(*), count(*) filter (n = 1), count(*) filter (n <> 1), count(*) filter (n is null), count(*) filter (n <> 1)]) from (select detail_id from detail_t where event_id is null) left join held using (detail_id)""",
+    _LADDER,
+    *_GATE_VIEWS,
+)
+
+
 @_query()
 def ladder_claims(spark, d):
     return ladder.run_ladder(T.batch(spark, d)).accepted.select("settlement_id", "event_id", "detail_id", "pass_name", "tier", "confidence")
 
 
+ORACLE_SQL["ladder_claims"] = _cte("select settlement_id, event_id, detail_id, pass_name, 'CONFIRMED' as tier, cast(1.0 as double) as confidence from claim", _LADDER, *_GATE_VIEWS)
+
+
 @_query()
 def ladder_abstentions(spark, d):
     return ladder.run_ladder(T.batch(spark, d)).abstentions.select("settlement_id", "detail_id", F.array_join("candidate_event_ids", "|").alias("candidates"))
 
 
+ORACLE_SQL["ladder_abstentions"] = _cte("select settlement_id, detail_id, candidates from held where n <> 1 and detail_id not in (select detail_id from claim)", _LADDER, *_GATE_VIEWS)
+
+
 @_query("select l_orderkey, l_suppkey, rn > 1 as refused from (select l_orderkey, l_suppkey, l_linenumber, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) as rn from lineitem)")
 def consumption_first_wins(spark, d):
     lines = spark.read.parquet(f"{d}/lineitem.parquet")
     place = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"))
     claims = lines.select("l_orderkey", "l_suppkey", F.col("l_suppkey").cast("string").alias("event_id"), F.monotonically_increasing_id().cast("string").alias("detail_id"), place.cast("long").alias("emit_order"))
-    return ladder.first_claims(claims, spark.createDataFrame([], "detail_id string")).select("l_orderkey", "l_suppkey", F.col("reason").isNotNull().alias("refused"))
+    return ladder.first_claims(claims, spark.createDataFrame([], "event_id string, detail_id string")).select("l_orderkey", "l_suppkey", F.col("reason").isNotNull().alias("refused"))
 
 
 @_query("select k, cast(count(*) as bigint) as n_lines, 'amount' as stage from (select d.detail_id, cast(count(*) as bigint) as k from detail_t d join ledger_t e on abs(d.gross_effect_paise) = e.amount_paise where d.event_id is null group by 1) group by 1", "detail_t", "ledger_t")
@@ -401,7 +447,7 @@ def recovered_verdicts(spark, d):
 
 @_query()
 def b3_greedy(spark, d):
-    return baselines.b3_claims(baselines.b3_pairs(T.batch(spark, d)))
+    return baselines.b3_verdict_claims(T.batch(spark, d))
 
 
 @_query()
@@ -409,6 +455,63 @@ def best_second_margin(spark, d):
     return baselines.separation(baselines.b3_pairs(T.batch(spark, d)))
 
 
+@_query()
+def lexical_panel(spark, d):
+    """How far text similarity separates the candidates of contested lines, and how many words it rests on."""
+    return baselines.panel(baselines.b3_pairs(T.batch(spark, d)))
+
+
+@_query()
+def lexical_hits(spark, d):
+    """How often the most similar refund is the line's own, beside chance."""
+    b = T.batch(spark, d)
+    own = b.detail.where("event_id is null and line_type = 'REFUND'").select("settlement_id", F.concat(F.lit("R"), "detail_id").alias("event_id"))
+    return baselines.hit_rate(baselines.b3_pairs(b), own)
+
+
+_DELTA = """, named as (select settlement_id, -sum(gross_effect_paise) as named_paise from detail_t where line_type = 'REFUND' and event_id is not null group by 1),
+delta as (select s.settlement_id, settlement_date, s.refund_paise as declared_paise, cast(coalesce(named_paise, 0) as bigint) as named_paise, cast(s.refund_paise - coalesce(named_paise, 0) as bigint) as delta_paise from summary_t s left join named using (settlement_id) where s.refund_paise - coalesce(named_paise, 0) > 0),
+counted as (select d.settlement_id, d.delta_paise, cast(count(e.event_id) as bigint) as n_amount, cast(count(e.event_id) filter (e.event_id not in (select event_id from detail_t where event_id is not null) and date_diff('day', cast(e.created_at as date), d.settlement_date) between 0 and 4
+ and e.txn_id in (select txn_id from ledger_t where event_type = 'PAYMENT' and status = 'PROCESSED' and event_id in (select event_id from detail_t where event_id is not null))) as bigint) as n_gated
+ from delta d left join ledger_t e on e.event_type = 'REFUND' and e.amount_paise = d.delta_paise group by 1, 2)"""
+_DELTA_VIEWS = ("summary_t", "detail_t", "ledger_t")
+
+
+@_query()
+def settlement_deltas(spark, d):
+    """What named lines leave of each settlement's declared refunds."""
+    return ambiguity.deltas(T.batch(spark, d)).select("settlement_id", "declared_paise", "named_paise", "delta_paise")
+
+
+@_query()
+def delta_candidates(spark, d):
+    """How many refunds could explain each settlement's delta, by amount and after the gates."""
+    return ambiguity.candidates(T.batch(spark, d))
+
+
+@_query()
+def delta_histogram(spark, d):
+    """How many deltas have how many candidates, by amount and after the gates."""
+    return ambiguity.histogram(ambiguity.candidates(T.batch(spark, d)))
+
+
+@_query()
+def delta_rates(spark, d):
+    """Deltas examined and ambiguous, and candidates that the gates take away."""
+    return ambiguity.rates(ambiguity.candidates(T.batch(spark, d)))
+
+
+ORACLE_SQL["settlement_deltas"] = _cte("select settlement_id, declared_paise, named_paise, delta_paise from delta", _DELTA, *_DELTA_VIEWS)
+ORACLE_SQL["delta_candidates"] = _cte("select settlement_id, delta_paise, n_amount, n_gated from counted", _DELTA, *_DELTA_VIEWS)
+ORACLE_SQL["delta_histogram"] = _cte("select 'amount' as stage, n_amount as k, cast(count(*) as bigint) as n_settlements from counted group by 2 union all select 'gates', n_gated, count(*) from counted group by 2", _DELTA, *_DELTA_VIEWS)
+ORACLE_SQL["delta_rates"] = _cte(
+    """select cast(count(*) as bigint) as examined, cast(count(*) filter (n_amount > 1) as bigint) as amount_ambiguous, coalesce(cast(count(*) filter (n_amount > 1) as double) / nullif(count(*), 0), 0.0) as amount_rate,
+ cast(count(*) filter (n_gated > 1) as bigint) as ambiguous, coalesce(cast(count(*) filter (n_gated > 1) as double) / nullif(count(*), 0), 0.0) as rate, cast(coalesce(sum(n_amount - n_gated), 0) as bigint) as eliminated from counted""",
+    _DELTA,
+    *_DELTA_VIEWS,
+)
+
+
 # verdicts, queue and journal
 
 
@@ -447,6 +550,17 @@ v as (select b.case_id, case when n_hard > 0 then 'EXCEPTION' else 'RECONCILED'
  sum(exposure_paise) filter (category <> 'DUPLICATE_DETAIL_EXPORT_WARNING') as exposure, arg_min(category, cast(case_pos as bigint) * 100000000 + block * 10000000 + line_pos * 100 + check_pos) filter (category <> 'DUPLICATE_DETAIL_EXPORT_WARNING') as hard from of_case group by 1) x using (case_id))"""
 
 
+_BY_CLAIMS = _VERDICT.replace("from l where event_id is null", "from l where event_id is null and detail_id not in (select detail_id from claim)")
+_DEFAULT = _LADDER + _BY_CLAIMS + """, wait as (select b.case_id, cast(sum(abs(d.net_effect_paise)) as bigint) as exposure_paise from held h join detail_t d using (detail_id) join bridge_t b on b.settlement_id = h.settlement_id where n <> 1 and detail_id not in (select detail_id from claim) group by 1),
+dv as (select v.case_id, case when w.case_id is null then outcome else 'ABSTAIN' end as outcome, case when w.case_id is null then category else 'AMBIGUOUS_REFUND' end as category, case when w.case_id is null then confidence else 0.0 end as confidence, coalesce(w.exposure_paise, v.exposure_paise) as exposure_paise from v left join wait w using (case_id))"""
+ORACLE_SQL["default_verdicts"] = _cte("select case_id, outcome, category, confidence, exposure_paise from dv", _DEFAULT, *_GATE_VIEWS)
+ORACLE_SQL["default_queue"] = _cte(
+    "select case_id, outcome, category, exposure_paise, cast(cast(exposure_paise as decimal(20,2)) / 100 as double) as exposure_rupees, settlement_ids from dv join (select case_id, string_agg(settlement_id, '|' order by case_pos) as settlement_ids from bridge_t group by 1) using (case_id) where outcome in ('EXCEPTION', 'ABSTAIN')",
+    _DEFAULT,
+    *_GATE_VIEWS,
+)
+
+
 @_query()
 def case_verdicts(spark, d):
     return _decided(spark, d)[0].drop("evidence")

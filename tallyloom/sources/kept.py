@@ -1,8 +1,9 @@
-"""Tables computed once: checkpoints in the cluster's shared folder."""
+"""Tables computed once and written in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed now and read from the shared folder from then on."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df computed now, once, and read as Parquet from the shared folder from then on, with the columns and rows that are asked for."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark).rstrip('/')}/tallyloom/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -90,20 +90,6 @@ def test_refund_rung_against_brute_force(spark, duck, refund_edges):
     assert counters["refund_corroboration", "resolved"] == sum(len(b) == 1 for b in allowed.values())
 
 
-def test_stretches_never_part_an_edge(spark):
-    from pyspark.sql import functions as F
-
-    from tallyloom.operators import ladder
-    from tallyloom.plans import testbed
-
-    edges = ladder.stretches(ladder.gated(testbed.batch(spark, DATA), None).survivors()).cache()
-    for side in ("detail_id", "event_id"):
-        assert edges.groupBy("amount_paise", side).agg(F.countDistinct("stretch").alias("n")).where("n > 1").count() == 0
-    days = [("a", "s", "x", 5, "2024-01-05", "2024-01-02"), ("b", "s", "y", 5, "2024-01-08", "2024-01-05"), ("c", "s", "z", 5, "2024-02-01", "2024-01-30")]
-    far = spark.createDataFrame(days, "detail_id string, settlement_id string, event_id string, amount_paise long, settled_on string, created_on string")
-    assert {r.detail_id: r.stretch for r in ladder.stretches(far).collect()} == {"a": 1, "b": 1, "c": 2}
-
-
 def test_default_queue_ranks_the_default_verdicts(spark):
     rank = [(-r.exposure_paise, r.case_id, r.outcome, r.category) for r in got(spark, "default_verdicts") if r.outcome in ("EXCEPTION", "ABSTAIN")]
     assert [(-r.exposure_paise, r.case_id, r.outcome, r.category) for r in got(spark, "default_queue")] == sorted(rank)
@@ -170,27 +156,6 @@ def test_apportion_takes_largest_remainders():
     assert all(sum(apportion(n, s)) == n for n in (1, 7, 100, 333) for s in SHARES.values())
 
 
-def test_matching_and_feasibility_match_forced_edges():
-    import random
-
-    import pandas as pd
-
-    from tallyloom.operators.ladder import admissible, matching
-
-    rng = random.Random(3)
-    assert len(matching({"a": ["x", "y"], "b": ["y"], "c": ["y", "z"]})) == 3
-    for _ in range(500):
-        edges = [(f"l{i}", f"r{j}") for i in range(rng.randint(1, 5)) for j in range(rng.randint(1, 5)) if rng.random() < 0.4]
-        if not edges:
-            continue
-        near = {}
-        for a, b in edges:
-            near.setdefault(a, []).append(b)
-        best = len(matching(near))
-        want = [len(matching({x: [y for y in ys if y != b] for x, ys in near.items() if x != a})) == best - 1 for a, b in edges]
-        assert admissible(pd.DataFrame(edges, columns=["detail_id", "event_id"])).feasible.tolist() == want
-
-
 def test_scores_of_hand_made_cases(spark):
     from tallyloom.operators import scoring
 
