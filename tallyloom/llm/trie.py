@@ -168,7 +168,8 @@ def nodes(conversations: DataFrame, turns: DataFrame) -> DataFrame:
     first = F.lit(least).cast("long")
     each = written(prefixes(turns, longest or 0).select("conv_id", F.col("pos").alias("depth"), "prefix", "chars"), "prefixes")
     found = each.groupBy("depth", "prefix").agg(F.min("conv_id").alias("name"), F.count("*").alias("n_convs"), F.max("chars").alias("chars"))
-    # which node each prefix is: the hottest keys are the shortest prefixes, whose rows Spark splits as skewed
+    # which node each prefix is: the hottest keys are the shortest prefixes, whose rows Spark splits as skewed, as both sides come from files
+    found = written(found, "found")
     node = F.when(F.col("conv_id") == F.col("name"), F.struct("n_convs", "chars"))
     named = written(each.select("conv_id", "depth", "prefix").join(found, ["depth", "prefix"]).select("conv_id", "depth", "name", node.alias("node")), "named")
     above = named.select("conv_id", (F.col("depth") + 1).alias("depth"), F.col("name").alias("parent"))
