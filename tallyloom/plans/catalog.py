@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +11,9 @@ from pyspark.sql.window import Window as W
 from tallyloom.functions import scalars as S
 from tallyloom.operators import ambiguity, baselines, controls, evidence, feasibility, journal, ladder, scoring, verdicts
 from tallyloom.plans import testbed as T
-from tallyloom.sources import generator
+from tallyloom.sources import catalogue, generator, proof
 from tallyloom.sources.batch import keep_first
-from tallyloom.sources.kept import kept
+from tallyloom.sources.ordering import apportioned, placed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -695,22 +694,79 @@ def precision_coverage_curve(spark, d):
     return scoring.curve(_scored(spark, d), [0.0, 0.25, 0.5, 0.75, 0.9])
 
 
+def _generated(spark, d):
+    """A generated batch of as many records as there are orders."""
+    return generator.generate(spark, generator.Config(spark.read.parquet(f"{d}/orders.parquet").count(), 42, "primary"))
+
+
 @_query()
 def generated_comparison(spark, d):
-    """The baselines and the default ladder on a generated batch of 1,000 cases, by the laxer scores."""
-    data = generator.generate(spark, 1000, 42, "primary")
-    batch = dataclasses.replace(data.batch, **{f.name: kept(getattr(data.batch, f.name)) for f in dataclasses.fields(data.batch)})
-    run = ladder.run_ladder(batch)
-    agent = (verdicts.verdicts(batch, data.cases, run), run.accepted.select("settlement_id", "event_id", "detail_id"))
-    return baselines.compare(batch, data.cases, data.key_cases, data.key_allocations, agent)
+    """The baselines and the default ladder on a generated batch of as many records as there are orders, by the laxer scores."""
+    data = _generated(spark, d)
+    run = ladder.run_ladder(data.batch)
+    agent = (verdicts.verdicts(data.batch, data.cases, run), run.accepted.select("settlement_id", "event_id", "detail_id"))
+    return baselines.compare(data.batch, data.cases, data.key_cases, data.key_allocations, agent)
 
 
 @_query()
 def generated_scorecard(spark, d):
-    """A generated batch of 1,000 cases reconciled by the default ladder and scored by scenario."""
-    data = generator.generate(spark, 1000, 42, "primary")
-    batch = dataclasses.replace(data.batch, **{f.name: kept(getattr(data.batch, f.name)) for f in dataclasses.fields(data.batch)})
-    run = ladder.run_ladder(batch)
-    decided, claimed = verdicts.verdicts(batch, data.cases, run), verdicts.allocations(data.cases, run)
-    want = verdicts.bridge(data.key_cases).join(data.key_allocations, "settlement_id").select("case_id", "event_id", "settlement_id")
+    """A generated batch of as many records as there are orders, reconciled by the default ladder and scored by scenario."""
+    data = _generated(spark, d)
+    run = ladder.run_ladder(data.batch)
+    decided, claimed = verdicts.verdicts(data.batch, data.cases, run), verdicts.allocations(data.cases, run)
+    want = verdicts.bridge(data.key_cases).join(data.key_allocations, "settlement_id").select("case_id", "event_id", "settlement_id").distinct()
     return scoring.by_scenario(scoring.judged(data.key_cases, decided, want, claimed))
+
+
+@_query("select cast(null as varchar) as case_id, cast(null as varchar) as rule where false")
+def generated_violations(spark, d):
+    """What the answer key of a generated batch, of as many records as there are orders, claims and the batch does not show: nothing."""
+    data = _generated(spark, d)
+    return proof.violations(data.batch, data.key_cases, data.key_allocations)
+
+
+# catalogue and orders
+
+_PRODUCT = "case p_partkey % 9 " + " ".join(f"when {i} then '{texts[0]}'" for i, texts in enumerate(catalogue.PRODUCTS.values())) + " else 'nothing that is sold' end"
+
+
+@_query("select p_partkey, case p_partkey % 9 " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(catalogue.CATEGORIES)) + " end as category from part")
+def category_lookup(spark, d):
+    """The category of a product's text, null for one that is not in the catalogue."""
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr(_PRODUCT).alias("text"))
+    return catalogue.categorised(part, "text").select("p_partkey", "category")
+
+
+@_query(
+    f"""with p as (select distinct text, unnest({_TOKENS.format('text')}) as token from benchmark), n as (select distinct lang as category, text, unnest({_TOKENS.format('text')}) as token from documents),
+h as (select token, count(*) as n_products, min(text) as product from p group by 1) select token, n.category as note_category, cast(count(*) as bigint) as n_notes, cast(max(n_products) as bigint) as n_products, min(product) as product from n join h using (token) group by 1, 2"""
+)
+def shared_words(spark, d):
+    """Words that texts of documents share with items of the benchmark, by an inverted index of both."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.lit("b").alias("category"), "text")
+    found = catalogue.leaks(items, spark.read.parquet(f"{d}/documents.parquet").select(F.col("lang").alias("category"), "text"))
+    return found.groupBy("token", "note_category").agg(F.count("*").alias("n_notes"), F.max("n_products").alias("n_products"), F.min("product").alias("product"))
+
+
+@_query(f"select distinct p_brand as category, p_name as text from part where not exists (select 1 from (select unnest({_TOKENS.format('c_name')}) as token from customer union all select unnest({_TOKENS.format('text')}) from benchmark) x where list_contains({_TOKENS.format('p_name')}, token))")
+def silent_names(spark, d):
+    """Names of parts that share no word with customers' names or items of the benchmark."""
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("category"), F.col("p_name").alias("text")).distinct()
+    others = spark.read.parquet(f"{d}/customer.parquet").select(F.lit("c").alias("category"), F.col("c_name").alias("text")).unionByName(spark.read.parquet(f"{d}/benchmark.parquet").select(F.lit("b").alias("category"), "text"))
+    return catalogue.silent(part, others)
+
+
+@_query("select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) - 1 as place from orders")
+def range_places(spark, d):
+    """Each order's place by price, numbered by ranges."""
+    return placed(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice"), F.desc("o_totalprice"), F.col("o_orderkey")).select("o_orderkey", "place")
+
+
+@_query(
+    """with s as (select o_custkey, cast(count(*) as bigint) as n from orders group by 1), w as (select sum(n) as whole from s), p as (select o_custkey, n, cast(n * 100003 // whole as bigint) as low, n * 100003 % whole as rest from s, w),
+r as (select *, row_number() over (order by rest desc, o_custkey) as turn, 100003 - sum(low) over () as left_over from p) select o_custkey, n, low + case when turn <= left_over then 1 else 0 end as units from r"""
+)
+def apportioned_units(spark, d):
+    """100,003 units apportioned to customers by their orders, by largest remainders."""
+    shares = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return apportioned(shares, 100_003, "n", "o_custkey").select("o_custkey", "n", "units")

@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 from tallyloom.operators import evidence, journal, scoring, verdicts
 from tallyloom.operators.ladder import DEFAULT, JOIN_ONLY, run_ladder
 from tallyloom.sources import batch as B
-from tallyloom.sources import generator
+from tallyloom.sources import catalogue, generator
 
 
 @pytest.fixture(scope="module")
 def made(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("batch"))
-    generator.write(generator.generate(spark, 100, 42, "primary"), at)
+    generator.write(generator.generate(spark, generator.Config(500, 42, "primary")), at)
     return at
 
 
@@ -29,7 +29,7 @@ def test_all_but_described_cases_are_right_without_a_reader(spark, made):
 
 
 def test_reader_resolves_described_cases(spark, made):
-    _, rows = outcomes(spark, made, evidence.adjudication(evidence.by_words))
+    _, rows = outcomes(spark, made, evidence.adjudication(catalogue.by_category))
     assert rows.where("not correct").count() == 0
     assert rows.where("scenario = 'DESCRIBED_REFUND' and confidence < 1").count() == 6
 

@@ -3,7 +3,7 @@ from tallyloom.streaming.candidates import candidates
 
 
 def test_stream_gives_the_batch_candidates(spark, tmp_path):
-    data = generator.generate(spark, 40, 7, "stress")
+    data = generator.generate(spark, generator.Config(200, 7, "stress"))
     for name, df in (("events", data.batch.ledger), ("lines", data.batch.detail)):
         df.write.parquet(str(tmp_path / name))
     batch = {(r.detail_id, r.event_id) for r in candidates(*(spark.read.parquet(str(tmp_path / n)) for n in ("events", "lines"))).collect()}
@@ -17,6 +17,6 @@ def test_stream_gives_the_batch_candidates(spark, tmp_path):
 def test_report_renders(spark, tmp_path, capsys):
     from tallyloom.plans import report
 
-    generator.write(generator.generate(spark, 40, 7, "primary"), str(tmp_path / "b"))
+    generator.write(generator.generate(spark, generator.Config(200, 7, "primary")), str(tmp_path / "b"))
     assert report.main([str(tmp_path / "b"), "--score", "--html", str(tmp_path / "r.html"), "--queue", str(tmp_path / "q")]) == 0
     assert "By scenario" in capsys.readouterr().out and "<table>" in (tmp_path / "r.html").read_text()
