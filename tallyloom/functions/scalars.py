@@ -145,7 +145,7 @@ def cost_usd(inputs: Column, cached: Column, outputs: Column, rate_in: Column, r
 
 
 def exact_money(c: Column) -> Column:
-    """A decimal as text with two places; one that two places do not hold is refused."""
-    d = c.cast("decimal(38,6)")
-    refused = F.raise_error(F.concat(F.lit("not exact at two places: "), d.cast("string"))).cast("string")
-    return F.when(d.isNull() | (d == F.bround(d, 2)), d.cast("decimal(34,2)").cast("string")).otherwise(refused)
+    """A number as text with two places; one that two places do not hold, in its own scale, is refused."""
+    short = F.bround(c, 2)
+    refused = F.raise_error(F.concat(F.lit("not exact at two places: "), c.cast("string"))).cast("string")
+    return F.when(c.isNull() | (c == short), short.cast("decimal(38,2)").cast("string")).otherwise(refused)

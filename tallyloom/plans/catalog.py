@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyloom.functions import scalars as S
-from tallyloom.operators import ambiguity, baselines, controls, evidence, feasibility, journal, ladder, scoring, verdicts
+from tallyloom.operators import ambiguity, baselines, codec, controls, evidence, feasibility, journal, ladder, scoring, verdicts
 from tallyloom.plans import testbed as T
 from tallyloom.sources import catalogue, generator, proof
 from tallyloom.sources.batch import keep_first
+from tallyloom.sources.kept import kept
 from tallyloom.sources.ordering import apportioned, placed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -603,7 +604,7 @@ def disposition_unsettled(spark, d):
 _ID = """'dec_' || substr(sha256('{"action":"' || action || '","stage":"' || stage || '","subject":["' || subject || '"]}'), 1, 24) as decision_id, action, stage, rule, confidence"""
 ORACLE_SQL["journal_records"] = _cte(
     f"""select {_ID} from (select 'match' as action, 'S1' as stage, array_to_string(list_sort([event_id, detail_id, settlement_id]), '","') as subject, 'exact_join/CONFIRMED' as rule, cast(1.0 as double) as confidence from detail_t where event_id in (select event_id from ledger_t)
- union all select 'verdict', 'S5', case_id, 'disposition/' || outcome || coalesce('/' || category, ''), confidence from v)""",
+ union all select case outcome when 'RECONCILED' then 'match' when 'EXCEPTION' then 'exception' when 'NO_ACTION' then 'no_action' else 'abstain' end, 'S5', case_id, 'controller/disposition', confidence from v)""",
     _S + _L + _VERDICT,
     *_GATE_VIEWS,
 )
@@ -616,6 +617,38 @@ def journal_records(spark, d):
     return journal.build(run, verdicts.verdicts(b, c, run)).select("decision_id", "action", "stage", "rule", "confidence")
 
 
+ORACLE_SQL["default_journal"] = _cte(
+    f"""select {_ID} from (select 'match' as action, case pass_name when 'exact_join' then 'S1' else 'S2' end as stage, array_to_string(list_sort([event_id, detail_id, settlement_id]), '","') as subject, pass_name || '/CONFIRMED' as rule, cast(1.0 as double) as confidence from claim
+ union all select 'abstain', 'S2', array_to_string(list_sort([detail_id, settlement_id]), '","'), 'refund_corroboration/abstain', 0.0 from held where n <> 1 and detail_id not in (select detail_id from claim)
+ union all select 'no_action', 'S2', array_to_string(list_sort([candidates, detail_id, settlement_id]), '","'), 'runner/consumption', null from bid where nth > 1
+ union all select case outcome when 'RECONCILED' then 'match' when 'EXCEPTION' then 'exception' when 'NO_ACTION' then 'no_action' else 'abstain' end, 'S5', case_id, 'controller/disposition', confidence from dv)""",
+    _DEFAULT,
+    *_GATE_VIEWS,
+)
+
+
+@_query()
+def journal_inputs(spark, d):
+    """What the records of the exact join tell of their events and lines, read back from their sealed text."""
+    b, c = T.batch(spark, d), T.cases(spark, d)
+    run = ladder.run_ladder(b, ladder.JOIN_ONLY)
+    rows = journal.build(run, verdicts.verdicts(b, c, run), b, verdicts.allocations(c, run))
+    read = journal.decisions(kept(rows.select(F.lit(0).cast("long").alias("seq"), "body"))).where("stage = 'S1'")
+    return read.select("inputs.event_id", "inputs.detail_id", "inputs.event_amount_paise", "inputs.event_type", "inputs.event_txn_id", "inputs.line_net_effect_paise", "inputs.line_type", "inputs.line_settled_at", F.col("result.settlement_id").alias("settlement_id"))
+
+
+ORACLE_SQL["journal_inputs"] = T.with_views("select event_id, detail_id, e.amount_paise as event_amount_paise, e.event_type, e.txn_id as event_txn_id, d.net_effect_paise as line_net_effect_paise, d.line_type, strftime(cast(d.settled_at as timestamp), '%Y-%m-%dT%H:%M:%S') as line_settled_at, d.settlement_id from detail_t d join ledger_t e using (event_id)", "detail_t", "ledger_t")
+
+
+@_query("select l.doc_id, cast(cast(n_chars * 25 as decimal(20,2)) / 100 as double) as amount, cast(quality as bigint) as n, lang || '/' || source as about from documents d join labels l using (doc_id)")
+def record_round_trip(spark, d):
+    """Nested amounts of documents, written as records and read back."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    rows = docs.select("doc_id", F.struct(F.array(F.struct((F.col("n_chars") * 25).cast("decimal(20,2)").alias("cents"), F.concat_ws("/", "lang", "source").alias("about"))).alias("parts"), F.create_map(F.col("lang"), (F.col("n_chars") * F.lit(0.25).cast("decimal(3,2)")).cast("decimal(20,2)")).alias("by_lang")).alias("inputs"), "quality")
+    written = kept(rows.select("inputs", codec.encoded(rows, "doc_id", "inputs", "quality").alias("text")))
+    return written.select(codec.decoded(F.col("text"), rows.schema).alias("x"), "inputs").select("x.doc_id", F.element_at("x.inputs.by_lang", F.map_keys("inputs.by_lang")[0]).cast("double").alias("amount"), F.col("x.quality").cast("long").alias("n"), F.col("x.inputs.parts")[0]["about"].alias("about"))
+
+
 def _sealed(spark, d) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     return journal.seal(e.select((F.col("event_id") + 1).alias("seq"), F.col("event_id").cast("string").alias("decision_id"), F.to_json(F.struct("event_id", "event_type")).alias("body")))

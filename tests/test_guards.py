@@ -13,10 +13,10 @@ ROWS = "action string, stage string, subject array<string>, confidence double, d
 
 
 def test_decisions_are_validated(spark):
-    good = [("match", "S1", ["a", "b"], 1.0, "d1"), ("verdict", "S5", ["c"], None, "d2")]
+    good = [("match", "S1", ["a", "b"], 1.0, "d1"), ("exception", "S5", ["c"], None, "d2")]
     rows = spark.createDataFrame(good, ROWS)
     assert journal.validated(rows).count() == 2
-    for bad in (("", "S1", ["a"], 0.5, "x"), ("match", None, ["a"], 0.5, "x"), ("match", "S1", [], 0.5, "x"), ("match", "S1", [""], 0.5, "x"), ("match", "S1", None, 0.5, "x"), ("match", "S1", ["a"], 1.5, "x"), ("match", "S1", ["a"], math.nan, "x")):
+    for bad in (("", "S1", ["a"], 0.5, "x"), ("match", None, ["a"], 0.5, "x"), ("verdict", "S5", ["a"], 0.5, "x"), ("match", "S7", ["a"], 0.5, "x"), ("match", "S1", [], 0.5, "x"), ("match", "S1", [""], 0.5, "x"), ("match", "S1", None, 0.5, "x"), ("match", "S1", ["a"], 1.5, "x"), ("match", "S1", ["a"], math.nan, "x")):
         with pytest.raises(ValueError):
             journal.validated(spark.createDataFrame([*good, bad], ROWS))
     assert [r.decision_id for r in journal.by_subject(rows, "b", "a").collect()] == ["d1"]
@@ -50,6 +50,8 @@ def test_amounts_and_tolerances(spark):
     assert (amount("12.30"), amount("-0.5"), amount(None)) == ("12.30", "-0.50", None)
     with pytest.raises(Exception, match="not exact at two places"):
         amount("1.005")
+    with pytest.raises(Exception, match="not exact at two places"):
+        one.select(S.exact_money(F.lit("10.0000004").cast("decimal(20,9)"))).first()
     big = 2**60 + 1
     assert one.select(S.allowance("PERCENTAGE", 10_000, F.lit(big))).first()[0] == big
     for kind, value, cap in (("OTHER", 1, None), ("FIXED", -1, None), ("FIXED", 1, 5), ("PERCENTAGE_CAPPED", 1, None)):
