@@ -20,6 +20,7 @@ allowed(n) = n * percent // 100.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -258,7 +259,8 @@ LEAK = "doc_id long, item_id long, first_word long, n_words long, distance long"
 def leaks(docs: DataFrame, items: DataFrame, percent: int = 20, bits: int = 2, target: float = 0.99, item_words: int = ITEM_WORDS) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, distance): the nearest stretch for each row of docs and each item it leaks.
 
-    items: item_id and text.  Items without words are leaked by nothing; items
+    items: item_id and text.  Items without an id are items like any other, and
+    are reported by a null one.  Items without words are leaked by nothing; items
     of under 100 / percent words only by their exact words.  Items over
     item_words words in all are taken in several passes, so what is shipped to
     the tasks stays bounded.  Null and empty texts leak nothing; doc_id may be
@@ -278,8 +280,8 @@ def _indexes(items: DataFrame, percent: int, bits: int, target: float, item_word
     total = items.agg(F.coalesce(F.sum(words), F.lit(0))).first()[0]
     passes = max(1, -(-total // item_words))
     for k in range(passes):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).select(F.col("item_id").cast("long"), "text")
-        rows = sorted({(r.item_id, r.text or "") for r in some.toLocalIterator() if r.item_id is not None})
+        some = items.where(F.pmod(F.xxhash64(F.coalesce(F.col("item_id").cast("long"), F.xxhash64("text"))), F.lit(passes)) == k).select(F.col("item_id").cast("long"), "text")
+        rows = sorted({(r.item_id, r.text or "") for r in some.toLocalIterator()}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         yield Index(rows, percent, bits, target)
 
 
@@ -288,8 +290,9 @@ def clean(docs: DataFrame, items: DataFrame, percent: int = 20, bits: int = 2, t
 
     Rows are known by a 64-bit hash of their text, so equal texts share a fate.
     """
+    known = next(c for c in (f"text_hash_{i}" for i in itertools.count()) if c not in docs.columns)
     texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    return without(docs.withColumn("text_hash_", F.xxhash64("text")), leaks(texts, items, percent, bits, target, item_words).select(F.col("doc_id").alias("text_hash_")), "text_hash_").select(*docs.columns)
+    return without(docs.withColumn(known, F.xxhash64("text")), leaks(texts, items, percent, bits, target, item_words).select(F.col("doc_id").alias(known)), known).select(*docs.columns)
 
 
 def _pass(docs: DataFrame, index: Index) -> DataFrame:

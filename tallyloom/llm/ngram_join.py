@@ -159,14 +159,19 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, block:
 
     component_id is the least doc_id that links reach.  Rows with a null or
     empty text, or without words, have no shingles and link with nothing, not
-    even with each other; a row with a null doc_id gets a null component and
-    lends its id to none.  Rows that repeat a doc_id are compared each by its
-    own text.  Other columns are not read.  An empty table gives no rows.
+    even with each other.  A row with a null doc_id links like any other and
+    lends its id to none; its component is null only if no row that it reaches
+    has an id.  Rows that repeat a doc_id are compared each by its own text.
+    Other columns are not read.  An empty table gives no rows.
     """
+    # rows without an id are known by a hash of their text; each such text is read once
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = written(_each_set(docs, size, lambda v, s, _: [(v[0], len(s), set_key(s))], "doc_id long, n long, node long", ("doc_id",)), "sets")
-    node = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    first = _each_set(docs.where("doc_id is not null"), size, _first_prefix(percent), "node long, tokens array<long>").select("node", F.explode("tokens").alias("token"))
+    own = F.coalesce("doc_id", F.xxhash64("text"))
+    rows = written(_each_set(docs.select(own.alias("key"), F.col("doc_id"), "text"), size, lambda v, s, _: [(*v, len(s), set_key(s))], "key long, doc_id long, n long, node long", ("key", "doc_id")), "sets")
+    lone = docs.where("doc_id is null and text is not null").select(F.xxhash64("text").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    docs = docs.where("doc_id is not null").unionByName(lone)
+    node = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("doc_id"), F.min("n").alias("n"))
+    first = _each_set(docs, size, _first_prefix(percent), "node long, tokens array<long>").select("node", F.explode("tokens").alias("token"))
     partner = F.ceil(F.col("n") * percent / 100)
     enough = F.ceil(partner / 10)
     stay = _shared(first, "first").groupBy("node").count().join(node, "node").where(F.col("count") >= enough).select("doc_id", F.col("node").alias("expected"))
@@ -190,14 +195,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, block:
     tile = written(tile.join(open_.select("node", "joined").distinct(), "node"), "tiles", release=True)
     linked = _linked(docs, _tile_places(tile, node, percent, block), size, percent).unionByName(first_links)
     comp = components(linked, "a", "b")
-    labelled = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
+    labelled = rows.where("n > 0").select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     labelled = written(labelled, "labelled", release=True)
     # most roots are of one row, which is its own component
     least = written(labelled.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least"), "least")
     labelled = labelled.join(F.broadcast(least) if few(least) else least, "root", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return (
         labelled.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        .unionByName(rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        .unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     )
 
 

@@ -237,6 +237,12 @@ def test_clean_judges_rows_by_their_own_text(spark):
     rows = [(None, f"a {item} b", 1), (None, "quite another text", 2), (7, item, 3), (7, "clean under the same id", 4), (8, None, 5), (9, "", 6)]
     got = decontam.clean(spark.createDataFrame(rows, "doc_id long, text string, item_id int"), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted(r.item_id for r in got.collect()) == [2, 4, 5, 6] and got.columns == ["doc_id", "text", "item_id"]
+    # items without an id, and a column with the name that the hash would have
+    found = spark.createDataFrame(rows, "doc_id long, text string, text_hash_0 int")
+    items = spark.createDataFrame([(None, item), (None, item), (None, None), (4, "eleven twelve thirteen fourteen fifteen")], "item_id long, text string")
+    got = decontam.clean(found, items)
+    assert sorted(r.text_hash_0 for r in got.collect()) == [2, 4, 5, 6] and got.columns == ["doc_id", "text", "text_hash_0"]
+    assert Counter((r.doc_id, r.item_id, r.distance) for r in decontam.leaks(found, items).collect()) == {(None, None, 0): 1, (7, None, 0): 1}
 
 
 # 3
@@ -253,21 +259,38 @@ def sets_of(rows, size):
 
 @pytest.mark.parametrize(("size", "percent", "block"), [(3, 90, 1000), (5, 80, 4), (2, 80, 1000)])
 def test_components_match_all_pairs(spark, odd, odd_rows, size, percent, block):
-    sets = sets_of(odd_rows, size)
-    root = {d: d for d, _ in sets if d is not None}
+    assert Counter(map(tuple, ngram_join.jaccard_components(odd, size, percent, block).collect())) == own_components(odd_rows, size, percent)
+
+
+def own_components(rows, size, percent):
+    """(doc_id, n_shingles, component_id) of each row by all pairs of rows; the least id reached, whatever the rows between have for one."""
+    sets = sets_of(rows, size)
+    root = list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for (a, s), (b, t) in itertools.combinations([x for x in sets if x[0] is not None and x[1]], 2):
-        if 100 * len(s & t) >= percent * len(s | t):
-            x, y = find(a), find(b)
-            root[max(x, y)] = min(x, y)
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(odd, size, percent, block).collect())
-    want = Counter((d, len(s), None if d is None else find(d) if s else d) for d, s in sets)
-    assert {k: v for k, v in got.items() if k[0] != 1} == {k: v for k, v in want.items() if k[0] != 1}
+    for (i, (_, s)), (j, (_, t)) in itertools.combinations(enumerate(sets), 2):
+        if s and t and 100 * len(s & t) >= percent * len(s | t):
+            root[find(i)] = find(j)
+    ids = {}
+    for i, (d, s) in enumerate(sets):
+        ids.setdefault(find(i), []).extend([d] if s and d is not None else [])
+    return Counter((d, len(s), (min(ids[find(i)], default=None) if s else d)) for i, (d, s) in enumerate(sets))
+
+
+def test_rows_without_an_id_link_others(spark):
+    """1 and 3 meet only through a row without an id; copies of texts without an id, and ids that repeat, change nothing."""
+    words = [f"w{i}" for i in range(60)]
+    with_changed = lambda *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(words))
+    rows = [(3, with_changed(0)), (None, with_changed()), (None, with_changed()), (1, with_changed(59)), (None, with_changed(0)), (None, "only rows without an id say this here"), (None, "only rows without an id say this here"), (None, None), (None, ""), (4, with_changed()), (4, "the same id with another text"), (5, None), (5, "the same id with another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = own_components(rows, 3, 90)
+    assert Counter(map(tuple, ngram_join.jaccard_components(df, 3, 90).collect())) == want and want[3, 58, 1] == 1 and want[None, 58, 1] == 3
+    kept = {r.doc_id for r in ngram_join.one_of_each(df, 3, 90).collect()}
+    assert kept == {None, 1, 5} or kept == {None, 1}, "rows without an id stay; 3 and 4 are copies of 1"
 
 
 def test_random_near_copies_match_all_pairs(spark):
