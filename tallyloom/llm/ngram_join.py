@@ -108,12 +108,12 @@ def _first_prefix(percent: int):
 
 
 def _shared(rows: DataFrame, name: str, by: str = "node") -> DataFrame:
-    """rows (node, token, ...) whose token has two values of `by` or more, with `least` and `holders`.
+    """rows (node, token, ...) whose token has two values of `by` or more, with `least` of these, `centre`, the least node, and `holders`.
 
     A token's holders are aggregated before they are shuffled; rows are made
     again for the join, where Spark splits a token with many holders.
     """
-    held = rows.groupBy("token").agg(F.min(by).alias("least"), F.max(by).alias("most"), F.count("*").alias("holders")).where("least <> most").drop("most")
+    held = rows.groupBy("token").agg(F.min(by).alias("least"), F.max(by).alias("most"), F.min("node").alias("centre"), F.count("*").alias("holders")).where("least <> most").drop("most")
     return rows.join(written(held, name, release=True), "token")
 
 
@@ -189,7 +189,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, block:
     first_links = written(_linked(docs, _star_places(stars, node, min(block, STAR_BLOCK)), size, percent), "star_links")
     joined = written(components(first_links, "a", "b"), "joined")
     still = prefix.join(joined, "node", "left").select("node", "token", F.coalesce("root", "node").alias("joined"))
-    open_ = _shared(written(still, "still"), "open", by="joined").select("node", "token", "joined", F.min("node").over(W.partitionBy("token")).alias("centre"))
+    open_ = _shared(written(still, "still"), "open", by="joined").select("node", "token", "joined", "centre")
     open_ = written(open_, "candidates")
     tile = components(open_.select("node", "centre"), "node", "centre")
     tile = written(tile.join(open_.select("node", "joined").distinct(), "node"), "tiles", release=True)
