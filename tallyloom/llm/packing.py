@@ -214,7 +214,7 @@ def _pack(df: DataFrame, parts: int, size: int, turn: int) -> DataFrame:
         opened = (least & (fill < size)) | (gap & (fill < size - size // 64))
         return p.assign(sequence_id=((turn << 36) + p.part) * (1 << 20) + to, offset=at, opened=opened[to])
 
-    dealt = df.select("doc_id", "piece", "start", "length", "ids_crc32", "key", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)).alias("part"))
+    dealt = df.select("doc_id", "piece", "start", "length", "ids_crc32", "key", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(parts)).alias("part"))
     return written(dealt.groupBy("part").applyInPandas(run, PACKED), "packed")
 
 
