@@ -61,6 +61,18 @@ def usage(calls: DataFrame, *by: str) -> DataFrame:
     return calls.groupBy(*by).agg(total("input_tokens"), total("output_tokens"), total("cache_read_tokens"), F.count("*").alias("calls"))
 
 
+def costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """(model, calls, input_tokens, output_tokens, cache_read_tokens, usd) of calls by model, at prices (model, rate_in, rate_out) a million tokens.
+
+    A model without a price, or without a name, costs nothing; of several prices
+    of a model the dearest holds.  Dollars are of the summed tokens.
+    """
+    rates = prices.where("model is not null").groupBy("model").agg(F.max_by("rate_in", F.struct("rate_in", "rate_out")).alias("rate_in"), F.max_by("rate_out", F.struct("rate_in", "rate_out")).alias("rate_out"))
+    sums = usage(calls, "model").join(rates, "model", "left")
+    usd = S.cost_usd(F.col("input_tokens"), F.col("cache_read_tokens"), F.col("output_tokens"), F.col("rate_in"), F.col("rate_out"))
+    return sums.select("model", "calls", "input_tokens", "output_tokens", "cache_read_tokens", usd.alias("usd"))
+
+
 def adjudication(reader: Reader = declining, floor: float = FLOOR, most_calls: int | None = None) -> Callable[[Batch, DataFrame, DataFrame], PassResult]:
     """A residual rung for run_ladder; its claims are SUGGESTED.
 

@@ -96,6 +96,11 @@ def reconcile(spark: SparkSession, directory: str, ladder=DEFAULT, residual=None
     return Reconciliation(batch, cases, run, verdicts(batch, cases, run), allocations(cases, run))
 
 
+def record_count(batch: Batch) -> int:
+    """Events, unique lines and settlements of a batch, by which its throughput is told."""
+    return sum(df.count() for df in (batch.ledger, batch.detail, batch.summary))
+
+
 def queue(decided: DataFrame, cases: DataFrame) -> DataFrame:
     """Exceptions and abstentions with the action to take, largest exposure first by `rank_key`."""
     open_ = decided.where(F.col("outcome").isin("EXCEPTION", "ABSTAIN")).join(cases, "case_id", "left")

@@ -409,6 +409,22 @@ def usage_sums(spark, d):
     return evidence.usage(docs.select("lang", n.alias("input_tokens"), F.floor(n / 10).cast("long").alias("output_tokens"), (n % 7).alias("cache_read_tokens")), "lang")
 
 
+_PRICES = (("en", 5, 25), ("de", 3, 15), ("fr", 1, 5))
+
+
+@_query(
+    """with p as (select * from (values ('en', 5, 25), ('de', 3, 15), ('fr', 1, 5)) t(model, rate_in, rate_out)),
+u as (select lang as model, cast(count(*) as bigint) as calls, cast(sum(n_chars) as bigint) as input_tokens, cast(sum(n_chars // 10) as bigint) as output_tokens, cast(sum(n_chars % 7) as bigint) as cache_read_tokens from documents group by 1)
+select u.*, cast(coalesce(round_even(cast((cast(input_tokens as decimal(18,4)) * rate_in + cast(cache_read_tokens as decimal(18,4)) * rate_in / 10 + cast(output_tokens as decimal(18,4)) * rate_out) / 1000000 as decimal(24,10)), 6), 0) as double) as usd from u left join p using (model)"""
+)
+def costs_by_model(spark, d):
+    """Calls priced by model, documents' languages standing for models; one of them has no price."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    n = F.col("n_chars")
+    calls = docs.select(F.col("lang").alias("model"), n.alias("input_tokens"), F.floor(n / 10).cast("long").alias("output_tokens"), (n % 7).alias("cache_read_tokens"))
+    return evidence.costs(calls, spark.createDataFrame(list(_PRICES), "model string, rate_in int, rate_out int")).withColumn("usd", F.col("usd").cast("double"))
+
+
 @_query("select o_orderkey, cast(cast(cast(round(o_totalprice * 100) as bigint) as decimal(20,2)) / 100 as decimal(18,2))::varchar as amount from orders")
 def exact_amounts(spark, d):
     orders = spark.read.parquet(f"{d}/orders.parquet")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import html
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,8 +77,11 @@ def main(argv: Sequence[str] | None = None) -> int:
         body = F.from_json("body", "stage string, action string, confidence double")
         print(as_text([table("Journal", journal.summary(records.select(body.alias("x")).select("x.*")).orderBy("kind", "label"))]))
         return 0
+    began = time.monotonic()
     r = verdicts.reconcile(spark, a.directory, JOIN_ONLY if a.join_only else DEFAULT)
     tables = panel(r, load_answer_key(spark, a.directory) if a.score else None)
+    took, records = time.monotonic() - began, verdicts.record_count(r.batch)
+    tables.insert(0, ("Run", ["records", "seconds", "records_a_second"], [[str(records), f"{took:.1f}", f"{records / took:.0f}"]]))
     if a.compare:
         key, pairs = load_answer_key(spark, a.directory)
         agent = (r.verdicts, r.run.accepted.select("settlement_id", "event_id", "detail_id"))

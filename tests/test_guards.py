@@ -68,3 +68,11 @@ def test_readers_without_a_sure_answer(spark):
         rung = evidence.adjudication(lambda asked, said=said: [("a ", said) for _ in asked])
         assert rung(batch, free, lines).claims.count() == n
     assert evidence.adjudication(lambda asked: [("A", 0.9) for _ in asked], most_calls=2)(batch, free, lines).claims.count() == 2
+
+
+def test_calls_are_priced_by_model(spark):
+    calls = spark.createDataFrame([("a", 1_000_000, 0, 500_000), ("a", 0, 200_000, 0), ("b", 5, 5, 5), (None, 7, 7, 7)], "model string, input_tokens long, output_tokens long, cache_read_tokens long")
+    prices = spark.createDataFrame([("a", 3, 15), ("a", 2, 99), (None, 9, 9), ("c", 1, 1)], "model string, rate_in int, rate_out int")
+    got = {r.model: (r.calls, float(r.usd)) for r in evidence.costs(calls, prices).collect()}
+    assert got == {"a": (2, 3 + 0.15 + 3.0), "b": (1, 0.0), None: (1, 0.0)}
+    assert evidence.costs(calls.limit(0), prices).collect() == []
