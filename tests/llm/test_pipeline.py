@@ -84,7 +84,7 @@ def test_result_holds_the_packed_ids(spark, table):
 
 
 def test_run_and_registration(spark, table):
-    assert {n.split("_")[0] for n in __spark_entry__.queries() if re.match(r"op\d+_", n)} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in __spark_entry__.queries() if re.match(r"op\d+_", n)} == {f"op{n}" for n in range(1, 14)}
     out = __spark_entry__.queries()["pipeline"](spark, table)
     assert out.count() > 100 and "pipeline" not in __spark_entry__.oracle_sql()
 
