@@ -46,13 +46,23 @@ def frame(spark: SparkSession, texts: dict[str, tuple[str, ...]]) -> DataFrame:
 
 def index(texts: DataFrame) -> DataFrame:
     """(token, category, text): the inverted index of (category, text)."""
-    return texts.select("category", "text", F.explode(S.tokens(F.col("text"))).alias("token")).distinct()
+    return texts.select("category", "text").distinct().select("category", "text", F.explode(S.tokens(F.col("text"))).alias("token"))
+
+
+def _had(products: DataFrame) -> DataFrame:
+    """(token, n_products, product): how many products have a word, and the least of them."""
+    return index(products).groupBy("token").agg(F.count("*").alias("n_products"), F.min("text").alias("product"))
 
 
 def leaks(products: DataFrame, notes: DataFrame) -> DataFrame:
     """(token, note_category, note, n_products, product): words of notes that products have too, each with how many and the least of them."""
-    have = index(products).groupBy("token").agg(F.count("*").alias("n_products"), F.min("text").alias("product"))
-    return index(notes).join(have, "token").select("token", F.col("category").alias("note_category"), F.col("text").alias("note"), "n_products", "product")
+    return index(notes).join(_had(products), "token").select("token", F.col("category").alias("note_category"), F.col("text").alias("note"), "n_products", "product")
+
+
+def leak_counts(products: DataFrame, notes: DataFrame) -> DataFrame:
+    """(token, note_category, n_notes, n_products, product): leaks by word and category of notes; words are counted before they meet the products', and no text goes with them."""
+    said = index(notes).groupBy("token", F.col("category").alias("note_category")).agg(F.count("*").alias("n_notes"))
+    return said.join(_had(products), "token").select("token", "note_category", "n_notes", "n_products", "product")
 
 
 def silent(notes: DataFrame, products: DataFrame) -> DataFrame:
