@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tallyloom.functions import scalars as S
-from tallyloom.operators.ladder import ABSTENTION, LadderRun, gated
+from tallyloom.operators.ladder import ABSTENTION, LadderRun, amount_sides, gated
 from tallyloom.operators.verdicts import bridge, verdicts
 from tallyloom.sources.batch import Batch
 from tallyloom.sources.kept import kept
@@ -231,3 +231,10 @@ def unexplained_deltas(batch: Batch) -> DataFrame:
 def multiplicity(candidates: DataFrame, name: str) -> DataFrame:
     """How many lines have how many candidates."""
     return candidates.groupBy("detail_id").agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("n_lines")).withColumn("stage", F.lit(name))
+def multiplicity_by_amount(batch: Batch, name: str) -> DataFrame:
+    """How many lines have how many events of their amount: both are counted by amount."""
+    lines, events = amount_sides(batch)
+    both = lines.groupBy("amount_paise").agg(F.count("*").alias("n_lines")).join(events, "amount_paise")
+    return both.groupBy("n_candidates").agg(F.sum("n_lines").alias("n_lines")).select(F.col("n_candidates").alias("k"), "n_lines", F.lit(name).alias("stage"))
+
+

@@ -79,6 +79,18 @@ def amount_candidates(batch: Batch) -> DataFrame:
     return lines.join(batch.ledger.select("event_id", "amount_paise"), "amount_paise")
 
 
+def amount_sides(batch: Batch) -> tuple[DataFrame, DataFrame]:
+    """Anonymous lines (detail_id, amount_paise), and how many events there are of each amount, payments included (amount_paise, n_candidates)."""
+    lines = batch.detail.where("event_id is null").select("detail_id", F.abs("gross_effect_paise").alias("amount_paise"))
+    return lines, batch.ledger.groupBy("amount_paise").agg(F.count("*").alias("n_candidates"))
+
+
+def n_candidates(batch: Batch) -> DataFrame:
+    """(detail_id, n_candidates): how many amount_candidates an anonymous line has; lines are joined to the count, not to the events."""
+    lines, events = amount_sides(batch)
+    return lines.join(events, "amount_paise").select("detail_id", "n_candidates")
+
+
 @dataclass(frozen=True)
 class Gated:
     """classes: lines and events alike in all that gates 1 and 3 to 7 ask, in pairs of equal amount, with n_pairs and first_failed, the first of the gates that they fail (null: none)."""
