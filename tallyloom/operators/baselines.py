@@ -74,7 +74,11 @@ def b3_ranks(batch: Batch) -> DataFrame:
     """(amount_paise, reference_text, event_id, parent, similarity): the free refunds of an amount beside each distinct note on its lines."""
     notes = b3_lines(batch).select("amount_paise", "reference_text").distinct()
     free = unconsumed_refunds(batch).select("event_id", "txn_id", "amount_paise").join(described(batch), "txn_id", "left").drop("txn_id")
-    pairs = notes.join(free, "amount_paise")
+    return alike(notes.join(free, "amount_paise"))
+
+
+def alike(pairs: DataFrame) -> DataFrame:
+    """pairs with the similarity of reference_text and parent, found once for each pair of texts."""
     texts = pairs.select("reference_text", "parent").distinct().withColumn("similarity", lexical_similarity("reference_text", "parent"))
     same = F.col("a.reference_text").eqNullSafe(F.col("t.reference_text")) & F.col("a.parent").eqNullSafe(F.col("t.parent"))
     return pairs.alias("a").join(texts.alias("t"), same).select("a.*", "t.similarity")
@@ -82,9 +86,7 @@ def b3_ranks(batch: Batch) -> DataFrame:
 
 def b3_pairs(batch: Batch) -> DataFrame:
     """Anonymous refund lines beside the free refunds of their amount, with the similarity of note and description."""
-    ranks, lines = b3_ranks(batch).alias("r"), b3_lines(batch).alias("l")
-    same = (F.col("l.amount_paise") == F.col("r.amount_paise")) & F.col("l.reference_text").eqNullSafe(F.col("r.reference_text"))
-    return lines.join(ranks, same).select("l.*", "r.event_id", "r.parent", "r.similarity")
+    return _beside(b3_lines(batch), b3_ranks(batch)).select("settlement_id", "detail_id", "input_order", "amount_paise", "reference_text", "event_id", "parent", "similarity")
 
 
 #: Places down its list that a refused line looks at in a round.
@@ -128,14 +130,38 @@ def b3_claims(lines: DataFrame, ranks: DataFrame) -> DataFrame:
         state = kept(state.withColumn("at", F.col("i") + F.max(F.col("at") - F.col("i")).over(moved)))
 
 
-def separation(pairs: DataFrame) -> DataFrame:
-    """(detail_id, k, best, second, margin) of every line with two candidates or more."""
-    w = W.partitionBy("detail_id").orderBy(F.desc("similarity"), F.desc("event_id"))
-    ranked = pairs.withColumn("nth", F.row_number().over(w))
-    s = ranked.groupBy("detail_id").agg(F.count("*").alias("k"), F.max(F.when(F.col("nth") == 1, F.col("similarity"))).alias("best"), F.max(F.when(F.col("nth") == 2, F.col("similarity"))).alias("second"))
+def b3_choices(batch: Batch) -> DataFrame:
+    """(amount_paise, reference_text, parent, n, last, similarity): the free refunds of an amount beside each distinct note on its lines, refunds of equal descriptions as one row with their number and the largest id."""
+    notes = b3_lines(batch).select("amount_paise", "reference_text").distinct()
+    free = unconsumed_refunds(batch).select("event_id", "txn_id", "amount_paise").join(described(batch), "txn_id", "left")
+    kinds = free.groupBy("amount_paise", "parent").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    return alike(notes.join(kinds, "amount_paise"))
+
+
+def separation(choices: DataFrame, *key: str) -> DataFrame:
+    """(key, k, best, second, margin) of every key, by default a line's detail_id, with two candidates or more; n, if there is such a column, is how many candidates a row stands for."""
+    key, n = key or ("detail_id",), F.col("n") if "n" in choices.columns else F.lit(1)
+    scores = choices.groupBy(*key, "similarity").agg(F.sum(n).alias("n"))
+    first = W.partitionBy(*key).orderBy(F.desc("similarity"))
+    ranked = scores.withColumn("nth", F.row_number().over(first))
+    at = lambda nth, c: F.max(F.when(F.col("nth") == nth, F.col(c)))
+    s = ranked.groupBy(*key).agg(F.sum("n").alias("k"), at(1, "similarity").alias("best"), F.when(at(1, "n") > 1, at(1, "similarity")).otherwise(at(2, "similarity")).alias("second"))
     return s.where("k > 1").withColumn("margin", F.col("best") - F.col("second"))
 
 
+def _beside(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """lines joined to what was found for their amount and note, which may be null."""
+    same = (F.col("l.amount_paise") == F.col("r.amount_paise")) & F.col("l.reference_text").eqNullSafe(F.col("r.reference_text"))
+    own = [f"r.{c}" for c in found.columns if c not in ("amount_paise", "reference_text")]
+    return lines.alias("l").join(found.alias("r"), same).select("l.*", *own)
+
+
+def line_separation(batch: Batch, choices: DataFrame) -> DataFrame:
+    """separation of every contested line: lines of one amount and note have the same candidates, so only the answer is made of lines."""
+    found = separation(choices, "amount_paise", "reference_text")
+    return _beside(b3_lines(batch), found).select("detail_id", "k", "best", "second", "margin")
+
+
 def b3_verdict_claims(batch: Batch) -> DataFrame:
     return b3_claims(b3_lines(batch), b3_ranks(batch))
 
@@ -188,12 +214,23 @@ def compare(batch: Batch, cases: DataFrame, key: DataFrame, expected: DataFrame,
     return out
 
 
-def panel(pairs: DataFrame) -> DataFrame:
-    """One row over lines with two candidates or more: (contested_lines, mean_margin, max_margin, max_token_overlap) of their notes and descriptions; zeros where there are none."""
-    margins = separation(pairs).agg(F.count("*").alias("contested_lines"), F.coalesce(F.avg("margin"), F.lit(0.0)).alias("mean_margin"), F.coalesce(F.max("margin"), F.lit(0.0)).alias("max_margin"))
+def panel(pairs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """One row over lines with two candidates or more: (contested_lines, mean_margin, max_margin, max_token_overlap) of their notes and descriptions; zeros where there are none.
+
+    pairs: b3_pairs; or, with lines, b3_choices: then lines are counted by amount
+    and note, and never paired.
+    """
+    key = ("detail_id",) if lines is None else ("amount_paise", "reference_text")
+    found = separation(pairs, *key)
+    found = found.withColumn("n_lines", F.lit(1)) if lines is None else _beside(lines.groupBy(*key).agg(F.count("*").alias("n_lines")), found)
+    margins = found.agg(
+        F.coalesce(F.sum("n_lines"), F.lit(0)).alias("contested_lines"), F.coalesce(F.sum(F.col("margin") * F.col("n_lines")) / F.sum("n_lines"), F.lit(0.0)).alias("mean_margin"), F.coalesce(F.max("margin"), F.lit(0.0)).alias("max_margin")
+    )
     text = lambda c: S.tokens(F.coalesce(F.col(c), F.lit("")))
-    contested = pairs.groupBy("detail_id").agg(F.count("*").alias("k")).where("k > 1").select("detail_id")
-    shared = pairs.join(contested, "detail_id", "left_semi").select("reference_text", "parent").distinct()
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}"))
+    shared = pairs.alias("p").join(found.select(*key).alias("c"), same, "left_semi").select("reference_text", "parent").distinct()
     most = shared.agg(F.coalesce(F.max(F.size(F.array_intersect(text("reference_text"), text("parent")))), F.lit(0)).alias("max_token_overlap"))
     one = F.lit(1).alias("one")
     return margins.select("*", one).join(most.select("*", one), "one").drop("one")
@@ -207,11 +244,25 @@ def hit_rate(pairs: DataFrame, right: DataFrame) -> DataFrame:
     """
     w = W.partitionBy("detail_id").orderBy(F.desc("similarity"), F.desc("event_id"))
     mark = pairs.join(right.select("settlement_id", "event_id").distinct().withColumn("right", F.lit(1)), ["settlement_id", "event_id"], "left").withColumn("nth", F.row_number().over(w))
-    s = mark.groupBy("detail_id").agg(F.count("*").alias("k"), F.count("right").alias("n_right"), F.max(F.when(F.col("nth") == 1, F.col("right"))).alias("hit")).where("k > 1 and n_right > 0")
+    return _hits(mark.groupBy("detail_id").agg(F.count("*").alias("k"), F.count("right").alias("n_right"), F.max(F.when(F.col("nth") == 1, F.col("right"))).alias("hit")))
+
+
+def _hits(lines: DataFrame) -> DataFrame:
+    s = lines.where("k > 1 and n_right > 0")
     sums = s.agg(F.count("*").alias("n_lines"), F.count("hit").alias("n_hits"), F.coalesce(F.sum(F.col("n_right") / F.col("k")), F.lit(0.0)).alias("by_chance"))
     return sums.withColumn("lift", S.ratio(F.col("n_hits") - F.col("by_chance"), F.col("n_lines")))
 
 
+def line_hit_rate(batch: Batch, choices: DataFrame, right: DataFrame) -> DataFrame:
+    """hit_rate of all lines, which are joined to the number and the first of their candidates, and to the right ones of their settlement and amount, and never to all candidates."""
+    best = choices.groupBy("amount_paise", "reference_text").agg(F.sum("n").alias("k"), F.max_by("last", F.struct("similarity", "last")).alias("top"))
+    right = right.select("settlement_id", "event_id").distinct()
+    known = right.join(unconsumed_refunds(batch).select("event_id", "amount_paise"), "event_id").groupBy("settlement_id", "amount_paise").agg(F.count("*").alias("n_right"))
+    lines = _beside(b3_lines(batch), best).join(known, ["settlement_id", "amount_paise"])
+    hit = right.select("settlement_id", F.col("event_id").alias("top"), F.lit(1).alias("hit"))
+    return _hits(lines.join(hit, ["settlement_id", "top"], "left"))
+
+
 def gated_candidates(batch: Batch) -> DataFrame:
     """(detail_id, event_id) after the gates that look at the event alone: unconsumed, within days, of a settled parent."""
     found = gated(batch, None)
@@ -228,9 +279,6 @@ def unexplained_deltas(batch: Batch) -> DataFrame:
     return sums.join(near, "settlement_id", "left").fillna(0, ["refund_paise", "n_refunds"])
 
 
-def multiplicity(candidates: DataFrame, name: str) -> DataFrame:
-    """How many lines have how many candidates."""
-    return candidates.groupBy("detail_id").agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("n_lines")).withColumn("stage", F.lit(name))
 def multiplicity_by_amount(batch: Batch, name: str) -> DataFrame:
     """How many lines have how many events of their amount: both are counted by amount."""
     lines, events = amount_sides(batch)
@@ -238,3 +286,6 @@ def multiplicity_by_amount(batch: Batch, name: str) -> DataFrame:
     return both.groupBy("n_candidates").agg(F.sum("n_lines").alias("n_lines")).select(F.col("n_candidates").alias("k"), "n_lines", F.lit(name).alias("stage"))
 
 
+def multiplicity(candidates: DataFrame, name: str) -> DataFrame:
+    """How many lines have how many candidates."""
+    return candidates.groupBy("detail_id").agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("n_lines")).withColumn("stage", F.lit(name))

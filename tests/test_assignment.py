@@ -154,3 +154,32 @@ def test_a_parent_is_the_first_payment_of_the_ledger(spark):
     rows = [("z", "PAYMENT", "t1", "first", 1), ("a", "PAYMENT", "t1", "second", 2), ("b", "PAYMENT", "t2", None, 3), ("c", "PAYMENT", "t2", "later", 4), ("d", "REFUND", "t3", "none", 5)]
     batch = Batch(spark.createDataFrame(rows, "event_id string, event_type string, txn_id string, description string, input_order long"), *[None] * 5)
     assert {tuple(r) for r in baselines.described(batch).collect()} == {("t1", "first"), ("t2", None)}
+
+
+def test_contested_lines_are_never_paired(spark):
+    """Twenty thousand lines of one amount beside as many refunds: 4e8 pairs, which the answers by note and description do not make."""
+    n = 20_000
+    detail = spark.range(n).select(F.concat(F.lit("s"), F.col("id")).alias("settlement_id"), F.concat(F.lit("d"), F.col("id")).alias("detail_id"), F.lit(None).cast("string").alias("event_id"), F.lit("REFUND").alias("line_type"), F.lit(-700).cast("long").alias("gross_effect_paise"), F.lit(1).alias("input_order"), F.when(F.col("id") % 2 == 0, "red shoe").alias("reference_text"))
+    refunds = spark.range(n).select(F.concat(F.lit("r"), F.col("id")).alias("event_id"), F.lit("REFUND").alias("event_type"), F.concat(F.lit("t"), F.col("id") % 4).alias("txn_id"), F.lit(700).cast("long").alias("amount_paise"), F.lit(None).cast("string").alias("description"))
+    paid = spark.createDataFrame([("p0", "PAYMENT", "t0", 9, "red shoe"), ("p1", "PAYMENT", "t1", 9, "blue coat")], "event_id string, event_type string, txn_id string, amount_paise long, description string")
+    batch = Batch(refunds.unionByName(paid), detail, *[None] * 4)
+    choices = baselines.b3_choices(batch).cache()
+    assert choices.count() == 6
+    assert {tuple(r) for r in baselines.line_separation(batch, choices).groupBy("k", "best", "second").count().collect()} == {(n, 1.0, 1.0, n // 2), (n, 0.0, 0.0, n // 2)}
+    assert tuple(baselines.panel(choices, baselines.b3_lines(batch)).first()) == (n, 0.0, 0.0, 2)
+    right = spark.range(n).select(F.concat(F.lit("s"), F.col("id")).alias("settlement_id"), F.concat(F.lit("r"), F.col("id")).alias("event_id"))
+    # the most similar refund of a line with a note is r9996, the last of those whose parent has its text; of one without, r9999
+    assert tuple(baselines.line_hit_rate(batch, choices, right).select("n_lines", "n_hits").first()) == (n, 2)
+    assert {tuple(r) for r in ladder.n_candidates(batch).groupBy("n_candidates").count().collect()} == {(n, n)}
+    assert [tuple(r) for r in baselines.multiplicity_by_amount(batch, "x").collect()] == [(n, n, "x")]
+
+
+def test_choices_answer_as_pairs_do(spark):
+    from tallyloom.plans import testbed
+
+    batch = testbed.batch(spark, "/root/testdata/sf0.001")
+    choices, pairs = baselines.b3_choices(batch), baselines.b3_pairs(batch).cache()
+    assert sorted(map(tuple, baselines.line_separation(batch, choices).collect())) == sorted(map(tuple, baselines.separation(pairs).collect()))
+    assert tuple(baselines.panel(choices, baselines.b3_lines(batch)).first()) == pytest.approx(tuple(baselines.panel(pairs).first()))
+    own = batch.detail.where("event_id is null and line_type = 'REFUND'").select("settlement_id", F.concat(F.lit("R"), "detail_id").alias("event_id"))
+    assert tuple(baselines.line_hit_rate(batch, choices, own).first()) == pytest.approx(tuple(baselines.hit_rate(pairs, own).first()))
