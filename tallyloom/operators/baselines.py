@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import difflib
+import itertools
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -89,19 +90,31 @@ def b3_pairs(batch: Batch) -> DataFrame:
     return _beside(b3_lines(batch), b3_ranks(batch)).select("settlement_id", "detail_id", "input_order", "amount_paise", "reference_text", "event_id", "parent", "similarity")
 
 
-#: Places down its list that a refused line looks at in a round.
+#: Refunds of a list that go in one row to the task that takes turns.
 AHEAD = 64
 
 
+def take_turns(lines: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+    """The lines of an amount by k, each with the first refund of its kind's list that is left; a place of a list is looked at once."""
+    left = {kind: itertools.chain.from_iterable(g.sort_values("at").events) for kind, g in lists.groupby("kind")}
+    taken, rows = set(), []
+    for r in lines.sort_values("k").itertuples():
+        event = next((e for e in left.get(r.kind, ()) if e not in taken), None)
+        if event is not None:
+            taken.add(event)
+            rows.append((r.settlement_id, event, r.detail_id))
+    return pd.DataFrame(rows, columns=["settlement_id", "event_id", "detail_id"])
+
+
 def b3_claims(lines: DataFrame, ranks: DataFrame) -> DataFrame:
     """B3: each line in file order takes the most similar refund left; ties go to the larger id.
 
-    lines: b3_lines; ranks: b3_ranks.  Taking turns in file order is the same as
-    asking in rounds, where each refund keeps the earliest line that has asked for
-    it and the others go on to the next refund that an earlier line does not hold.
-    Lines that rank the refunds alike are a class: the i-th of a class gets none of
-    its first i - 1 refunds, and each gets one further down than the line before,
-    so a whole class moves on at once.
+    lines: b3_lines; ranks: b3_ranks.  Lines that rank the refunds alike are a
+    class, and the i-th of a class is at its i-th refund.  Where no two lines of an
+    amount are at the same refund, which holds wherever there is one class, that is
+    the answer.  The other amounts, whose classes contest refunds, take turns: an
+    amount's lines are a sequence, so they meet in one task with its lists, while
+    amounts are dealt to tasks.
     """
     kind = ("amount_paise", "class")
     place = W.partitionBy("amount_paise", "reference_text").orderBy(F.desc("similarity"), F.desc("event_id"))
@@ -113,21 +126,21 @@ def b3_claims(lines: DataFrame, ranks: DataFrame) -> DataFrame:
     signs = kept(signs.select("amount_paise", "n", "own", "class"))
     ranked = kept(ranked.withColumn("class", note).join(signs.where("own = class").select(*kind), list(kind)).select(*kind, "pos", "event_id"))
     turn = F.struct("input_order", "settlement_id", "detail_id")
-    state = lines.withColumn("own", note).join(signs, ["amount_paise", "own"]).select(*kind, "n", turn.alias("turn"))
-    state = kept(state.withColumn("i", F.row_number().over(W.partitionBy(*kind).orderBy("turn"))).withColumn("at", F.col("i")))
-    moved = W.partitionBy(*kind).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    while True:
-        asked = state.join(ranked.withColumnRenamed("pos", "at"), [*kind, "at"])
-        holds = kept(asked.groupBy("event_id").agg(F.min("turn").alias("first")))
-        refused = asked.join(holds, "event_id").where(F.col("turn") > F.col("first")).select(*kind, "n", "turn", "at")
-        ahead = refused.withColumn("from", F.col("at")).withColumn("at", F.explode(F.sequence(F.col("at") + 1, F.least(F.col("at") + AHEAD, F.col("n") + 1))))
-        ahead = ahead.join(ranked.withColumnRenamed("pos", "at"), [*kind, "at"], "left").join(holds, "event_id", "left")
-        free = F.col("first").isNull() | (F.col("first") > F.col("turn"))
-        onward = kept(ahead.groupBy("turn").agg(F.coalesce(F.min(F.when(free, F.col("at"))), F.max("at")).alias("to")))
-        if onward.isEmpty():
-            return asked.select("turn.settlement_id", "event_id", "turn.detail_id")
-        state = state.join(onward, "turn", "left").withColumn("at", F.coalesce("to", "at")).drop("to")
-        state = kept(state.withColumn("at", F.col("i") + F.max(F.col("at") - F.col("i")).over(moved)))
+    state = lines.withColumn("own", note).join(signs, ["amount_paise", "own"]).select(*kind, turn.alias("turn"))
+    state = kept(state.withColumn("at", F.row_number().over(W.partitionBy(*kind).orderBy("turn"))))
+    asked = state.join(ranked.withColumnRenamed("pos", "at"), [*kind, "at"])
+    holds = kept(asked.groupBy("event_id").agg(F.min("turn").alias("first")))
+    contested = kept(asked.join(holds, "event_id").where(F.col("turn") > F.col("first")).select("amount_paise").distinct())
+    claims = asked.join(contested, "amount_paise", "left_anti").select("turn.settlement_id", "event_id", "turn.detail_id")
+    if contested.isEmpty():
+        return claims
+    kind = F.to_json("class").alias("kind")
+    place = F.row_number().over(W.partitionBy("amount_paise").orderBy("turn")).alias("k")
+    waiting = state.join(contested, "amount_paise", "left_semi").select("amount_paise", kind, place, "turn.settlement_id", "turn.detail_id")
+    lists = ranked.join(contested, "amount_paise", "left_semi").repartition("amount_paise").groupBy("amount_paise", kind, F.floor(F.col("pos") / AHEAD).alias("at"))
+    lists = lists.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "event_id"))), lambda x: x["event_id"]).alias("events"))
+    turns = waiting.groupBy("amount_paise").cogroup(lists.groupBy("amount_paise")).applyInPandas(take_turns, "settlement_id string, event_id string, detail_id string")
+    return claims.unionByName(turns)
 
 
 def b3_choices(batch: Batch) -> DataFrame:

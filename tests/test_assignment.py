@@ -183,3 +183,17 @@ def test_choices_answer_as_pairs_do(spark):
     assert tuple(baselines.panel(choices, baselines.b3_lines(batch)).first()) == pytest.approx(tuple(baselines.panel(pairs).first()))
     own = batch.detail.where("event_id is null and line_type = 'REFUND'").select("settlement_id", F.concat(F.lit("R"), "detail_id").alias("event_id"))
     assert tuple(baselines.line_hit_rate(batch, choices, own).first()) == pytest.approx(tuple(baselines.hit_rate(pairs, own).first()))
+
+
+def test_contested_amounts_take_turns_in_one_round(spark, monkeypatch):
+    """Two classes that chase each other down their lists, some twenty thousand places, are settled without further rounds."""
+    rounds, keep = [], baselines.kept
+    monkeypatch.setattr(baselines, "kept", lambda df: rounds.append(1) or keep(df))
+    n = 5000
+    lines = spark.range(n).select(F.lit("s").alias("settlement_id"), F.format_string("d%05d", "id").alias("detail_id"), F.col("id").alias("input_order"), F.lit(7).cast("long").alias("amount_paise"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("reference_text"))
+    rank = lambda note, score: spark.range(n).select(F.lit(7).cast("long").alias("amount_paise"), F.lit(note).alias("reference_text"), F.format_string("e%05d", "id").alias("event_id"), F.lit("p").alias("parent"), score.cast("double").alias("similarity"))
+    ranks = rank("a", F.lit(0.0)).unionByName(rank("b", F.when(F.col("id") == 0, 1.0).otherwise(0.0)))
+    got = {r.detail_id: r.event_id for r in baselines.b3_claims(lines, ranks).collect()}
+    want = ["e04999", "e00000", *(f"e{i:05d}" for i in range(n - 2, 0, -1))]
+    assert got == {f"d{i:05d}": e for i, e in enumerate(want)}
+    assert len(rounds) == 5
