@@ -42,8 +42,10 @@ def _struct(schema: str, **fields: Column) -> Column:
     return F.struct(*(fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in whole.fields))
 
 
-def _record(action: Column, stage: Column, ids: Column, rule: Column, confidence: Column, overridable: bool, reasoning: Column, inputs: Column, result: Column, *order: Column) -> list[Column]:
-    return [action.alias("action"), stage.alias("stage"), S.subject(ids).alias("subject"), rule.alias("rule"), confidence.cast("double").alias("confidence"), F.lit(overridable).alias("overridable"), reasoning.alias("reasoning"), inputs.alias("inputs"), result.alias("result"), F.struct(*order).alias("place")]
+def _record(action: Column, stage: Column, ids: Column, rule: Column, confidence: Column, overridable: bool, reasoning: Column, inputs: Column, result: Column, *order: Column, spoken: Column | None = None) -> list[Column]:
+    """spoken: whether there is a reasoning, where that follows from less than all of it."""
+    spoken = F.trim(reasoning) != "" if spoken is None else spoken
+    return [action.alias("action"), stage.alias("stage"), S.subject(ids).alias("subject"), rule.alias("rule"), confidence.cast("double").alias("confidence"), F.lit(overridable).alias("overridable"), reasoning.alias("reasoning"), inputs.alias("inputs"), result.alias("result"), F.struct(*order).alias("place"), spoken.alias("spoken")]
 
 
 def build(run: LadderRun, decided: DataFrame, batch: Batch | None = None, allocations: DataFrame | None = None, timestamp: str | None = None) -> DataFrame:
@@ -78,12 +80,12 @@ def build(run: LadderRun, decided: DataFrame, batch: Batch | None = None, alloca
     unheard = F.raise_error(F.concat(F.lit("no action for outcome "), F.coalesce(F.col("outcome"), F.lit("null"))))
     action = F.coalesce(S.lookup(F.col("outcome"), ACTION_BY_OUTCOME, None), unheard)
     why = F.concat_ws("; ", F.col("outcome"), F.array_join("evidence", "; "))
-    final = decided.select(*_record(action, F.lit(DISPOSITION), F.array("case_id"), F.lit("controller/disposition"), F.col("confidence"), True, why, _struct(INPUTS, **given), _struct(RESULT, outcome=F.col("outcome"), category=F.col("category")), *place(2, F.lit(""), F.col("case_id"))))
+    final = decided.select(*_record(action, F.lit(DISPOSITION), F.array("case_id"), F.lit("controller/disposition"), F.col("confidence"), True, why, _struct(INPUTS, **given), _struct(RESULT, outcome=F.col("outcome"), category=F.col("category")), *place(2, F.lit(""), F.col("case_id")), spoken=F.trim("outcome") != ""))
     rows = claims.unionByName(held).unionByName(rejected).unionByName(final)
     rows = rows.withColumn("decision_id", S.decision_id(F.col("action"), F.col("stage"), F.col("subject"))).withColumn("timestamp", F.lit(timestamp).cast("string"))
     wrong = _invalid(rows)
     rows = rows.withColumn("decision_id", F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.lit(": "), F.coalesce("decision_id", F.lit("null"))))).otherwise(F.col("decision_id")))
-    return rows.withColumn("body", codec.encoded(rows, *T.StructType.fromDDL(RECORD).names))
+    return rows.withColumn("body", codec.encoded(rows, *T.StructType.fromDDL(RECORD).names)).drop("spoken")
 
 
 def decisions(sealed: DataFrame) -> DataFrame:
@@ -109,7 +111,8 @@ def _invalid(rows: DataFrame) -> Column:
     known = lambda c, some: F.coalesce(F.col(c).isin(*some), F.lit(False))
     why = F.when(~known("stage", STAGES), "no such stage").when(~known("action", ACTIONS), "no such action").when(~subject, "empty subject").when(~sure, "confidence out of range")
     for text in (c for c in ("rule", "reasoning") if c in rows.columns):
-        why = why.when(~filled(text), f"no {text}")
+        some = F.coalesce("spoken", F.lit(False)) if text == "reasoning" and "spoken" in rows.columns else filled(text)
+        why = why.when(~some, f"no {text}")
     return why.when(F.col("overridable").isNull(), "neither overridable nor not") if "overridable" in rows.columns else why
 
 

@@ -29,9 +29,13 @@ ABSTENTION = "settlement_id string, detail_id string, pass_name string, candidat
 
 @dataclass(frozen=True)
 class PassResult:
+    """waiting: the lines that abstain, without their candidates; listed: makes abstentions of some of them.  A rung whose lines share candidates gives these, so that lists are joined to lines last and never shuffled with them."""
+
     claims: DataFrame
     abstentions: DataFrame
     counters: DataFrame
+    waiting: DataFrame | None = None
+    listed: Callable[[DataFrame], DataFrame] | None = None
 
 
 Rung = Callable[[Batch, DataFrame], PassResult]
@@ -148,19 +152,25 @@ def refund_corroboration(batch: Batch, consumed: DataFrame, window_days: int = W
     events = found.events.where("parent and not taken and event_type = 'REFUND'").select("event_id", "amount_paise", "currency", "created_on")
     day = ("amount_paise", "currency", "settled_on")
     named = judged.where("feasible").join(events, ["amount_paise", "currency", "created_on"]).groupBy(*day).agg(F.array_sort(F.collect_list("event_id")).alias("allowed"))
-    by_day = judged.groupBy(*day).agg(F.sum("n_events").alias("n_local")).join(named, list(day), "left").withColumnRenamed("currency", "line_currency")
+    by_day = kept(judged.groupBy(*day).agg(F.sum("n_events").alias("n_local")).join(named, list(day), "left").withColumn("n", F.size(F.coalesce("allowed", F.array().cast("array<string>")))))
+    by_day = by_day.withColumnRenamed("currency", "line_currency")
+    day = ["amount_paise", "line_currency", "settled_on"]
     open_ = (F.col("line_type") == "REFUND") & F.col("outflow") & F.col("ties")
     lines = found.lines.select("detail_id", "settlement_id", "amount_paise", "settled_on", F.when(open_, F.col("line_currency")).alias("line_currency"))
-    none = F.array().cast("array<string>")
-    state = lines.join(by_day, ["amount_paise", "line_currency", "settled_on"], "left").select("detail_id", "settlement_id", "n_local", F.coalesce("allowed", none).alias("allowed"))
-    state = kept(state.withColumn("n", F.when(F.col("n_local").isNull(), -1).otherwise(F.size("allowed"))))
-    claims = state.where("n = 1").select("settlement_id", F.col("allowed")[0].alias("event_id"), "detail_id", F.lit(name).alias("pass_name"), F.lit("CONFIRMED").alias("tier"), F.lit(1.0).alias("confidence"), F.lit(0).cast("long").alias("emit_order"))
+    few = by_day.select(*day, "n", F.when(F.col("n") == 1, F.col("allowed")[0]).alias("only"))
+    state = kept(lines.join(few, day, "left").withColumn("n", F.coalesce("n", F.lit(-1))))
+    claims = state.where("n = 1").select("settlement_id", F.col("only").alias("event_id"), "detail_id", F.lit(name).alias("pass_name"), F.lit("CONFIRMED").alias("tier"), F.lit(1.0).alias("confidence"), F.lit(0).cast("long").alias("emit_order"))
     reason = F.format_string("%d candidates survive gates 1-8 (%s); gate 9 requires exactly one", F.size("allowed"), F.array_join("allowed", ", "))
-    abstentions = state.where("n > 1 or n = 0").select("settlement_id", "detail_id", F.lit(name).alias("pass_name"), F.col("allowed").alias("candidate_event_ids"), reason.alias("reason"))
+    waiting = state.where("n > 1 or n = 0").select("settlement_id", "detail_id", *day)
+
+    def listed(some: DataFrame) -> DataFrame:
+        lists = by_day.select(*day, F.coalesce("allowed", F.array().cast("array<string>")).alias("allowed"))
+        return some.join(lists, day).select("settlement_id", "detail_id", F.lit(name).alias("pass_name"), F.col("allowed").alias("candidate_event_ids"), reason.alias("reason"))
+
     gates = _counters(found.classes, name, candidates_by_amount=F.sum("n_pairs"), **{g: F.sum(F.when(F.col("first_failed") == g, F.col("n_pairs"))) for g in GATES[:6]})
     gates = gates.unionByName(_counters(judged, name, gate_8_feasibility=F.sum(F.when(~F.col("feasible"), F.col("n_lines") * F.col("n_events")))))
     gates = gates.unionByName(_counters(state, name, examined=F.count("*"), resolved=F.count_if(F.col("n") == 1), abstained=F.count_if((F.col("n") > 1) | (F.col("n") == 0)), unexplained=F.count_if(F.col("n") == -1), gate_9_uniqueness=F.count_if((F.col("n") > 1) | (F.col("n") == 0))))
-    return PassResult(claims, abstentions, gates)
+    return PassResult(claims, listed(waiting), gates, waiting, listed)
 
 
 JOIN_ONLY: tuple[tuple[str, Rung], ...] = (("exact_join", exact_join),)
@@ -194,7 +204,7 @@ def run_ladder(batch: Batch, ladder: Sequence[tuple[str, Rung]] = DEFAULT, resid
     """The rungs in turn; residual, a last rung, sees only the abstentions still open."""
     spark = batch.detail.sparkSession
     accepted = spark.createDataFrame([], CLAIM + ", rung int")
-    rejected, abstained, counters = None, None, None
+    rejected, abstained, counters, results = None, None, None, []
     rungs = [*ladder] + ([("adjudication", None)] if residual else [])
     for k, (_, rung) in enumerate(rungs):
         consumed = accepted.select("event_id").distinct()
@@ -206,6 +216,17 @@ def run_ladder(batch: Batch, ladder: Sequence[tuple[str, Rung]] = DEFAULT, resid
         rejected = no if rejected is None else rejected.unionByName(no)
         own = result.abstentions.withColumn("rung", F.lit(k))
         abstained = own if abstained is None else abstained.unionByName(own)
+        results.append(result)
         counters = result.counters if counters is None else counters.unionByName(result.counters)
-    last = abstained.join(accepted, "detail_id", "left_anti").withColumn("nth", F.row_number().over(W.partitionBy("detail_id").orderBy(F.desc("rung"))))
-    return LadderRun(accepted, rejected, last.where("nth = 1").drop("nth", "rung"), counters)
+    waits = lambda r: r.abstentions if r.waiting is None else r.waiting
+    last = None
+    for k, r in enumerate(results):
+        own = waits(r).select("detail_id", F.lit(k).alias("rung"))
+        last = own if last is None else last.unionByName(own)
+    last = last.join(accepted, "detail_id", "left_anti").groupBy("detail_id").agg(F.max("rung").alias("rung"))
+    held = None
+    for k, r in enumerate(results):
+        own = waits(r).join(last.where(F.col("rung") == k), "detail_id", "left_semi")
+        own = (own if r.listed is None else r.listed(own)).select("settlement_id", "detail_id", "pass_name", "candidate_event_ids", "reason")
+        held = own if held is None else held.unionByName(own)
+    return LadderRun(accepted, rejected, held, counters)

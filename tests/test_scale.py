@@ -14,3 +14,27 @@ def test_words_are_counted_without_their_texts(spark):
     exchanges = [i for i, line in enumerate(plan.splitlines()) if "Exchange" in line]
     generates = [i for i, line in enumerate(plan.splitlines()) if "Generate" in line]
     assert generates and exchanges and max(generates) < min(exchanges)
+
+
+def test_lines_are_shuffled_once(spark):
+    from tallyloom.plans import testbed as T
+
+    T.views(spark, "/root/testdata/sf0.001", "words_t")
+    for name in ("first_t", "duplicates_t"):
+        plain, quick = (spark.sql(T.with_views(f"select * from {name}", name, views=v)) for v in (T.VIEWS, T.SPARK_VIEWS))
+        assert quick.exceptAll(plain).count() == plain.exceptAll(quick).count() == 0
+    first = spark.sql(T.with_views("select * from first_t", "first_t", views=T.SPARK_VIEWS))
+    plan = spark._jvm.PythonSQLUtils.explainString(first._jdf.queryExecution(), "simple")
+    assert sum("Exchange" in line for line in plan.splitlines()) == 2
+
+
+def test_candidates_are_not_kept_with_each_line(spark, monkeypatch):
+    """Lines of an amount and day share their candidates, which are kept once and joined last."""
+    from tallyloom.operators import ladder
+    from tallyloom.plans import testbed as T
+
+    seen, keep = [], ladder.kept
+    monkeypatch.setattr(ladder, "kept", lambda df: seen.append(df.schema) or keep(df))
+    ladder.run_ladder(T.batch(spark, "/root/testdata/sf0.001"))
+    lists = [s.names for s in seen if any("array" in f.dataType.simpleString() for f in s.fields)]
+    assert lists and not any("detail_id" in names for names in lists)
