@@ -97,11 +97,19 @@ def n_candidates(batch: Batch) -> DataFrame:
 
 @dataclass(frozen=True)
 class Gated:
-    """classes: lines and events alike in all that gates 1 and 3 to 7 ask, in pairs of equal amount, with n_pairs and first_failed, the first of the gates that they fail (null: none)."""
+    """classes: lines and events alike in all that gates 1 and 3 to 7 ask, in pairs of equal amount that pass gates 1 and 3, with n_pairs and first_failed, the first of the other gates that they fail (null: none); totals: one row, all pairs of equal amount (n_all) and those of taken events (n_taken)."""
 
     lines: DataFrame
     events: DataFrame
     classes: DataFrame
+    totals: DataFrame
+
+    def counts(self) -> DataFrame:
+        """(first_failed, n_pairs) of all pairs of equal amount; those out of the window are what is left of the totals."""
+        near = self.classes.groupBy("first_failed").agg(F.sum("n_pairs").alias("n_pairs"))
+        far = self.totals.crossJoin(self.classes.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_near")))
+        rest = F.array(F.struct(F.lit(GATES[0]).alias("first_failed"), F.col("n_taken").alias("n_pairs")), F.struct(F.lit(GATES[1]).alias("first_failed"), (F.col("n_all") - F.col("n_taken") - F.col("n_near")).alias("n_pairs")))
+        return near.unionByName(far.select(F.explode(rest).alias("x")).select("x.*").where("n_pairs > 0"))
 
     def pairs(self) -> DataFrame:
         """(amount_paise, currency, settled_on, created_on, n_lines, n_events) of pairs that fail none of these gates, by days."""
@@ -118,20 +126,30 @@ def gated(batch: Batch, consumed: DataFrame | None, window_days: int = WINDOW_DA
     """Candidates through gates 1 and 3 to 7.
 
     A pair's fate depends on its days, currencies, kinds and flags only, so
-    classes of these are paired, at most as many as an amount has days, and only
-    pairs that survive are made of lines and events.
+    classes of these are paired.  Pairs of taken events and pairs out of the window
+    are only counted, by amount; the others meet by amount and day, a line class
+    with the events of its window, or with all where a day is null, which the
+    window does not judge.
     """
     lines, events = _sides(batch, consumed)
-    pairs = lines.groupBy(*_LINE).agg(F.count("*").alias("n_lines")).join(events.groupBy(*_EVENT).agg(F.count("*").alias("n_events")), "amount_paise")
+    own, other = lines.groupBy(*_LINE).agg(F.count("*").alias("n_lines")), events.groupBy(*_EVENT).agg(F.count("*").alias("n_events"))
+    n = F.col("n_events")
+    by_amount = other.groupBy("amount_paise").agg(F.sum(n).alias("n_all"), F.sum(F.when(F.col("taken"), n).otherwise(0)).alias("n_taken"))
+    sums = own.groupBy("amount_paise").agg(F.sum("n_lines").alias("n_lines")).join(by_amount, "amount_paise")
+    totals = sums.agg(*(F.coalesce(F.sum(F.col("n_lines") * F.col(c)), F.lit(0)).alias(c) for c in ("n_all", "n_taken")))
+    free = other.where("not taken")
+    columns = [*_LINE, *_EVENT[1:], "n_lines", "n_events"]
+    days = own.where("settled_on is not null").withColumn("created_on", F.explode(F.sequence(F.date_sub("settled_on", window_days), F.col("settled_on"))))
+    pairs = days.join(free, ["amount_paise", "created_on"]).select(*columns)
+    for some, any_ in ((own.where("settled_on is null"), free), (own.where("settled_on is not null"), free.where("created_on is null"))):
+        pairs = pairs.unionByName(some.join(any_, "amount_paise").select(*columns))
     failed = (
-        F.when(F.col("taken"), GATES[0])
-        .when(~F.datediff("settled_on", "created_on").between(0, window_days), GATES[1])
-        .when(F.col("currency") != F.col("line_currency"), GATES[2])
+        F.when(F.col("currency") != F.col("line_currency"), GATES[2])
         .when(~F.col("parent"), GATES[3])
         .when((F.col("event_type") != "REFUND") | (F.col("line_type") != "REFUND") | ~F.col("outflow"), GATES[4])
         .when(~F.col("ties"), GATES[5])
     )
-    return Gated(lines, events, pairs.select("*", (F.col("n_lines") * F.col("n_events")).alias("n_pairs"), failed.alias("first_failed")))
+    return Gated(lines, events, kept(pairs.select("*", (F.col("n_lines") * F.col("n_events")).alias("n_pairs"), failed.alias("first_failed"))), totals)
 
 
 def feasible(found: Gated, window_days: int = WINDOW_DAYS) -> DataFrame:
@@ -167,7 +185,7 @@ def refund_corroboration(batch: Batch, consumed: DataFrame, window_days: int = W
         lists = by_day.select(*day, F.coalesce("allowed", F.array().cast("array<string>")).alias("allowed"))
         return some.join(lists, day).select("settlement_id", "detail_id", F.lit(name).alias("pass_name"), F.col("allowed").alias("candidate_event_ids"), reason.alias("reason"))
 
-    gates = _counters(found.classes, name, candidates_by_amount=F.sum("n_pairs"), **{g: F.sum(F.when(F.col("first_failed") == g, F.col("n_pairs"))) for g in GATES[:6]})
+    gates = _counters(found.counts(), name, candidates_by_amount=F.sum("n_pairs"), **{g: F.sum(F.when(F.col("first_failed") == g, F.col("n_pairs"))) for g in GATES[:6]})
     gates = gates.unionByName(_counters(judged, name, gate_8_feasibility=F.sum(F.when(~F.col("feasible"), F.col("n_lines") * F.col("n_events")))))
     gates = gates.unionByName(_counters(state, name, examined=F.count("*"), resolved=F.count_if(F.col("n") == 1), abstained=F.count_if((F.col("n") > 1) | (F.col("n") == 0)), unexplained=F.count_if(F.col("n") == -1), gate_9_uniqueness=F.count_if((F.col("n") > 1) | (F.col("n") == 0))))
     return PassResult(claims, listed(waiting), gates, waiting, listed)

@@ -38,3 +38,20 @@ def test_candidates_are_not_kept_with_each_line(spark, monkeypatch):
     ladder.run_ladder(T.batch(spark, "/root/testdata/sf0.001"))
     lists = [s.names for s in seen if any("array" in f.dataType.simpleString() for f in s.fields)]
     assert lists and not any("detail_id" in names for names in lists)
+
+
+def test_days_out_of_the_window_are_counted_and_not_paired(spark):
+    """An amount with 300 days of lines and 300 of events makes pairs of days within the window only; null days are judged by the other gates."""
+    from tallyloom.operators import ladder
+    from tallyloom.plans import testbed as T
+
+    days = "timestamp'2020-01-01' + make_interval(0, 0, 0, cast(id as int))"
+    batch = T.batch(spark, "/root/testdata/sf0.001")
+    line = spark.range(301).selectExpr("concat('d', id) as detail_id", "'s' as settlement_id", "cast(null as string) as event_id", "'REFUND' as line_type", "-5L as gross_effect_paise", f"case when id < 300 then {days} end as settled_at", "'INR' as currency", "0L as fee_paise", "0L as tax_paise", "-5L as net_effect_paise", "1 as input_order")
+    event = spark.range(301).selectExpr("concat('r', id) as event_id", "'REFUND' as event_type", "'t' as txn_id", "5L as amount_paise", "'INR' as currency", f"case when id < 300 then {days} end as created_at", "'PROCESSED' as status", "'m' as method")
+    import dataclasses
+
+    found = ladder.gated(dataclasses.replace(batch, ledger=event, detail=line), None)
+    near = sum(min(i, 4) + 1 for i in range(300))
+    assert found.classes.count() == near + 601
+    assert {tuple(r) for r in found.counts().collect()} == {("gate_3_window", 300 * 300 - near), ("gate_5_lineage", near + 601)}
