@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +25,8 @@ STAGES = tuple(f"S{n}" for n in range(7))
 ACTIONS = ("match", "exception", "abstain", "no_action")
 ACTION_BY_OUTCOME = {"RECONCILED": "match", "EXCEPTION": "exception", "NO_ACTION": "no_action", "ABSTAIN": "abstain"}
 GENESIS = "0" * 64
+#: Records of a range of the chain, which one task sorts and hashes.
+LINK = 250_000
 
 INPUTS = "settlement_id string, event_id string, detail_id string, event_amount_paise bigint, event_currency string, event_type string, event_txn_id string, line_net_effect_paise bigint, line_type string, line_settled_at string, candidate_event_ids array<string>, candidate_count bigint, proposed_by string, case_id string, allocations array<array<string>>, allocation_count bigint"
 RESULT = "settlement_id string, event_id string, candidates array<string>, outcome string, category string"
@@ -144,27 +146,55 @@ def enriched(run: LadderRun, batch: Batch) -> DataFrame:
     return both.withColumn("days", F.datediff("settled_on", "created_on"))
 
 
-def seal(rows: DataFrame) -> DataFrame:
-    """(seq, decision_id, body, previous_hash, record_hash): each hash takes in the one before.
+def seal(rows: DataFrame, link: int = LINK) -> DataFrame:
+    """(seq, decision_id, body, previous_hash, record_hash), written: each hash takes in the one before.
 
-    A chain is a sequence by nature: one task streams the sorted bodies and
-    holds one hash.  A decision_id that repeats is refused.
+    A chain is a sequence by nature.  Ranges of seq of about `link` records each are
+    hashed one after another, each by a task that sorts its own range and gives its
+    last hash only; then all ranges are hashed again side by side, each from the last
+    hash before it.  A decision_id that repeats is refused.
     """
     rows = kept(rows.select(F.col("seq").cast("long"), "decision_id", "body"))
     if twice := duplicates(rows).limit(5).collect():
         raise ValueError("decisions recorded twice: " + ", ".join(r.decision_id for r in twice))
+    # written, as ranges are sampled and could fall otherwise when computed again
+    ranges = max(1, -(-rows.count() // link))
+    dealt = kept(rows.repartitionByRange(ranges, "seq").withColumn("link", F.spark_partition_id()), "link")
+    links = [r.link for r in dealt.select("link").distinct().orderBy("link").collect()]
+    order, heads, last = ("seq", "decision_id"), {}, GENESIS
+    for n in links:
+        heads[n] = last
+        if n != links[-1]:
+            own = dealt.where(F.col("link") == n).select(*order, "body").coalesce(1).sortWithinPartitions(*order)
+            last = own.select("body").mapInArrow(_last_hash(last), "last string").first()["last"]
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = GENESIS
+        at, last = None, GENESIS
         for batch in batches:
             before, after = [], []
-            for body in batch.column("body").to_pylist():
+            for n, body in zip(batch.column("link").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                if n != at:
+                    at, last = n, heads[n]
                 before.append(last)
                 last = hashlib.sha256((last + body).encode()).hexdigest()
                 after.append(last)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("seq", "decision_id", "body")), pa.array(before, pa.string()), pa.array(after, pa.string())], ["seq", "decision_id", "body", "previous_hash", "record_hash"])
 
-    return rows.coalesce(1).sortWithinPartitions("seq").mapInArrow(chain, "seq bigint, decision_id string, body string, previous_hash string, record_hash string")
+    sorted_ = dealt.repartition(max(1, len(links)), "link").sortWithinPartitions("link", *order)
+    return kept(sorted_.mapInArrow(chain, "seq bigint, decision_id string, body string, previous_hash string, record_hash string"))
+
+
+def _last_hash(last: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The hash after all bodies of a task, from the hash before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = last
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                at = hashlib.sha256((at + body).encode()).hexdigest()
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.string())], ["last"])
+
+    return run
 
 
 def breaks(sealed: DataFrame) -> DataFrame:
@@ -187,8 +217,8 @@ def duplicates(rows: DataFrame) -> DataFrame:
 
 
 def write(sealed: DataFrame, path: str) -> None:
-    """JSON lines in order, in one part."""
-    sealed.select(F.to_json(F.struct("body", "previous_hash", "record_hash", "seq"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """JSON lines in order, in parts that follow one another by their names."""
+    sealed.orderBy("seq").select(F.to_json(F.struct("body", "previous_hash", "record_hash", "seq"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -206,7 +236,7 @@ def found(spark: SparkSession, root: str, name: str = "audit.jsonl") -> list[str
 
 def record(run: LadderRun, decided: DataFrame, path: str, batch: Batch | None = None, allocations: DataFrame | None = None, timestamp: str | None = None) -> DataFrame:
     """Builds, numbers, seals and writes the journal of a run in one call; returns it as it was sealed."""
-    sealed = kept(seal(numbered(build(run, decided, batch, allocations, timestamp))))
+    sealed = seal(numbered(build(run, decided, batch, allocations, timestamp)))
     write(sealed, path)
     return sealed
 

@@ -21,9 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df computed now, once, and read as Parquet from the shared folder from then on, with the columns and rows that are asked for."""
+def kept(df: DataFrame, *by: str) -> DataFrame:
+    """df computed now, once, and read as Parquet from the shared folder from then on, with the columns and rows that are asked for; by: columns of which each value has its own folder."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark).rstrip('/')}/tallyloom/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -1,5 +1,6 @@
 """Records with exact amounts, what a journal's records tell, and journals found in folders."""
 
+import hashlib
 import json
 from decimal import Decimal as D
 
@@ -130,3 +131,23 @@ def test_journals_are_found(spark, told, tmp_path):
     (tmp_path / "c" / "other.jsonl").write_text("{}\n")
     (tmp_path / "c" / "my-audit.jsonl").write_text("{}\n")
     assert [p.split(tmp_path.name)[1] for p in journal.found(spark, str(tmp_path))] == ["/a/audit.jsonl", "/b/2/audit.jsonl", "/c/audit.jsonl"]
+
+
+def test_a_chain_of_many_ranges_is_one_chain(spark):
+    rows = spark.range(1, 1001).select(F.col("id").alias("seq"), F.concat(F.lit("d"), "id").alias("decision_id"), F.concat(F.lit("körper "), F.col("id") * 7).alias("body")).repartition(5)
+    last, want = journal.GENESIS, []
+    for n in range(1, 1001):
+        before, last = last, hashlib.sha256((last + f"körper {n * 7}").encode()).hexdigest()
+        want.append((n, before, last))
+    for link in (70, 1000, 250_000):
+        sealed = journal.seal(rows, link)
+        assert [tuple(r) for r in sealed.orderBy("seq").select("seq", "previous_hash", "record_hash").collect()] == want
+        assert journal.breaks(sealed).count() == 0
+    assert journal.seal(rows.limit(0)).count() == 0
+
+
+def test_a_journal_of_many_files_is_written_in_order(spark, tmp_path):
+    rows = spark.range(1, 501).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("decision_id"), F.format_string('{"decision_id":"%d"}', "id").alias("body"))
+    journal.write(journal.seal(rows, 40), str(tmp_path / "audit.jsonl"))
+    lines = [json.loads(line)["seq"] for part in sorted((tmp_path / "audit.jsonl").glob("part-*")) for line in part.read_text().splitlines()]
+    assert lines == list(range(1, 501)) and journal.read(spark, str(tmp_path / "audit.jsonl")).count() == 500
