@@ -43,8 +43,20 @@ def _checked(t: T.DataType, where: str) -> bool:
     raise Foreign(f"{where}: no place for {t.simpleString()} in a record")
 
 
+def _as_it_is(t: T.DataType) -> bool:
+    """Whether to_json writes a type as a record has it."""
+    if isinstance(t, T.ArrayType):
+        return _as_it_is(t.elementType)
+    if isinstance(t, T.StructType):
+        names = [f.name for f in t.fields]
+        return names == sorted(names) and all(_as_it_is(f.dataType) for f in t.fields)
+    return isinstance(t, _PLAIN)
+
+
 def _written(c: Column, t: T.DataType) -> Column:
     """c with amounts as text, maps in order of their keys; a number that is none is an error."""
+    if _as_it_is(t):
+        return c
     if isinstance(t, T.DecimalType):
         return exact_money(c)
     if isinstance(t, (T.FloatType, T.DoubleType)):
@@ -88,13 +100,14 @@ def encoded(df: DataFrame, *columns: str) -> Column:
     for f in schema.fields:
         _checked(f.dataType, f.name)
     paths = F.concat(F.lit("[["), F.array_join(_all_paths({c: F.col(c) for c in columns}, schema), "],["), F.lit("]]"))
-    text = {PATHS: F.when(paths == "[[]]", F.lit("[]")).otherwise(paths)}
-    for f in schema.fields:
-        # {"v":...} less its frame; a null leaves nothing in the frame
-        value = F.to_json(F.struct(_written(F.col(f.name), f.dataType).alias("v")))
-        text[f.name] = F.when(F.col(f.name).isNull(), F.lit("null")).otherwise(F.substring(value, F.lit(6), F.length(value) - 6))
-    parts = [F.concat(F.lit(("," if i else "{") + json.dumps(k) + ":"), text[k]) for i, k in enumerate(sorted(text))]
-    return F.concat(*parts, F.lit("}"))
+    # a field is written alone as {"v":...}, or as {} where it is null; a lambda's variable holds the text, so that it is made once
+    listed = F.when(paths == "[[]]", F.lit("[]")).otherwise(paths) if _checked(schema, "") else F.lit("[]")
+    alone = {f.name: F.to_json(F.struct(_written(F.col(f.name), f.dataType).alias("v"))) for f in schema.fields}
+    alone[PATHS] = F.concat(F.lit('{"v":'), listed, F.lit("}"))
+    names = sorted(alone)
+    keys = F.array(*(F.lit(json.dumps(k) + ":") for k in names))
+    told = lambda k, v: F.concat(k, F.when(v == "{}", "null").otherwise(F.substring(v, F.lit(6), F.length(v) - 6)))
+    return F.concat(F.lit("{"), F.array_join(F.zip_with(keys, F.array(*(alone[k] for k in names)), told), ","), F.lit("}"))
 
 
 def _as_text(t: T.DataType) -> T.DataType:
@@ -111,6 +124,8 @@ def _as_text(t: T.DataType) -> T.DataType:
 
 
 def _read(c: Column, t: T.DataType) -> Column:
+    if not _checked(t, ""):
+        return c
     if isinstance(t, T.DecimalType):
         wrong = F.raise_error(F.concat(F.lit("not an amount of two places: "), c)).cast(t)
         return F.when(c.isNull() | c.rlike(r"^-?(0|[1-9][0-9]*)\.[0-9]{2}\z"), c.cast(t)).otherwise(wrong)
@@ -130,13 +145,13 @@ def decoded(text: Column, schema: T.StructType | str) -> Column:
         _checked(f.dataType, f.name)
     names = sorted([*(f.name for f in schema.fields), PATHS])
     told = F.regexp_extract(text, r'"decimal_paths":\[(\[.*?\])?\](?:,"|\}\z)', 1)
-    keys = F.array_sort(F.json_object_keys(text))
+    keys = F.sort_array(F.json_object_keys(text))
     raw = F.from_json(text, _as_text(schema), {"mode": "FAILFAST"})
 
     def checked(x: Column) -> Column:
         row = {f.name: x["raw"][f.name] for f in schema.fields}
         # what the record says, and what its amounts would have it say
-        real = F.array_join(F.transform(_all_paths(row, schema), lambda p: F.concat(F.lit("["), p, F.lit("]"))), ",")
+        real = F.array_join(F.transform(_all_paths(row, schema), lambda p: F.concat(F.lit("["), p, F.lit("]"))), ",") if _checked(schema, "") else F.lit("")
         why = F.when(x["keys"].isNull(), "no record").when(x["keys"] != F.array(*map(F.lit, names)), "other fields than the schema's").when(x["told"] != real, "paths that are not its amounts'")
         fields = F.struct(*(_read(row[f.name], f.dataType).alias(f.name) for f in schema.fields))
         said = F.concat(F.lit("bad record, "), why, F.lit(": "), F.substring(F.coalesce(x["text"], F.lit("null")), 1, 200))

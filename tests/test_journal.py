@@ -151,3 +151,9 @@ def test_a_journal_of_many_files_is_written_in_order(spark, tmp_path):
     journal.write(journal.seal(rows, 40), str(tmp_path / "audit.jsonl"))
     lines = [json.loads(line)["seq"] for part in sorted((tmp_path / "audit.jsonl").glob("part-*")) for line in part.read_text().splitlines()]
     assert lines == list(range(1, 501)) and journal.read(spark, str(tmp_path / "audit.jsonl")).count() == 500
+
+
+def test_each_field_of_a_record_is_written_once(records):
+    df, _ = records
+    plan = df.select(codec.encoded(df, "id", "flag", "plain", "d").alias("text"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("to_json") == 4
