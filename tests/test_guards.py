@@ -76,3 +76,17 @@ def test_calls_are_priced_by_model(spark):
     got = {r.model: (r.calls, float(r.usd)) for r in evidence.costs(calls, prices).collect()}
     assert got == {"a": (2, 3 + 0.15 + 3.0), "b": (1, 0.0), None: (1, 0.0)}
     assert evidence.costs(calls.limit(0), prices).collect() == []
+
+
+def test_explained_lines_meet_findings_and_not_all_lines(spark):
+    from tallyloom.operators import controls
+    from tallyloom.plans import testbed
+
+    b = testbed.batch(spark, "/root/testdata/sf0.001")
+    missing = controls.line_findings(b).where("category = 'UNATTRIBUTED_SETTLEMENT_LINE'").count()
+    one = b.detail.where("event_id is null").select("detail_id").limit(1)
+    left = controls.line_findings(b, one.union(one)).groupBy("category").count().collect()
+    whole = {r.category: r["count"] for r in controls.line_findings(b).groupBy("category").count().collect()}
+    assert {r.category: r["count"] for r in left} == whole | {"UNATTRIBUTED_SETTLEMENT_LINE": missing - 1}
+    plan = controls.line_findings(b, one)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "Join LeftOuter, (detail_id" not in plan
