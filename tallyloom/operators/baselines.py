@@ -34,15 +34,17 @@ def unconsumed_refunds(batch: Batch) -> DataFrame:
     return batch.ledger.where("event_type = 'REFUND'").join(batch.detail.select("event_id").where("event_id is not null"), "event_id", "left_anti")
 
 
-def b2_claims(batch: Batch, order: DataFrame) -> DataFrame:
+def b2_claims(batch: Batch, order: DataFrame | None = None) -> DataFrame:
     """B2: the k-th anonymous refund line of an amount, in the visit order, takes the k-th free refund by id.
 
-    order: (settlement_id, visit), the settlements as cases visit them.
+    order: (settlement_id, visit), the settlements as cases visit them; by default
+    all of them, by id.
     """
-    lines = batch.detail.where("event_id is null and line_type = 'REFUND'").join(order, "settlement_id").withColumn("amount_paise", F.abs("gross_effect_paise"))
-    lines = lines.withColumn("k", F.row_number().over(W.partitionBy("amount_paise").orderBy("visit", "input_order")))
-    events = unconsumed_refunds(batch).withColumn("k", F.row_number().over(W.partitionBy("amount_paise").orderBy("event_id")))
-    return lines.select("settlement_id", "detail_id", "amount_paise", "k").join(events.select("event_id", "amount_paise", "k"), ["amount_paise", "k"]).select("settlement_id", "event_id", "detail_id")
+    lines = batch.detail.where("event_id is null and line_type = 'REFUND' and settlement_id is not null")
+    lines = lines.withColumn("visit", F.col("settlement_id")) if order is None else lines.join(order, "settlement_id")
+    lines = lines.select("settlement_id", "detail_id", F.abs("gross_effect_paise").alias("amount_paise"), F.row_number().over(W.partitionBy(F.abs("gross_effect_paise")).orderBy("visit", "input_order")).alias("k"))
+    events = unconsumed_refunds(batch).select("event_id", "amount_paise", F.row_number().over(W.partitionBy("amount_paise").orderBy("event_id")).alias("k"))
+    return lines.join(events, ["amount_paise", "k"]).select("settlement_id", "event_id", "detail_id")
 
 
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:

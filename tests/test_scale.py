@@ -55,3 +55,28 @@ def test_days_out_of_the_window_are_counted_and_not_paired(spark):
     near = sum(min(i, 4) + 1 for i in range(300))
     assert found.classes.count() == near + 601
     assert {tuple(r) for r in found.counts().collect()} == {("gate_3_window", 300 * 300 - near), ("gate_5_lineage", near + 601)}
+
+
+def test_lines_are_dealt_by_their_number(spark):
+    """A task numbers so many lines at most, whatever the session's partitions; an order's lines stay together."""
+    from tallyloom.plans import testbed as T
+
+    lines = spark.range(4000).selectExpr("id div 4 as l_orderkey", "id")
+    assert T.spread(lines, 100).rdd.getNumPartitions() == 40
+    assert T.spread(lines, 10_000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert T.spread(lines, 100).selectExpr("l_orderkey", "spark_partition_id() as task").distinct().count() == 1000
+
+
+def test_ranks_ask_for_ledger_and_lines_alone(spark):
+    """The second baseline neither makes totals and bank rows nor joins settlements to themselves, with equal claims."""
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import baselines
+    from tallyloom.plans import testbed as T
+
+    batch = T.sides(spark, "/root/testdata/sf0.001")
+    assert batch.summary is batch.bank is None
+    batch = type(batch)(batch.ledger, batch.detail.withColumn("settlement_id", F.when(F.col("input_order") > 1, F.col("settlement_id"))), None, None, None, None)
+    order = batch.detail.select("settlement_id").distinct().withColumn("visit", F.col("settlement_id"))
+    plain, quick = baselines.b2_claims(batch, order), baselines.b2_claims(batch)
+    assert quick.count() and quick.exceptAll(plain).count() == plain.exceptAll(quick).count() == 0
