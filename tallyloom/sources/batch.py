@@ -76,7 +76,16 @@ def load_events(spark: SparkSession, path: str) -> DataFrame:
 
 def keep_first(detail: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Unique lines by detail_id, the first in the file, and how many repeats each settlement's rows have."""
-    ranked = detail.withColumn("nth", F.row_number().over(W.partitionBy("detail_id").orderBy("input_order")))
+    return told_apart(numbered(detail))
+
+
+def numbered(detail: DataFrame) -> DataFrame:
+    """detail with nth, a row's place among those of its detail_id in the file."""
+    return detail.withColumn("nth", F.row_number().over(W.partitionBy("detail_id").orderBy("input_order")))
+
+
+def told_apart(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """keep_first of lines that are numbered already."""
     again = ranked.where("nth > 1").groupBy("settlement_id").agg(F.count("*").alias("n_duplicates"))
     return ranked.where("nth = 1").drop("nth"), again
 

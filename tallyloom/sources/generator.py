@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.scalars import round_half_up
 from tallyloom.operators.controls import rollup
 from tallyloom.sources import catalogue
-from tallyloom.sources.batch import Batch, keep_first
+from tallyloom.sources.batch import Batch, numbered, told_apart
 from tallyloom.sources.kept import kept
 from tallyloom.sources.ordering import permuted
 
@@ -293,8 +293,8 @@ def generate(spark: SparkSession, config: Config = Config()) -> Dataset:  # noqa
         fee.alias("fee_paise"), tax.alias("tax_paise"), "settled_at", "currency", "reference_text", F.explode(F.when(_is("DUPLICATE_DETAIL_EXPORT") & (F.col("k") <= 2), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
     )
     lines = lines.withColumn("net_effect_paise", F.col("gross_effect_paise") - F.col("fee_paise") - F.col("tax_paise"))
-    raw = kept(permuted(lines, config.seed, "detail_id", "copy", name="input_order").drop("copy"))
-    first, dups = keep_first(raw)
+    ranked = kept(numbered(permuted(lines, config.seed, "detail_id", "copy", name="input_order").drop("copy")))
+    raw, (first, dups) = ranked.drop("nth"), told_apart(ranked)
 
     about = events.where("slot > 0").groupBy("settlement_id").agg(F.first("no").alias("no"), F.first("scenario").alias("scenario"), F.first("slot").alias("slot"), F.max(F.to_date("settled_at")).alias("settlement_date"))
     count = first.groupBy("settlement_id").agg(F.count("*").cast("int").alias("line_count"))

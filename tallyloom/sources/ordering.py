@@ -8,6 +8,9 @@ from pyspark.sql.window import Window as W
 
 from tallyloom.sources.kept import kept
 
+#: Ranges of a hash by its upper bits.
+RANGE_BITS = 12
+
 
 def placed(df: DataFrame, *order: str | Column, name: str = "place") -> DataFrame:
     """df with its place from 0 in an order, which should be total.
@@ -24,8 +27,16 @@ def placed(df: DataFrame, *order: str | Column, name: str = "place") -> DataFram
 
 
 def permuted(df: DataFrame, seed: int, *key: str, name: str = "place") -> DataFrame:
-    """df with its place from 0 in a permutation drawn by the seed: rows are ordered by a hash of it and their key, which should be unique."""
-    return placed(df.withColumn("_draw", F.xxhash64(F.lit(seed), *key)), "_draw", *key, name=name).drop("_draw")
+    """df with its place from 0 in a permutation drawn by the seed: rows are ordered by a hash of it and their key, which should be unique.
+
+    The upper bits of the hash are even ranges, so that none need be found by
+    sampling, for which df would be computed twice.
+    """
+    drawn = df.withColumn("_draw", F.xxhash64(F.lit(seed), *key)).withColumn("_range", F.shiftright("_draw", 64 - RANGE_BITS))
+    dealt = kept(drawn.withColumn("_at", F.row_number().over(W.partitionBy("_range").orderBy("_draw", *key))).drop("_draw"))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) - 1).alias("_shift"))
+    return dealt.join(F.broadcast(before), "_range").withColumn(name, F.col("_at") + F.col("_shift")).drop("_range", "_at", "_shift")
 
 
 def apportioned(shares: DataFrame, total: int, by: str, order: str, name: str = "units") -> DataFrame:

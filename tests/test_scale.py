@@ -80,3 +80,19 @@ def test_ranks_ask_for_ledger_and_lines_alone(spark):
     order = batch.detail.select("settlement_id").distinct().withColumn("visit", F.col("settlement_id"))
     plain, quick = baselines.b2_claims(batch, order), baselines.b2_claims(batch)
     assert quick.count() and quick.exceptAll(plain).count() == plain.exceptAll(quick).count() == 0
+
+
+def test_permutation_is_the_order_of_its_hash(spark, monkeypatch):
+    """Places follow the hash and the key; the rows are computed once and not sampled before."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window as W
+
+    from tallyloom.sources import ordering
+
+    seen = []
+    monkeypatch.setattr(ordering, "placed", lambda *a, **k: seen.append(a))
+    df = spark.range(10_000).selectExpr("id as a", "id % 7 as b")
+    got = ordering.permuted(df, 5, "a", "b", name="turn")
+    want = df.withColumn("turn", (F.row_number().over(W.orderBy(F.xxhash64(F.lit(5), "a", "b"), "a", "b")) - 1).cast("long"))
+    assert not seen and got.columns == want.columns
+    assert got.count() == 10_000 and want.exceptAll(got).isEmpty()
