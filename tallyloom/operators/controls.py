@@ -40,8 +40,8 @@ def rollup(detail: DataFrame) -> DataFrame:
     )
 
 
-def line_findings(batch: Batch, attributed: DataFrame | None = None) -> DataFrame:
-    """Findings of single lines; attributed: detail_ids that the ladder has explained."""
+def line_findings(batch: Batch, attributed: DataFrame | None = None, named: bool = False) -> DataFrame:
+    """Findings of single lines; attributed: detail_ids that the ladder has explained; named: all findings, with their line's detail_id."""
     known = batch.ledger.select(F.col("event_id"), F.col("method"), F.lit(True).alias("in_ledger"))
     lines = batch.detail.join(known, "event_id", "left").join(batch.pricing, "method", "left")
     want_fee = round_half_up(F.col("gross_effect_paise") * F.col("fee_rate_bps"), 10_000)
@@ -63,9 +63,13 @@ def line_findings(batch: Batch, attributed: DataFrame | None = None) -> DataFram
         ),
     )
     found = lines.select("settlement_id", "detail_id", F.explode(F.filter(checks, lambda f: f.isNotNull())).alias("f")).select("settlement_id", "detail_id", "f.*")
+    return found if named else unexplained(found, attributed)
+
+
+def unexplained(found: DataFrame, attributed: DataFrame | None) -> DataFrame:
+    """Findings without the detail_id of their lines, less those that an attribution explains; they meet the explained lines, not all lines, and only a missing attribution can be explained."""
     if attributed is None:
         return found.drop("detail_id")
-    # findings meet the explained lines, not all lines; only a missing attribution can be explained
     explained = attributed.select(F.col("detail_id").alias("explained")).distinct()
     return found.join(explained, (F.col("detail_id") == F.col("explained")) & (F.col("category") == "UNATTRIBUTED_SETTLEMENT_LINE"), "left_anti").drop("detail_id")
 
@@ -110,6 +114,14 @@ def settlement_findings(batch: Batch, settlements: DataFrame, attributed: DataFr
     return missing_findings(batch, settlements).unionByName(line_findings(batch, attributed).unionByName(summary_findings(batch)).join(present, "settlement_id", "left_semi"))
 
 
+def all_findings(batch: Batch, settlements: DataFrame) -> DataFrame:
+    """settlement_findings before any attribution, with the detail_id of those of a line: `unexplained` takes from them what an attribution explains, so that several attributions share them."""
+    wanted = settlements.select("settlement_id").where("settlement_id is not null").distinct()
+    present = wanted.join(batch.summary.select("settlement_id"), "settlement_id", "left_semi")
+    whole = missing_findings(batch, settlements).unionByName(summary_findings(batch).join(present, "settlement_id", "left_semi"))
+    return whole.withColumn("detail_id", F.lit(None).cast("string")).unionByName(line_findings(batch, named=True).join(present, "settlement_id", "left_semi"))
+
+
 def ties_out(batch: Batch, settlements: DataFrame) -> DataFrame:
     """(settlement_id, ties): no break of the roll-up, the summary or a line, before any attribution.
 

@@ -96,3 +96,29 @@ def test_permutation_is_the_order_of_its_hash(spark, monkeypatch):
     want = df.withColumn("turn", (F.row_number().over(W.orderBy(F.xxhash64(F.lit(5), "a", "b"), "a", "b")) - 1).cast("long"))
     assert not seen and got.columns == want.columns
     assert got.count() == 10_000 and want.exceptAll(got).isEmpty()
+
+
+def test_findings_and_named_claims_are_found_once(spark, monkeypatch):
+    """Four matchers share the findings of a batch and the wrong claims of its named lines, with the scores that each has by itself; lines are told from their copies once."""
+    from tallyloom.operators import baselines, controls
+    from tallyloom.sources import batch as sources
+    from tallyloom.sources import generator
+
+    data = generator.generate(spark, generator.Config(400, 7, "primary"))
+    first, again = sources.keep_first(data.raw_detail)
+    assert data.batch.detail.exceptAll(first).isEmpty() and first.exceptAll(data.batch.detail).isEmpty()
+    assert {tuple(r) for r in data.batch.duplicates.collect()} == {tuple(r) for r in again.collect()} != set()
+    assert "Window" not in data.batch.detail._jdf.queryExecution().optimizedPlan().toString()
+    b, calls, lines = data.batch, [], controls.line_findings
+    monkeypatch.setattr(controls, "line_findings", lambda *a, **k: calls.append(1) or lines(*a, **k))
+    got = {tuple(r) for r in baselines.compare(b, data.cases, data.key_cases, data.key_allocations).collect()}
+    assert len(calls) == 1
+    want = set()
+    for name, claims in {"B1": None, "B2": baselines.b2_claims(b, baselines.visits(data.cases)), "B3": baselines.b3_verdict_claims(b)}.items():
+        rows = baselines.judged_lax(data.key_cases, data.key_allocations, *baselines.decide(b, data.cases, claims))
+        want |= {tuple(r) for r in baselines.lax_scores(rows, name).collect()}
+    assert got == want and len(calls) == 4
+    whole = controls.all_findings(b, baselines.bridge(data.cases))
+    plain = controls.settlement_findings(b, baselines.bridge(data.cases))
+    shared = controls.unexplained(whole, None).select(plain.columns)
+    assert plain.count() and shared.exceptAll(plain).isEmpty() and plain.exceptAll(shared).isEmpty()
