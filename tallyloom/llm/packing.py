@@ -10,6 +10,8 @@ bound for all lengths together is not met.
 
 from __future__ import annotations
 
+import itertools
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -37,6 +39,30 @@ _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 
 
+#: Bytes of words that are compared with each other; a longer one is a kind of its own.
+COMPARED = 64
+
+
+def _kinds(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each word, and a word of each kind.  Words of one kind are equal: hashes find kinds, and then all their bytes are compared."""
+    size = end - start
+    short, long = np.flatnonzero(size <= COMPARED), np.flatnonzero(size > COMPARED)
+    _, one, kind = np.unique(X.word_hashes(buf, start[short], end[short]), return_index=True, return_inverse=True)
+    of = short[one][kind]
+    same = bool((size[short] == size[of]).all())
+    more = np.flatnonzero(same & (size[short] > 8))  # up to 8 bytes, equal length and hash are equal words
+    a, b, n = start[short[more]], start[of[more]], size[short[more]]
+    for k in range(0, COMPARED, 8) if len(more) else ():
+        left = n > k
+        a, b, n = a[left], b[left], n[left]
+        same = same and bool((X.eight(buf, a + k, n - k) == X.eight(buf, b + k, n - k)).all())
+    if not same:
+        return np.arange(len(start)), np.arange(len(start))
+    which = np.empty(len(start), np.int64)
+    which[short], which[long] = kind, len(one) + np.arange(len(long))
+    return which, np.concatenate([short[one], long])
+
+
 class Ids:
     """Token ids of texts by a vocabulary whose words never span white space.
 
@@ -54,25 +80,26 @@ class Ids:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.long: list[str] = []
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> Iterator[list[int]]:
+        return (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         plain, other, out = [], [], {}
-        for w in words:
+        for w in map(bytes.decode, words):
             (plain if w.isalpha() and (w.isascii() or max(w) < "\u0250") else other).append(w)
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
         for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            ids = np.array(ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(group):
-                out.update((w, ids[a:b].tobytes()) for w, a, b in zip(group, [0, *cut[:-1].tolist()], cut.tolist(), strict=True))
+                out.update((w.encode(), ids[a:b].tobytes()) for w, a, b in zip(group, [0, *cut[:-1].tolist()], cut.tolist(), strict=True))
             else:
                 other += group
-        out.update((w, ids.tobytes()) for w, ids in zip(other, self._encode(other), strict=True))
+        out.update((w.encode(), struct.pack(f"<{len(ids)}I", *ids)) for w, ids in zip(other, self._encode(other), strict=True))
         return out
 
     def of(self, buf: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
@@ -80,17 +107,31 @@ class Ids:
         s = (_BLANK if b"<|" in buf.tobytes() else _LOWER)[buf]
         stop = np.flatnonzero(_LETTER[s[:-2]] & ((s[1:-1] == 0x2E) | (s[1:-1] == 0x2C)) & (s[2:] == 0x20)) + 1 if len(s) > 2 else np.zeros(0, np.int64)
         offsets = offsets + np.searchsorted(stop, offsets)
-        s = np.insert(s, stop, 0x20).tobytes()
-        texts = [s[a:b].decode().split(" ") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        ids = self._ids(set().union(*texts))
-        for parts in texts:
-            yield b"".join(map(ids.__getitem__, parts))
+        s = np.insert(s, stop, 0x20)
+        inside = np.zeros(len(s) + 2, bool)
+        inside[1:-1] = s != 0x20
+        edge = np.zeros(len(s) + 1, bool)
+        edge[offsets] = True
+        start, end = np.flatnonzero(inside[1:] & (~inside[:-1] | edge)), np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
+        which, one = _kinds(s, start, end)
+        raw = s.tobytes()
+        words = [raw[i:j] for i, j in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+        known = list(map(self._ids(set(words)).__getitem__, words))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, begin = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        own = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(own)])
+        kind = np.int32 if upto[-1] < 1 << 31 else np.int64
+        ids = flat[np.repeat((begin[which] - upto[:-1]).astype(kind), own) + np.arange(upto[-1], dtype=kind)]
+        cuts = upto[np.searchsorted(start, offsets)].tolist()
+        for i, j in itertools.pairwise(cuts):
+            yield ids[i:j].tobytes()
 
     def rest(self) -> None:
         """Forgets the old generation, so that a worker between tasks holds one."""
         self.old = {}
 
-    def _ids(self, words: set[str]) -> dict[str, bytes]:
+    def _ids(self, words: set[bytes]) -> dict[bytes, bytes]:
         """The young generation, once it has all these words, remembered or learned at once."""
         for w in self.long:
             self.young.pop(w, None)

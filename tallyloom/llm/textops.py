@@ -95,6 +95,12 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def eight(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each start, as numbers."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))[start] & _MASK[np.minimum(size, 8)]
+
+
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     size = end - start
     out = np.zeros(len(start), np.uint64)

@@ -672,3 +672,29 @@ def test_context_probabilities_sum_to_one_over_the_vocabulary(spark):
     got = {r.doc_id: r.score for r in hpylm.score(table, F.col("doc_id") >= 10_000).collect()}
     total = sum(10 ** got[d] for d, _ in [*probe, *alone])
     assert 0 < total < 1
+
+
+def test_ids_of_words_found_by_kind(spark, monkeypatch):
+    """Equal words are encoded once and all ids gathered at once: as the tokenizer gives them, with words of one hash too."""
+    import numpy as np
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tallyloom.llm import packing, textops
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["The cat, the Cat. the cat", None, "", " \n\t ", "a" * 63 + " " + "a" * 64 + " " + "a" * 65 + " " + "a" * 64 + "b " + "a" * 300, "straße STRASSE  x\x0by Ünï 日本語 日本 <|x|> a.b a. b", "abcdefgh1 abcdefgh2 abcdefgh1", "one"]
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    array = pa.array(texts, pa.string())
+    assert list(packing.Ids("word_bpe_49k.json").of(*textops.bytes_of(array))) == want
+    assert list(packing.Ids("word_bpe_49k.json").of(*textops.bytes_of(array[1:4]))) == want[1:4]
+    assert list(packing.Ids("word_bpe_49k.json").of(*textops.bytes_of(array[:0]))) == []
+    buf = np.frombuffer(b"one two one", np.uint8)
+    which, one = packing._kinds(buf, np.array([0, 4, 8]), np.array([3, 7, 11]))
+    assert which[0] == which[2] != which[1] and len(one) == 2
+    for size in (5, 20):  # words of one hash that differ are kinds of their own
+        buf = np.frombuffer(b"x" * 20 + b"y" * 20, np.uint8)
+        monkeypatch.setattr(textops, "word_hashes", lambda b, s, e: np.zeros(len(s), np.uint64))
+        which, one = packing._kinds(buf, np.array([0, 20]), np.array([20, 20 + size]))
+        assert which.tolist() == one.tolist() == [0, 1]
